@@ -1,4 +1,72 @@
 """Queries of the operators for LLM data, over whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import chunks, groups, tokens
+from tidemark.sources.tables import norm_id, table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    match = table(spark, d, "event_match").where(F.lower(F.trim("decision")) == "merge")
+    pairs = match.select(norm_id("event_id").alias("a"), norm_id("other_event_id").alias("b"))
+    members = table(spark, d, "event_to_canonical").select(norm_id("event_id").alias("id"), norm_id("canonical_id").alias("hub"))
+    keys = table(spark, d, "event_record").select(norm_id("event_id").alias("id"))
+    return groups.groups(spark, pairs, members, keys).select(F.col("id").alias("event_id"), "group_id")
+
+
+def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many groups there are of each size."""
+    size = p3_found(spark, d).groupBy("group_id").agg(F.count("*").alias("n_events"))
+    return size.groupBy("n_events").agg(F.count("*").alias("n_groups"))
+
+
+def _specs(spark: SparkSession, d: str) -> list[chunks.Spec]:
+    # extraction_spec is a fixed table of a few rows.
+    rows = table(spark, d, "extraction_spec").select("prompt_version", "chunk_max_chars", "overlap_chars").distinct().collect()
+    return [chunks.Spec(r[0], r[1], r[2]) for r in sorted(rows)]
+
+
+def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
+    video = table(spark, d, "video").select(norm_id("id").alias("video_id"), "description").where("video_id IS NOT NULL")
+    return chunks.pieces(video, "video_id", "description", _specs(spark, d), with_text)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, False).select(F.col("spec").alias("prompt_version"), F.col("id").alias("video_id"), "forced").distinct()
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece with its bounds, the kind of cut that ends it, and its text."""
+    one = _pieces(spark, d, True).dropDuplicates(["spec", "id"])
+    flat = one.select(F.col("spec").alias("prompt_version"), F.col("id").alias("video_id"), F.inline("pieces"))
+    return flat.select("prompt_version", "video_id", "piece_no", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("cut").alias("cut_kind"), F.col("text").alias("piece"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), keep=["doc_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_sizes, p7_found, p7_pieces, p8_ids)}
+
+_ID = "lower(trim({}, ' \t\r\n'))"
+_GROUPS = f"""WITH RECURSIVE k AS (SELECT DISTINCT {_ID.format('event_id')} AS id FROM event_record),
+m AS (SELECT {_ID.format('event_id')} AS a, {_ID.format('other_event_id')} AS b FROM event_match WHERE decision = 'merge'),
+e AS (SELECT a, b FROM m WHERE a <> b AND a IN (FROM k) AND b IN (FROM k)
+  UNION SELECT {_ID.format('event_id')}, '~' || {_ID.format('canonical_id')} FROM event_to_canonical WHERE canonical_id IS NOT NULL AND {_ID.format('event_id')} IN (FROM k)),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS id, a AS reach FROM g UNION SELECT r.id, g.b FROM r JOIN g ON r.reach = g.a),
+l AS (SELECT id, min(reach) AS group_id, count(*) FILTER (reach NOT LIKE '~%') AS n FROM r WHERE id NOT LIKE '~%' GROUP BY id),
+f AS (SELECT id AS event_id, group_id FROM l WHERE n > 1)
+"""
+ORACLES: dict[str, str] = {
+    "p3_found": _GROUPS + "SELECT * FROM f",
+    "p3_sizes": _GROUPS + "SELECT n_events, count(*) AS n_groups FROM (SELECT group_id, count(*) AS n_events FROM f GROUP BY 1) GROUP BY 1",
+    "p7_found": f"""SELECT DISTINCT s.prompt_version, {_ID.format('v.id')} AS video_id,
+  CAST(list_max(list_transform(regexp_split_to_array(v.description, '[\\t-\\r\\x{{85}}\\p{{Z}}.!?。！？]'), lambda x: length(x))) > s.chunk_max_chars AS INTEGER) AS forced
+FROM video v JOIN extraction_spec s ON length(v.description) > s.chunk_max_chars""",
+}
