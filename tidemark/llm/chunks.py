@@ -30,7 +30,7 @@ WORD, SENTENCE, LINE = 1, 2, 3
 KINDS = {0: "forced", WORD: "word", SENTENCE: "sentence", LINE: "line", 4: "end"}
 # Marks that end a sentence, of which the wide ones need no white space behind them.
 MARKS, WIDE_MARKS = ".!?。！？", "。！？"
-BREAKS = "\n\v\f\r\x85  "
+BREAKS = "\n\v\f\r\x85\u2028\u2029"
 
 
 @dataclass(frozen=True)
