@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, groups, stuffing, tokens
+from tidemark.llm import chunks, groups, mixing, stuffing, tokens
 from tidemark.sources.tables import norm_id, table
 
 
@@ -51,11 +51,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), keep=["doc_id"])
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn and how often each is used."""
+    return mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the tokens that each source reaches."""
+    return mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(spark, table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_sizes, p7_found, p7_pieces, p8_ids, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_sizes, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)}
 
 _ID = "lower(trim({}, ' \t\r\n'))"
 _GROUPS = f"""WITH RECURSIVE k AS (SELECT DISTINCT {_ID.format('event_id')} AS id FROM event_record),
