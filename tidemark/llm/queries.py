@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, groups, mixing, stuffing, tokens
+from tidemark.llm import chunks, groups, mixing, similar, stuffing, tokens
 from tidemark.sources.tables import norm_id, table
 
 
@@ -25,6 +25,16 @@ def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
     return size.groupBy("n_events").agg(F.count("*").alias("n_groups"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    anchors = table(spark, d, "anchor_vector").select("anchor_rank", "vector")
+    return similar.record_and_anchor_pairs(spark, table(spark, d, "event_record"), anchors, "vector_index", 64, 5, 0.9, 0.7)
+
+
+def p5_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar records of every record whose vector_index is divisible by 20, whatever the similarity."""
+    return similar.ranked_similar(spark, table(spark, d, "event_record"), "vector_index", 64, 5, 20, 16)
+
+
 def _specs(spark: SparkSession, d: str) -> list[chunks.Spec]:
     # extraction_spec is a fixed table of a few rows.
     rows = table(spark, d, "extraction_spec").select("prompt_version", "chunk_max_chars", "overlap_chars").distinct().collect()
@@ -65,7 +75,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(spark, table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_sizes, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_sizes, p5_found, p5_similar, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found)}
 
 _ID = "lower(trim({}, ' \t\r\n'))"
 _GROUPS = f"""WITH RECURSIVE k AS (SELECT DISTINCT {_ID.format('event_id')} AS id FROM event_record),
