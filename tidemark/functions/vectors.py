@@ -34,4 +34,4 @@ def valid(a: Column, dim: int) -> Column:
 def clamp_confidence(c: Column) -> Column:
     """A number in [0, 1]; null for what is no finite number."""
     x = c.try_cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
