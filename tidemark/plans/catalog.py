@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import aggregate_queries, core_queries, filter_join_queries, scalar_queries
+from tidemark.plans import aggregate_queries, core_queries, filter_join_queries, scalar_queries, snapshot_queries, stream_queries
 
-MODULES = [core_queries, filter_join_queries, aggregate_queries, scalar_queries]
+MODULES = [core_queries, filter_join_queries, aggregate_queries, scalar_queries, snapshot_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -382,7 +382,7 @@ def ma08_clamped_confidence(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT snapshot_id, min(x)::DOUBLE AS a, max(x)::DOUBLE AS z FROM event_map_canonical GROUP BY 1)
-SELECT DISTINCT snapshot_id, canonical_id, CASE WHEN z > a THEN round((x::DOUBLE - a) / (z - a) * 100, 3) ELSE 50.0 END AS px FROM event_map_canonical JOIN b USING (snapshot_id) WHERE x IS NOT NULL""")
+SELECT DISTINCT snapshot_id, canonical_id, CASE WHEN b.z > b.a THEN round((x::DOUBLE - b.a) / (b.z - b.a) * 100, 3) ELSE 50.0 END AS px FROM event_map_canonical JOIN b USING (snapshot_id) WHERE x IS NOT NULL""")
 def ma09_rescaled(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "event_map_canonical")
     b = c.groupBy("snapshot_id").agg(F.min("x").cast("double").alias("low"), F.max("x").cast("double").alias("high"))
