@@ -212,11 +212,11 @@ def resolve(parsed: DataFrame, zone: str, intervals: DataFrame) -> DataFrame:
     day = F.floor(F.col("ts_us") / DAY_US)
     y = F.greatest(F.least(F.year(F.date_from_unix_date(day.cast("int"))), F.lit(LAST_YEAR + 1)), F.lit(FIRST_YEAR - 1))
     left = parsed.withColumns({"_z": z, "_y": F.when(z.isNotNull(), y)})
-    i = intervals.alias("i")
-    on = (F.col("_z") == F.col("i.zone")) & (F.col("_y") == F.col("i.year")) & (F.col("ts_us") >= F.col("i.lo_us")) & (F.col("ts_us") < F.col("i.hi_us"))
+    i = intervals.select(*[F.col(c).alias(f"_i_{c}") for c in ("zone", "year", "lo_us", "hi_us", "offset_us", "covers")])
+    on = (F.col("_z") == F.col("_i_zone")) & (F.col("_y") == F.col("_i_year")) & (F.col("ts_us") >= F.col("_i_lo_us")) & (F.col("ts_us") < F.col("_i_hi_us"))
     out = left.join(F.broadcast(i), on, "left")
-    utc = F.when(F.col("ts_kind") == "instant", F.col("ts_us")).when(F.col("ts_kind") == "wall", F.col("ts_us") - F.col("i.offset_us"))
-    kind = F.when(F.col("ts_kind") == "wall", F.element_at(F.array(F.lit("nonexistent"), F.lit("plain"), F.lit("ambiguous")), F.col("i.covers") + 1))
+    utc = F.when(F.col("ts_kind") == "instant", F.col("ts_us")).when(F.col("ts_kind") == "wall", F.col("ts_us") - F.col("_i_offset_us"))
+    kind = F.when(F.col("ts_kind") == "wall", F.element_at(F.array(F.lit("nonexistent"), F.lit("plain"), F.lit("ambiguous")), F.col("_i_covers") + 1))
     return out.select(*parsed.columns, utc.alias("utc_us"), kind.alias("wall_kind"))
 
 

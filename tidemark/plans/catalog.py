@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import aggregate_queries, core_queries, filter_join_queries, scalar_queries, snapshot_queries, stream_queries
+from tidemark.plans import aggregate_queries, core_queries, filter_join_queries, scalar_queries, snapshot_queries, source_queries, stream_queries
 
-MODULES = [core_queries, filter_join_queries, aggregate_queries, scalar_queries, snapshot_queries, stream_queries]
+MODULES = [core_queries, filter_join_queries, aggregate_queries, scalar_queries, snapshot_queries, source_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,3 +17,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for m in MODULES for k, s in m.ORACLES.items()}
+
+
+def run(spark: SparkSession, folder: str, name: str, **parameters) -> DataFrame:
+    """A query by name with parameters, where it takes any: the extension point for new queries is a catalogue."""
+    every = queries()
+    if name not in every:
+        raise LookupError(f"no query is called {name!r}")
+    return every[name](spark, folder, **parameters)
+
+
+def register_views(spark: SparkSession, folder: str) -> None:
+    """Temporary views of the folder's tables, for queries in SQL."""
+    for f in spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+        name = f.getPath().getName()
+        if name.endswith(".parquet"):
+            spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(name[:-8])
