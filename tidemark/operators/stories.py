@@ -70,7 +70,7 @@ def _has_transition(a: Column, b: Column) -> Column:
     return F.when(any_move, 1.0).when(F.arrays_overlap(a, turn) & F.arrays_overlap(b, turn), 0.65).otherwise(0.0)
 
 
-def scored_edges(nodes: DataFrame) -> DataFrame:
+def scored_edges(st: Stages, nodes: DataFrame) -> DataFrame:
     """domain, source, target, anchor_key, relation_type, confidence, and what it rests on; the strongest a pair."""
     slim = nodes.select("domain", "node", "start_day", F.explode("core_keys").alias("entity")).withColumn("k", F.struct("domain", "entity"))
     pairs = ranked_lookahead(slim, "k", [F.col("start_day"), F.col("node")], "node", AHEAD).select(F.col("k.domain").alias("domain"), "source", "target").distinct()
@@ -91,6 +91,8 @@ def scored_edges(nodes: DataFrame) -> DataFrame:
         (F.size(shared) / F.greatest(F.least(F.size("a.core_keys"), F.size("b.core_keys")), F.lit(1))).alias("entity_overlap"), (c("a.uncertain") | c("b.uncertain")).alias("uncertain"),
         (F.array_sort("a.sources") != F.array_sort("b.sources")).alias("distinct_sources"), F.slice(F.array_sort(F.array_union("a.revisions", "b.revisions")), 1, 12).alias("revisions"),
     )
+    # Written once, as every rule below reads the overlaps again.
+    j = st.write(j)
     specific = ~kind(c("anchor_key")).isin(vocab.GENERIC_ENTITY_TYPES)
     states = (c("claim_overlap") >= 0.06) | (c("bridge") >= 0.12)
     relation = (
@@ -142,7 +144,7 @@ def _grown(f: pd.DataFrame) -> pd.DataFrame:
 def build_stories(st: Stages, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """stories: domain, story_id, anchor_key, maturity, quality_score, counts; members: domain, story_id, node,
     position; edges with their story."""
-    edges = st.write(degree_capped(scored_edges(nodes), ["domain", "anchor_key"], "source", "target", "confidence"))
+    edges = st.write(degree_capped(scored_edges(st, nodes), ["domain", "anchor_key"], "source", "target", "confidence"))
     key = lambda n: F.concat_ws("\u0001", "domain", "anchor_key", n)
     comp = labelled_components(st, edges.select(key("source").alias("u"), key("target").alias("v")), "u", "v")
     sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("node").alias("k"), "component", "n")

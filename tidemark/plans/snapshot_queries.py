@@ -124,7 +124,7 @@ def dm09_story_profiles(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dm10_story_edges(s: SparkSession, d: str) -> DataFrame:
-    return S.scored_edges(_nodes(s, d)[1]).select("domain", "source", "target", "anchor_key", "relation_type", "confidence", "gap_days")
+    return S.scored_edges(*_nodes(s, d)).select("domain", "source", "target", "anchor_key", "relation_type", "confidence", "gap_days")
 
 
 @query(f"""WITH k AS (SELECT DISTINCT event_id, e.key AS key, e.entity_type AS t FROM (SELECT event_id, unnest(entities) AS e FROM event_record) WHERE e.key IS NOT NULL)
