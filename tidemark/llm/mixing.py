@@ -76,7 +76,8 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 
 def land(pi: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The open probabilities, at most two, rounded for the smallest error in tokens, then in documents; what error
-    is left shrinks by the best exchange of a drawn document for another one of those that ``first`` left open."""
+    is left shrinks by the best single change: one document more or less, or one for another, among those that
+    ``first`` left open."""
     open_at = np.flatnonzero((pi > FRACTION) & (pi < 1 - FRACTION))
     best, want = None, (float((pi[open_at] * size[open_at]).sum()), float(pi[open_at].sum()))
     for bits in range(1 << len(open_at)):
@@ -89,11 +90,10 @@ def land(pi: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     free = (first > FRACTION) & (first < 1 - FRACTION)
     into, from_ = np.flatnonzero(free & (out == 0)), np.flatnonzero(free & (out == 1))
     error = float((out * size).sum() - (first * size).sum())
-    if len(into) and len(from_):
-        after = np.abs(error + size[into][:, None] - size[from_][None, :])
-        i, j = np.unravel_index(after.argmin(), after.shape)
-        if after[i, j] < abs(error):
-            out[into[i]], out[from_[j]] = 1.0, 0.0
+    # Taking one in, leaving one out, or exchanging two; the row and column of zeros stand for neither.
+    after = np.abs(error + np.append(size[into], 0)[:, None] - np.append(size[from_], 0)[None, :])
+    i, j = np.unravel_index(after.argmin(), after.shape)
+    out[into[i : i + 1]], out[from_[j : j + 1]] = 1.0, 0.0
     return out
 
 
