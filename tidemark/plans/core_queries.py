@@ -43,7 +43,9 @@ def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     rows = _parsed(by_list, "video_list", "id", "published_at").unionByName(_parsed(by_list, "video_list", "id", "content_published_at"))
     # Only a wall time without a zone of its own needs the zone of the video's source.
     timed = _parsed(evidence.withColumn("owner", F.col("video_id")), "video_time_evidence", "id", "time_start")
-    asked = timed.withColumn("owner", F.when((F.col("ts_kind") == "wall") & F.col("ts_zone").isNull(), F.col("owner")))
+    # The others get keys of their own that match nothing, so that no partition gathers them.
+    needs = (F.col("ts_kind") == "wall") & F.col("ts_zone").isNull() & F.col("owner").isNotNull()
+    asked = timed.withColumn("owner", F.when(needs, F.col("owner")).otherwise(F.concat(F.lit("~"), F.coalesce("rec_id", F.lit("")))))
     owned = asked.join(video.withColumnRenamed("video_id", "owner"), "owner", "left").withColumn("owner", F.col("media_id")).drop("media_id")
     # media is a fixed table of a few hundred sources.
     zoned = rows.unionByName(owned).join(F.broadcast(media), F.col("owner") == media.media_id, "left")

@@ -84,3 +84,45 @@ def src22_archive_manifest(s: SparkSession, d: str) -> DataFrame:
 
     m = archive(table(s, d, "event_map_snapshot"), f"{shared_dir(s)}/archive-{uuid.uuid4().hex[:8]}")
     return m.agg(F.sum("rows").alias("archived"))
+
+
+@query(r"SELECT DISTINCT 'https://media.example/' || id AS url FROM media")
+def src13_url_list_round_trip(s: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from tidemark.session import shared_dir
+    from tidemark.sources.sinks import read_urls, write_urls
+
+    path = f"{shared_dir(s)}/urls-{uuid.uuid4().hex[:8]}"
+    write_urls(table(s, d, "media").select(F.concat(F.lit("https://media.example/"), "id").alias("url")), "url", path)
+    return read_urls(s, path)
+
+
+@query("SELECT id, min(created_at) AS created_at FROM event_map_snapshot GROUP BY 1")
+def src19_insert_ignore(s: SparkSession, d: str) -> DataFrame:
+    """A table after two inserts of the same rows, of which the second changes nothing."""
+    import uuid
+
+    from tidemark.session import shared_dir
+    from tidemark.sources.sinks import append_new
+
+    path = f"{shared_dir(s)}/inserted-{uuid.uuid4().hex[:8]}"
+    rows = table(s, d, "event_map_snapshot").groupBy("id").agg(F.min("created_at").alias("created_at"))
+    for _ in range(2):
+        append_new(rows, path, ["id"])
+    return s.read.parquet(path)
+
+
+@query("SELECT revision_id, min(event_id) AS event_id FROM event_record WHERE revision_id IS NOT NULL GROUP BY 1")
+def src20_revision_sink(s: SparkSession, d: str) -> DataFrame:
+    """Revisions appended in two halves by hash, each revision once."""
+    import uuid
+
+    from tidemark.session import shared_dir
+    from tidemark.sources.sinks import append_new
+
+    path = f"{shared_dir(s)}/revisions-{uuid.uuid4().hex[:8]}"
+    r = table(s, d, "event_record").where("revision_id IS NOT NULL").groupBy("revision_id").agg(F.min("event_id").alias("event_id"))
+    for half in (r.where(F.xxhash64("revision_id") % 2 == 0), r):
+        append_new(half, path, ["revision_id"])
+    return s.read.parquet(path)
