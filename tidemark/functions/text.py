@@ -54,7 +54,7 @@ def entity_key(kind: Column | str, name: Column | str, key: Column | str) -> Col
 
 def short_text(c: Column | str, most: int = 600) -> Column:
     """One line without outer blanks, cut at ``most`` characters."""
-    return F.substring(F.regexp_replace(F.trim(F.coalesce(col(c), F.lit("")), F.lit(" \t\r\n\f\v")), r"\s+", " "), 1, most)
+    return F.substring(F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), r"(?U)\s+", " "), 1, most)
 
 
 def normalized_key(c: Column | str) -> Column:
@@ -157,11 +157,16 @@ def preview(c: Column | str, most: int = 140) -> Column:
     return F.when(F.length(line) > most, F.concat(F.rtrim(F.substring(line, 1, most)), F.lit("…"))).otherwise(line)
 
 
+def strip(c: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def snippet(c: Column | str, most: int = 20) -> Column:
     """The first characters of a Markdown line without its marks."""
-    bare = F.regexp_replace(F.trim(F.coalesce(col(c), F.lit(""))), r"^(?:[#\-*>•]\s*)+", "")
+    bare = F.regexp_replace(strip(F.coalesce(col(c), F.lit(""))), r"^(?:[#\-*>•]\s*)+", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"!\[[^\]]*\]\([^)]*\)", ""), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    text = F.trim(F.regexp_replace(bare, r"[`*_]", ""))
+    text = strip(F.regexp_replace(bare, r"[`*_]", ""))
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 1), F.lit("…")))
 
 

@@ -42,12 +42,12 @@ def tx03_entity_keys(s: SparkSession, d: str) -> DataFrame:
     return e.select("entity_type", "name", "key", X.entity_key("entity_type", "name", "key").alias("entity_key"))
 
 
-@query(r"SELECT event_id, trim(regexp_replace(lower(left(regexp_replace(trim(coalesce(title, ''), chr(32) || chr(9) || chr(10) || chr(13)), '\s+', ' ', 'g'), 160)), '[^0-9a-z一-鿿._:-]+', '_', 'g'), '_') AS k FROM (SELECT DISTINCT event_id, title FROM event_record)")
+@query(r"SELECT event_id, trim(regexp_replace(lower(left(regexp_replace(regexp_replace(coalesce(title, ''), '[\t-\r\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), 160)), '[^0-9a-z一-鿿._:-]+', '_', 'g'), '_') AS k FROM (SELECT DISTINCT event_id, title FROM event_record)")
 def tx04_normalized_key(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "event_record").select("event_id", "title").distinct().select("event_id", X.normalized_key("title").alias("k"))
 
 
-@query(r"SELECT doc_id, left(regexp_replace(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '[ \t\n\r\f\v]+', ' ', 'g'), 600) AS line FROM documents")
+@query(r"SELECT doc_id, left(regexp_replace(regexp_replace(coalesce(text, ''), '[\t-\r\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), 600) AS line FROM documents")
 def tx05_short_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", X.short_text("text", 600).alias("line"))
 
@@ -76,7 +76,10 @@ def tx09_claim_terms(s: SparkSession, d: str) -> DataFrame:
     return r.select("event_id", X.claim_terms(F.concat_ws(" ", "title", "summary"), F.coalesce("names", F.array().cast("array<string>"))).alias("terms"))
 
 
-@query()
+_PHASES = ", ".join("CASE WHEN " + " OR ".join(f"contains(x, '{w}')" for w in words) + f" THEN '{name}' END" for name, words in vocab.PHASES.items())
+
+
+@query(f"SELECT event_id, list_filter([{_PHASES}], lambda p: p IS NOT NULL) AS phases FROM (SELECT DISTINCT event_id, lower(concat_ws(' ', title, summary)) AS x, event_type, start_day, end_day FROM event_record)")
 def tx10_phases(s: SparkSession, d: str) -> DataFrame:
     return _records(s, d).select("event_id", X.phases(F.concat_ws(" ", "title", "summary")).alias("phases"))
 
@@ -92,7 +95,12 @@ def tx12_title_part(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "video").where("title IS NOT NULL").select("id", X.title_part(F.col("title"), F.lit("")).alias("part")).distinct()
 
 
-@query()
+_PROMOTION = vocab.PROMOTION.replace("'", "''")
+
+
+@query(rf"""WITH t AS (SELECT DISTINCT id, regexp_replace(coalesce(description, ''), 'https?://[^\t-\r ]+|www\.[^\t-\r ]+', ' ', 'g') AS x FROM video),
+l AS (SELECT id, list_transform(regexp_split_to_array(x, '[\r\n]+'), lambda y: trim(regexp_replace(regexp_replace(y, '#[^\t-\r ]+', ' ', 'g'), '[\t-\r ]+', ' ', 'g'))) AS lines FROM t)
+SELECT DISTINCT id, trim(left(array_to_string(list_filter(lines, lambda y: length(y) > 0 AND NOT regexp_matches(y, '{_PROMOTION}')), chr(10)), 4000)) AS clean FROM l""")
 def tx13_clean_description(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "video").select("id", X.clean_description("description").alias("clean")).distinct()
 
@@ -146,12 +154,14 @@ def tx24_composed_prompt(s: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", X.compose(F.lit("# {{date}}\n{{blocks}}"), date=F.coalesce("lang", F.lit("")), blocks=F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("prompt"))
 
 
-@query()
+@query(r"""SELECT doc_id, trim(array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda y: NOT regexp_full_match(y, '[\t-\r ]*-{3,}[\t-\r ]*') AND NOT regexp_full_match(y, '[\t-\r ]*日期[\t-\r ]*[:：][\t-\r ]*\d{4}[/-]\d{1,2}[/-]\d{1,2}[\t-\r ]*')), chr(10)), chr(32) || chr(9) || chr(10)) AS body FROM documents WHERE doc_kind = 'brief'""")
 def tx25_sanitized_markdown(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_kind = 'brief'").select("doc_id", X.sanitize_markdown("text").alias("body"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '(?is)<think>.*?</think>', '', 'g')) AS x FROM documents WHERE doc_kind = 'extraction'),
+b AS (SELECT doc_id, trim(CASE WHEN regexp_extract(x, '(?is)```(?:json)?[\t-\r ]*(.*?)```', 1) <> '' THEN regexp_extract(x, '(?is)```(?:json)?[\t-\r ]*(.*?)```', 1) ELSE x END) AS x FROM a)
+SELECT doc_id, CASE WHEN regexp_extract(x, '(?s)(\{.*\})', 1) <> '' THEN regexp_extract(x, '(?s)(\{.*\})', 1) ELSE x END AS body FROM b""")
 def tx26_stripped_wrappers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_kind = 'extraction'").select("doc_id", X.strip_wrappers("text").alias("body"))
 
@@ -202,7 +212,9 @@ def tx34_cjk_detection(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "video").groupBy(X.contains_cjk("title").alias("cjk")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(trim(string_split(coalesce(text, ''), chr(10))[1]), '^(?:[#\-*>•][\t-\r ]*)+', '') AS x FROM documents WHERE doc_kind = 'brief'),
+b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[`*_]', '', 'g')) AS x FROM a)
+SELECT doc_id, CASE WHEN length(x) <= 20 THEN x ELSE left(x, 19) || '…' END AS snippet FROM b""")
 def tx35_snippets(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("doc_kind = 'brief'")
     return t.select("doc_id", X.snippet(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)).alias("snippet"))
@@ -446,22 +458,24 @@ def js03_provenance(s: SparkSession, d: str) -> DataFrame:
     return r.join(v, "id", "left").select("event_id", "evidence_id", F.col("k").isNotNull().alias("known")).distinct()
 
 
-@query(r"""SELECT DISTINCT event_id, left(sha256(trim(regexp_replace(lower(left(regexp_replace(trim(coalesce(title, ''), chr(32) || chr(9) || chr(10) || chr(13)), '\s+', ' ', 'g'), 160)), '[^0-9a-z一-鿿._:-]+', '_', 'g'), '_') || '|' || coalesce(event_type, 'other') || '|' || coalesce(CAST(start_day AS VARCHAR), '')), 24) AS event_key FROM event_record""")
+@query(r"""SELECT DISTINCT event_id, left(sha256(trim(regexp_replace(lower(left(regexp_replace(regexp_replace(coalesce(title, ''), '[\t-\r\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), 160)), '[^0-9a-z一-鿿._:-]+', '_', 'g'), '_') || '|' || coalesce(event_type, 'other') || '|' || coalesce(CAST(start_day AS VARCHAR), '')), 24) AS event_key FROM event_record""")
 def js04_event_keys(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "event_record").select("event_id", J.event_key(F.col("title"), F.col("event_type"), F.col("start_day")).alias("event_key")).distinct()
 
 
-@query()
+@query("""SELECT DISTINCT event_id, concat_ws(chr(10), CASE WHEN length(title) > 0 THEN 'title: ' || title END, CASE WHEN length(summary) > 0 THEN 'summary: ' || summary END, CASE WHEN length(event_type) > 0 THEN 'type: ' || event_type END,
+CASE WHEN length(n) > 0 THEN 'entities: ' || n END) AS body FROM (SELECT event_id, title, summary, event_type, array_to_string(list_sort(list_distinct(list_transform(coalesce(entities, []), lambda e: e.name))), ', ') AS n FROM event_record)""")
 def js05_embedding_text(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "event_record").dropDuplicates(["event_id"])
     return r.select("event_id", J.embedding_text(F.col("title"), F.col("summary"), F.col("event_type"), F.coalesce(F.col("entities.name"), F.array().cast("array<string>"))).alias("body"))
 
 
-@query()
+@query(r"""SELECT doc_id, len(l) AS points, len(list_filter(l, lambda x: length(x) > 400)) = 0 AS within, len(list_filter(l, lambda x: regexp_matches(x, '\[\d+\]$'))) > 0 AS cited
+FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '- ')) AS l FROM documents WHERE doc_kind = 'brief')""")
 def js06_brief_bounds(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "documents").where("doc_kind = 'brief'")
     lines = F.filter(F.split("text", "\n"), lambda x: x.startswith("- "))
-    return b.select("doc_id", F.size(lines).alias("points"), F.forall(lines, lambda x: F.length(x) <= 400).alias("within"), F.exists(lines, lambda x: x.rlike(r"\[\d+\]$")).alias("cited"))
+    return b.select("doc_id", F.size(lines).alias("points"), F.forall(lines, lambda x: F.length(x) <= 400).alias("within"), F.exists(lines, lambda x: x.rlike(r"\[\d+\]\z")).alias("cited"))
 
 
 @query("SELECT event_id, json_object('value', value) AS wrapped FROM events WHERE value = floor(value)")
