@@ -152,3 +152,15 @@ def test_pages(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, stuffed string")
     assert {r["doc_id"] for r in S.stuffed_pages(spark, df).collect()} == {1000 + i for i in range(len(STUFFED))}
     assert S.stuffed_pages(spark, df.limit(0)).count() == 0
+
+
+def test_long_texts_and_short_titles():
+    long = REAL * (S.SLICE // len(REAL) + 200)
+    both = S.Slice([long, STUFFED["keywords"] * 4000])
+    assert both.stuffed[0] < 0.1 < 0.9 < both.stuffed[1]
+    assert S.Slice([long]).word.tolist() == both.word[both.doc == 0].tolist()
+
+
+def test_a_short_title_is_no_page(spark):
+    df = spark.createDataFrame([(1, "Velgra Steel output"), (2, "#Steel #Copper")], "doc_id long, text string")
+    assert [r["doc_id"] for r in S.stuffed_pages(spark, df).collect()] == [2]
