@@ -65,9 +65,8 @@ def differs(pairs: Sequence[tuple[Column, Column]]) -> Column:
 def counts_by(df: DataFrame, key: str, status: str, statuses: Sequence[str]) -> DataFrame:
     """Nested counts, total and share in per cent of all rows, a row a key."""
     per = df.groupBy(key).agg(*[F.count_if(F.col(status) == s).alias(f"n_{s.lower()}") for s in statuses], F.count("*").alias("total"))
-    # One row of a total beside one row a key.
-    whole = df.agg(F.count("*").alias("_all"))
-    return per.join(F.broadcast(whole)).withColumn("percent", F.round(F.lit(100.0) * F.col("total") / F.col("_all"), 2)).drop("_all")
+    whole = df.agg(F.count("*")).scalar()
+    return per.withColumn("percent", F.round(F.lit(100.0) * F.col("total") / whole, 2))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -189,10 +189,9 @@ sp AS (SELECT CAST(unnest(generate_series((SELECT max(day) FROM u) - 6, (SELECT
 SELECT f.event_type, sp.day, CASE WHEN sp.day >= f.first_day THEN coalesce(u.n, 0) END AS calls FROM f CROSS JOIN sp LEFT JOIN u ON u.event_type = f.event_type AND u.day = sp.day""")
 def ag22_usage_window(s: SparkSession, d: str, days: int = 7) -> DataFrame:
     u = table(s, d, "events").groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    last = u.agg(F.max("day").alias("z"))
+    last = u.agg(F.max("day")).scalar()
     f = u.groupBy("event_type").agg(F.min("day").alias("first_day"))
-    # One row of a bound beside one row a service.
-    grid = f.join(F.broadcast(last)).select("event_type", "first_day", F.explode(D.spine(F.date_add("z", 1 - days), F.col("z"), "day")).alias("day"))
+    grid = f.select("event_type", "first_day", F.explode(D.spine(F.date_add(last, 1 - days), last, "day")).alias("day"))
     calls = F.when(F.col("day") >= F.col("first_day"), F.coalesce("n", F.lit(0)))
     return grid.join(u, ["event_type", "day"], "left").select("event_type", "day", calls.alias("calls"))
 
@@ -222,16 +221,15 @@ def ag25_latest_per_domain(s: SparkSession, d: str) -> DataFrame:
 def ag26_worker_rollup(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     w = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("seen"))
-    now = e.agg(F.max("ts").alias("now"))
-    online = F.col("seen") >= F.col("now") - F.expr("INTERVAL 24 HOURS")
-    return w.join(F.broadcast(now)).groupBy("event_type").agg(F.count("*").alias("workers"), F.count_if(online).alias("online"), F.max("seen").alias("last_seen"))
+    online = F.col("seen") >= e.agg(F.max("ts")).scalar() - F.expr("INTERVAL 24 HOURS")
+    return w.withColumn("online", online).groupBy("event_type").agg(F.count("*").alias("workers"), F.count_if("online").alias("online"), F.max("seen").alias("last_seen"))
 
 
 @query("SELECT count(*) FILTER (event_type IN ('view', 'click') AND ts >= t - INTERVAL 168 HOURS) AS active, count(*) FILTER (event_type = 'purchase' AND ts >= t - INTERVAL 168 HOURS) AS finished FROM events, (SELECT max(ts) AS t FROM events)")
 def ag27_window_counts(s: SparkSession, d: str, hours: int = 168) -> DataFrame:
     e = table(s, d, "events")
-    inside = F.col("ts") >= F.col("t") - F.expr(f"INTERVAL {hours} HOURS")
-    return e.join(F.broadcast(e.agg(F.max("ts").alias("t")))).agg(F.count_if(F.col("event_type").isin("view", "click") & inside).alias("active"), F.count_if((F.col("event_type") == "purchase") & inside).alias("finished"))
+    inside = e.where(F.col("ts") >= e.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {hours} HOURS"))
+    return inside.agg(F.count_if(F.col("event_type").isin("view", "click")).alias("active"), F.count_if(F.col("event_type") == "purchase").alias("finished"))
 
 
 @query("SELECT o_orderstatus, count(DISTINCT o_orderkey) AS jobs, count(*) AS weight, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

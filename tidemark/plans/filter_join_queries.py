@@ -308,9 +308,8 @@ def jn07_semi_join(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT (SELECT count(DISTINCT id) FROM video) AS videos, (SELECT count(DISTINCT event_id) FROM event_record) AS records, (SELECT count(DISTINCT id) FROM event_map_snapshot WHERE status = 'ready') AS ready")
 def jn08_scalars_side_by_side(s: SparkSession, d: str) -> DataFrame:
-    one = lambda t, c, n, w="true": table(s, d, t).where(w).agg(F.countDistinct(c).alias(n))
-    # Each side is one row.
-    return one("video", "id", "videos").join(F.broadcast(one("event_record", "event_id", "records"))).join(F.broadcast(one("event_map_snapshot", "id", "ready", "status = 'ready'")))
+    one = lambda t, c, n, w="true": table(s, d, t).where(w).agg(F.countDistinct(c)).scalar().alias(n)
+    return s.range(1).select(one("video", "id", "videos"), one("event_record", "event_id", "records"), one("event_map_snapshot", "id", "ready", "status = 'ready'"))
 
 
 @query("SELECT o_orderkey, l_linenumber, l_partkey FROM (SELECT o_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE k = 1")

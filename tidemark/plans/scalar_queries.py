@@ -325,7 +325,7 @@ def dt15_period_shift(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n FROM events, (SELECT max(ts) AS t FROM events) WHERE ts BETWEEN t - INTERVAL 24 HOURS AND t")
 def dt16_rolling_day(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
-    return e.join(F.broadcast(e.agg(F.max("ts").alias("t")))).where(D.rolling_day(F.col("ts"), F.col("t"))).agg(F.count("*").alias("n"))
+    return e.where(D.rolling_day(F.col("ts"), e.agg(F.max("ts")).scalar())).agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT id, CAST(CASE WHEN coalesce(duration_sec, 0) <= 0 THEN 600 ELSE greatest(600, ceil(duration_sec / 4.0) + 300) END AS INTEGER) AS timeout FROM video")

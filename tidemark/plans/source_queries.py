@@ -54,10 +54,9 @@ def src15_scene_records(s: SparkSession, d: str) -> DataFrame:
         F.col("has_uncertainty").alias("uncertain"), F.lit(False).alias("disagrees"), F.col("member_count").alias("members"), F.lit(None).cast("int").alias("macro"), F.lit(None).cast("int").alias("local"), "snapshot_id",
     )
     out = scene.encode(rows.drop("snapshot_id"))
-    sizes = out.agg(F.count("*").alias("records"), F.sum(F.length("record")).alias("all_bytes"))
+    size = out.agg(F.avg(F.length("record"))).scalar()
     per = rows.groupBy("snapshot_id").agg(F.count("*").alias("n"))
-    # One row of totals: their ratio is the size of a record.
-    return per.join(F.broadcast(sizes)).select("snapshot_id", "n", (F.col("n") * (F.col("all_bytes") / F.col("records"))).cast("long").alias("bytes"))
+    return per.select("snapshot_id", "n", (F.col("n") * size).cast("long").alias("bytes"))
 
 
 @query("SELECT canonical_id, CAST(row_number() OVER (ORDER BY canonical_id) - 1 AS INTEGER) AS point FROM (SELECT DISTINCT canonical_id FROM event_map_canonical)")
