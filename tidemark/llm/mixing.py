@@ -161,10 +161,10 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: i
     copies = (F.col("base") + F.round("pi").cast("int")).alias("copies")
     drawn = reduce(DataFrame.unionByName, parts).select("doc_id", "source", "n_tokens", copies).where("copies > 0")
     per = drawn.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"))
-    total = per.agg(F.sum("n_tokens").alias("all_tokens"))
-    # Both sides are one row a named source, and one row.
+    total = per.agg(F.sum("n_tokens")).scalar()
+    # One row a named source.
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    held = wanted.join(F.broadcast(per), "source", "left").join(F.broadcast(total), F.lit(True), "left")
-    actual = F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0))
+    held = wanted.join(F.broadcast(per), "source", "left")
+    actual = F.coalesce(F.col("n_tokens") / total, F.lit(0.0))
     shares = held.select("source", "target_share", actual.alias("actual_share"), "max_repeats", *[zero(c) for c in ("n_docs", "n_copies", "most_copies", "n_tokens")])
     return drawn, shares
