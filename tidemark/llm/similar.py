@@ -167,7 +167,8 @@ def most_similar(spark: SparkSession, vectors: DataFrame, dim: int, k: int, leas
     c, share = centroids(vectors, n, dim)
     parts = np.maximum(1, np.ceil(n * share / LARGEST)).astype(int)
     routed = _route(vectors, c, parts, probes, every, dim)
-    hits = routed.groupBy("shard", "part").applyInArrow(_search(k, ef, links, least, dim), "id long, other long, similarity double")
+    # As many partitions as parts: a task holds a part or a few, however many vectors there are.
+    hits = routed.repartition(int(parts.sum()), "shard", "part").groupBy("shard", "part").applyInArrow(_search(k, ef, links, least, dim), "id long, other long, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
