@@ -31,3 +31,18 @@ def test_against_sets_with_a_hot_key(spark):
     refs = [("s", str(i), "v", "k7" if i % 3 == 0 else f"k{rng.randrange(500)}", 1, None) for i in range(5000)]
     got = {(r["rec_id"], r["ref_state"]) for r in O.find_orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame([("v", k, False, 0, 0) for k in held], PARENTS)).collect()}
     assert got == {(r[1], "missing") for r in refs if r[3] not in held}
+
+
+def test_a_reference_of_no_type_is_missing(spark, tmp_path):
+    from tidemark.plans.core_queries import p4_found
+
+    made = "CAST(timestamp_ntz'2025-01-01 00:00:00' AS timestamp_ntz) AS created_at"
+    tables = {
+        "asset": f"SELECT 'a' id, CAST(null AS string) video_id, {made} WHERE false", "video": f"SELECT 'v' id, CAST(null AS string) status, {made}", "event_map_snapshot": f"SELECT 's' id, {made}",
+        "event_record": f"SELECT 'r' revision_id, {made}", "event_map_canonical": "SELECT 's' snapshot_id, 'c' canonical_id",
+        "brief_reference": f"SELECT * FROM VALUES ('1', CAST(null AS string), 'v', 's'), ('2', 'source', ' V ', null), ('3', 'canonical', 'c', null), ('4', 'source', null, 'x') AS t(id, object_type, object_id, snapshot_id), (SELECT {made})",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["src"].split(".")[1], r["rec_id"], r["month_key"], r["ref_state"]) for r in p4_found(spark, str(tmp_path)).collect()}
+    assert got == {("object_id", "1", "2025-01", "missing"), ("object_id", "3", "2025-01", "missing"), ("snapshot_id", "4", "2025-01", "missing")}

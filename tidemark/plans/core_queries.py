@@ -66,7 +66,8 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         return df.select(F.lit(src).alias("src"), norm_id("id").alias("rec_id"), kind.alias("kind"), key.alias("key"), epoch_us("created_at").alias("made_us"))
 
     object_key = F.when(norm_id("object_id").isNotNull(), F.when(F.col("object_type") == "canonical", pair(norm_id("snapshot_id"), norm_id("object_id"))).otherwise(norm_id("object_id")))
-    object_kind = F.when(F.col("object_type") == "source", "video").otherwise(F.col("object_type"))
+    # A reference of no known type has no valid target.
+    object_kind = F.when(F.col("object_type") == "source", "video").otherwise(F.coalesce("object_type", F.lit("")))
     left = (
         refs(asset, "asset.video_id", F.lit("video"), norm_id("video_id"))
         .unionByName(refs(brief, "brief_reference.object_id", object_kind, object_key))
