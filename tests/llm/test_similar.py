@@ -67,7 +67,7 @@ def test_copies_ties_and_unusable_vectors(spark):
     bad = [None, [], [1.0], [0.0] * DIM, [float("nan")] + [1.0] * (DIM - 1), [float("inf")] + [1.0] * (DIM - 1), [None] + [1.0] * (DIM - 1)]
     rows += [(200 + i, v, None) for i, v in enumerate(bad)] + [(None, x[1].tolist(), None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    none = spark.createDataFrame([], "anchor_rank int, vector array<float>")
+    none = spark.createDataFrame([(1, None), (None, x[0].tolist()), (2, [0.0] * DIM), (3, [1.0])], "anchor_rank int, vector array<float>")
     got = {(r["left_key"], r["right_key"]) for r in S.record_and_anchor_pairs(spark, df, none, "vector_index", DIM, 5, 0.9, 0.7).collect()}
     ids = [*range(40), *range(100, 109)]
     assert got == exact_pairs(np.concatenate([x, np.repeat(x[:1], 9, axis=0)]), ids, 5, 0.9)

@@ -112,7 +112,7 @@ def test_mix(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 40)
     rng = random.Random(2)
     docs = [(i, s, " ".join("word" for _ in range(rng.randint(1, 60))), "x") for i, s in enumerate(["big"] * 400 + ["mid"] * 90 + ["small"] * 12 + ["unnamed"] * 30 + [None] * 5)]
-    docs += [(900, "big", None, "x"), (901, "big", "", "x")]
+    docs += [(900, "big", None, "x"), (901, "big", "", "x"), (None, "big", "word word", "x")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string, copies string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4), ("nothing", 0.1, 2), (None, 0.1, 1), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
     drawn, shares = M.mix(spark, df, targets)
@@ -148,7 +148,7 @@ def test_pages(spark):
     rng = random.Random(0)
     words = "board company numbers quarter week port house price market report analyst supply demand plant bank".split()
     docs = [(i, " ".join(f"The {rng.choice(words)} of the {rng.choice(words)} is in the {rng.choice(words)} for a week." for _ in range(8)), None) for i in range(150)]
-    docs += [(1000 + i, t, None) for i, t in enumerate(STUFFED.values())] + [(2000, None, None), (2001, "", None), (2002, " \n\t", None)]
+    docs += [(1000 + i, t, None) for i, t in enumerate(STUFFED.values())] + [(2000, None, None), (2001, "", None), (2002, " \n\t", None), (None, STUFFED["tags"], None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, stuffed string")
     assert {r["doc_id"] for r in S.stuffed_pages(spark, df).collect()} == {1000 + i for i in range(len(STUFFED))}
     assert S.stuffed_pages(spark, df.limit(0)).count() == 0

@@ -11,7 +11,7 @@ tokens.
 Blocks are hashed within a source, so a source with a third of all documents is many blocks, and no group is larger
 than ``BLOCK`` in expectation.
 
-Cases: texts that are null, empty or without tokens are never drawn; documents of unnamed or null sources stay out; a
+Cases: rows with a null id and texts that are null, empty or without tokens are never drawn; documents of unnamed or null sources stay out; a
 named source without documents reaches a share of zero, and its share goes to the others in proportion; rows of the
 target table with a null source, or a share or repeats that are null or not above zero, ask for nothing; equal texts are
 documents of their own; an empty table gives an empty mix; extra columns are not read.
@@ -137,7 +137,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: i
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     # The target table has a row a source; the driver plans the mix from one row each.
     named = {r["source"]: r for r in wanted.collect()}
-    chosen = documents.where(F.col("source").isin(list(named)) & (F.length("text") > 0)).select("doc_id", "source", "text")
+    chosen = documents.where(F.col("doc_id").isNotNull() & F.col("source").isin(list(named)) & (F.length("text") > 0)).select("doc_id", "source", "text")
     sized = st.write(tokens.count(chosen, path=path, keep=["doc_id", "source"]).where("n_tokens > 0"))
     sums = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")).collect()}
     made = plan([(s, r["target_share"], r["max_repeats"], int(sums[s]["n_tokens"]) if s in sums else 0, int(sums[s]["n_docs"]) if s in sums else 0) for s, r in sorted(named.items())], budget)

@@ -37,8 +37,8 @@ def p5_similar(spark: SparkSession, d: str) -> DataFrame:
 
 def _specs(spark: SparkSession, d: str) -> list[chunks.Spec]:
     # extraction_spec is a fixed table of a few rows.
-    rows = table(spark, d, "extraction_spec").select("prompt_version", "chunk_max_chars", "overlap_chars").distinct().collect()
-    return [chunks.Spec(r[0], r[1], r[2]) for r in sorted(rows)]
+    rows = table(spark, d, "extraction_spec").select("prompt_version", "chunk_max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars")).distinct()
+    return [chunks.Spec(r[0], r[1], r[2]) for r in sorted(rows.where("prompt_version IS NOT NULL AND chunk_max_chars > 0").collect())]
 
 
 def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:

@@ -201,9 +201,10 @@ def representatives(used: DataFrame) -> DataFrame:
 
 def record_and_anchor_pairs(spark: SparkSession, records: DataFrame, anchors: DataFrame, id_column: str, dim: int, k: int, least: float, least_anchor: float) -> DataFrame:
     """anchors: rank, vector; a fixed table. Result: pair_kind, left_key, right_key."""
-    rows = anchors.collect()
+    rows = [r for r in anchors.collect() if r[0] is not None and r[1] is not None and len(r[1]) == dim and None not in r[1]]
+    rows = [r for r in rows if 0 < np.linalg.norm(np.array(r[1], np.float64)) < np.inf]
     a = np.array([r[1] for r in sorted(rows)], np.float64).reshape(-1, dim)
-    a = (a / np.linalg.norm(a, axis=1, keepdims=True)).astype(np.float32) if len(a) else a.astype(np.float32)
+    a = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)).astype(np.float32)
     st = Stages(spark, "similar")
     used = st.write(usable(records, id_column, "vector", dim, a, np.array([r[0] for r in sorted(rows)], np.int32), least_anchor))
     reps = st.write(representatives(used))
