@@ -56,7 +56,7 @@ def ag06_distinct_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT video_id, max(CASE WHEN status = 'accepted' THEN 1 ELSE 0 END) AS good, max(CASE WHEN status = 'rejected' THEN 1 ELSE 0 END) AS bad FROM video_time_evidence GROUP BY 1)
-SELECT count(*) AS videos, sum(good) AS accepted, sum(bad) AS rejected, sum(CASE WHEN good = 0 AND bad = 0 THEN 1 ELSE 0 END) AS waiting FROM p""")
+SELECT count(*) AS videos, CAST(sum(good) AS BIGINT) AS accepted, CAST(sum(bad) AS BIGINT) AS rejected, CAST(sum(CASE WHEN good = 0 AND bad = 0 THEN 1 ELSE 0 END) AS BIGINT) AS waiting FROM p""")
 def ag07_two_phase_flags(s: SparkSession, d: str) -> DataFrame:
     flag = lambda v: F.max(F.when(F.col("status") == v, 1).otherwise(0))
     p = table(s, d, "video_time_evidence").groupBy("video_id").agg(flag("accepted").alias("good"), flag("rejected").alias("bad"))
@@ -143,14 +143,14 @@ def ag15_period_counts_month(s: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT DISTINCT snapshot_id, canonical_id, event_start_day AS a, greatest(event_start_day, event_end_day) AS b, member_count AS m FROM event_map_canonical WHERE event_start_day IS NOT NULL AND event_end_day IS NOT NULL),
 x AS (SELECT snapshot_id, m, unnest(generate_series(date_trunc('month', DATE '1970-01-01' + a), date_trunc('month', DATE '1970-01-01' + b), INTERVAL 1 MONTH)) AS month FROM c)
-SELECT snapshot_id, strftime(month, '%Y-%m') AS month, count(*) AS canonical_count, sum(m) AS record_count FROM x GROUP BY ALL""")
+SELECT snapshot_id, strftime(month, '%Y-%m') AS month, count(*) AS canonical_count, CAST(sum(m) AS BIGINT) AS record_count FROM x GROUP BY ALL""")
 def ag16_monthly_distribution(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "event_map_canonical").where("event_start_day IS NOT NULL AND event_end_day IS NOT NULL").select("snapshot_id", "canonical_id", "event_start_day", "event_end_day", "member_count").distinct()
     x = R.months_covered(c, F.col("event_start_day"), F.col("event_end_day"))
     return x.groupBy("snapshot_id", F.date_format("month", "yyyy-MM").alias("month")).agg(F.count("*").alias("canonical_count"), F.sum("member_count").alias("record_count"))
 
 
-@query("SELECT type, count(*) AS n, sum(size_bytes) AS bytes, count(*) FILTER (size_bytes IS NULL) AS missing_size FROM (SELECT DISTINCT * FROM asset) GROUP BY 1 ORDER BY bytes DESC")
+@query("SELECT type, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) FILTER (size_bytes IS NULL) AS missing_size FROM (SELECT DISTINCT * FROM asset) GROUP BY 1 ORDER BY bytes DESC")
 def ag17_inventory(s: SparkSession, d: str) -> DataFrame:
     a = table(s, d, "asset").distinct().groupBy("type").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("size_bytes").isNull()).alias("missing_size"))
     return a.orderBy(F.desc("bytes"), "type")
@@ -197,7 +197,7 @@ def ag22_usage_window(s: SparkSession, d: str, days: int = 7) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, event_type, CAST(props->>'$.k' AS BIGINT) AS k FROM events), st AS (SELECT user_id, k, min(ts) AS t FROM e WHERE event_type = 'view' GROUP BY ALL)
-SELECT CAST(e.ts AS DATE) AS day, count(*) AS calls, sum(CASE WHEN st.t IS NULL THEN 1 ELSE 0 END) AS unpaired FROM e LEFT JOIN st ON st.user_id = e.user_id AND st.k = e.k AND st.t <= e.ts WHERE e.event_type = 'click' GROUP BY 1""")
+SELECT CAST(e.ts AS DATE) AS day, count(*) AS calls, CAST(sum(CASE WHEN st.t IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unpaired FROM e LEFT JOIN st ON st.user_id = e.user_id AND st.k = e.k AND st.t <= e.ts WHERE e.event_type = 'click' GROUP BY 1""")
 def ag23_paired_events(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("long"))
     st = e.where("event_type = 'view'").groupBy("user_id", "k").agg(F.min("ts").alias("t"))
@@ -206,7 +206,7 @@ def ag23_paired_events(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("calls"), F.sum(F.when(unpaired, 1).otherwise(0)).alias("unpaired"))
 
 
-@query("SELECT event_type, sum(coalesce(CAST(props->>'$.total' AS BIGINT), CAST(props->>'$.k' AS BIGINT), 0)) AS tokens FROM events GROUP BY 1")
+@query("SELECT event_type, CAST(sum(coalesce(CAST(props->>'$.total' AS BIGINT), CAST(props->>'$.k' AS BIGINT), 0)) AS BIGINT) AS tokens FROM events GROUP BY 1")
 def ag24_usage_from_json(s: SparkSession, d: str) -> DataFrame:
     k = lambda p: F.get_json_object("props", p).try_cast("long")
     return table(s, d, "events").groupBy("event_type").agg(F.sum(F.coalesce(k("$.total"), k("$.k"), F.lit(0))).alias("tokens"))
@@ -553,7 +553,7 @@ def sl12_latest_by_best_time(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "video").select("id", F.coalesce("published_at", "created_at").alias("t")).distinct().orderBy(F.desc("t"), "id").limit(25)
 
 
-@query("SELECT type, sum(size_bytes) AS bytes FROM asset GROUP BY 1 ORDER BY 2 DESC, 1")
+@query("SELECT type, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM asset GROUP BY 1 ORDER BY 2 DESC, 1")
 def sl13_by_bytes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "asset").groupBy("type").agg(F.sum("size_bytes").alias("bytes")).orderBy(F.desc("bytes"), "type")
 

@@ -449,7 +449,7 @@ def jn23_failed_then_recovered(s: SparkSession, d: str) -> DataFrame:
     return f.select("user_id", "ts", label.alias("label"))
 
 
-@query("SELECT DISTINCT b.id, CASE WHEN v.id IS NOT NULL THEN json_object('id', v.id, 'title', v.title) END AS frozen FROM brief_reference b LEFT JOIN (SELECT DISTINCT id, title FROM video) v ON v.id = b.object_id WHERE b.object_type = 'source'")
+@query("SELECT DISTINCT b.id, CAST(CASE WHEN v.id IS NOT NULL THEN json_object('id', v.id, 'title', v.title) END AS VARCHAR) AS frozen FROM brief_reference b LEFT JOIN (SELECT DISTINCT id, title FROM video) v ON v.id = b.object_id WHERE b.object_type = 'source'")
 def jn24_freeze_quoted_objects(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "video").select(F.col("id").alias("object_id"), "title").distinct()
     v = v.withColumn("frozen", F.to_json(F.struct(F.col("object_id").alias("id"), "title"), {"ignoreNullFields": "false"}))

@@ -118,7 +118,7 @@ for _name, _how, _limit in (("tx14_chunks_at_lines", C.by_newline, 700), ("tx15_
     query()(_f)
 
 
-@query("""SELECT id, kind, sha256(body) AS sha, length(body) AS n FROM (SELECT DISTINCT id, 'title' AS kind, title AS body FROM video WHERE title <> '' UNION SELECT DISTINCT id, 'description', description FROM video WHERE description <> '')""")
+@query("""SELECT id, kind, sha256(body) AS sha, CAST(length(body) AS INTEGER) AS n FROM (SELECT DISTINCT id, 'title' AS kind, title AS body FROM video WHERE title <> '' UNION SELECT DISTINCT id, 'description', description FROM video WHERE description <> '')""")
 def tx18_source_table(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "video")
     part = lambda c: v.where(F.col(c) != "").select("id", F.lit(c).alias("kind"), F.col(c).alias("body"))
@@ -131,7 +131,7 @@ def tx19_token_estimate(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", X.token_estimate("text").alias("tokens"))
 
 
-@query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), 'https?://[^\s）)\]}>，,]+'))) AS n FROM documents")
+@query(r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(coalesce(text, ''), 'https?://[^\s）)\]}>，,]+'))) AS INTEGER) AS n FROM documents")
 def tx20_urls(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.size(X.urls("text")).alias("n"))
 
@@ -470,7 +470,7 @@ def js05_embedding_text(s: SparkSession, d: str) -> DataFrame:
     return r.select("event_id", J.embedding_text(F.col("title"), F.col("summary"), F.col("event_type"), F.coalesce(F.col("entities.name"), F.array().cast("array<string>"))).alias("body"))
 
 
-@query(r"""SELECT doc_id, len(l) AS points, len(list_filter(l, lambda x: length(x) > 400)) = 0 AS within, len(list_filter(l, lambda x: regexp_matches(x, '\[\d+\]$'))) > 0 AS cited
+@query(r"""SELECT doc_id, CAST(len(l) AS INTEGER) AS points, len(list_filter(l, lambda x: length(x) > 400)) = 0 AS within, len(list_filter(l, lambda x: regexp_matches(x, '\[\d+\]$'))) > 0 AS cited
 FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '- ')) AS l FROM documents WHERE doc_kind = 'brief')""")
 def js06_brief_bounds(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "documents").where("doc_kind = 'brief'")
@@ -478,7 +478,7 @@ def js06_brief_bounds(s: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", F.size(lines).alias("points"), F.forall(lines, lambda x: F.length(x) <= 400).alias("within"), F.exists(lines, lambda x: x.rlike(r"\[\d+\]\z")).alias("cited"))
 
 
-@query("SELECT event_id, json_object('value', value) AS wrapped FROM events WHERE value = floor(value)")
+@query("SELECT event_id, CAST(json_object('value', value) AS VARCHAR) AS wrapped FROM events WHERE value = floor(value)")
 def js07_scalar_as_object(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").where("value = floor(value)").select("event_id", F.to_json(F.struct("value")).alias("wrapped"))
 

@@ -74,7 +74,7 @@ def src21_table_copies(s: SparkSession, d: str) -> DataFrame:
     return copy_tables(s, d, f"{shared_dir(s)}/copies-{uuid.uuid4().hex[:8]}", ["media", "video", "asset"])
 
 
-@query("SELECT sum(n) AS archived FROM (SELECT count(*) AS n FROM event_map_snapshot)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS archived FROM (SELECT count(*) AS n FROM event_map_snapshot)")
 def src22_archive_manifest(s: SparkSession, d: str) -> DataFrame:
     import uuid
 
