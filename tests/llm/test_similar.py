@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.llm import queries as Q
 from tidemark.llm import similar as S
 from tidemark.llm.hnsw import Graph
 
@@ -86,3 +87,16 @@ def test_stated_queries(spark):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     assert len(got) == 30 and np.mean([len(set(r["o"]) & set(np.argsort(-s[r["id"]])[:5])) / 5 for r in got]) >= 0.9
+
+
+def test_stated_queries_over_many_shards(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(S, "SHARD", 20)
+    monkeypatch.setattr(S, "SLICE", 30, raising=False)
+    x = np.random.default_rng(8).normal(size=(2000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vector_index int, vector array<float>").write.parquet(f"{tmp_path}/event_record.parquet")
+    got = Q.p5_similar(spark, str(tmp_path)).groupBy("id").agg(F.collect_list("other").alias("o")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert len(got) == 100 and all(len(r["o"]) == 5 for r in got)
+    assert np.mean([len(set(r["o"]) & set(np.argsort(-s[r["id"]])[:5])) / 5 for r in got]) >= 0.98

@@ -32,7 +32,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_similar(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar records of every record whose vector_index is divisible by 20, whatever the similarity."""
-    return similar.ranked_similar(spark, table(spark, d, "event_record"), "vector_index", 64, 5, 20, 16)
+    return similar.ranked_similar(spark, table(spark, d, "event_record"), "vector_index", 64, 5, 20)
 
 
 def _specs(spark: SparkSession, d: str) -> list[chunks.Spec]:

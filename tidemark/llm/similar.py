@@ -1,7 +1,8 @@
 """The k most similar vectors of every vector, within an accuracy that is measured: sharded small-world graphs.
 
 Vectors are routed to the shards of their most similar centroids; each shard holds a navigable small-world graph as
-flat neighbour arrays (``hnsw``); queries visit ``probes`` shards and the shards' results are merged. The centroids are
+flat neighbour arrays (``hnsw``); queries visit ``probes`` shards, or all, and the shards' results are merged. Where
+queries are many, a shard answers them in slices. The centroids are
 fitted on a sample of at most ``SAMPLE`` vectors a shard, drawn by hash; every vector is indexed and none is capped.
 A shard that would outgrow ``LARGEST`` is split by hash, and its queries visit all its parts.
 
@@ -32,6 +33,8 @@ from tidemark.session import Stages
 SHARD, LARGEST, MOST_SHARDS = 4000, 8192, 2048
 #: Sampled vectors a shard, from which the centroids are fitted, and rounds of fitting.
 SAMPLE, ROUNDS = 32, 6
+#: The most queries that a part is meant to get at once, and rows of routed queries in a batch.
+SLICE, ROUTED = 131_072, 65_536
 
 
 def _content(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,34 +105,38 @@ def centroids(vectors: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndar
     return c, np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)) / len(x)
 
 
-def _route(vectors: DataFrame, c: np.ndarray, parts: np.ndarray, probes: int, every: int, dim: int) -> DataFrame:
-    """shard, part, role (1 member, 2 query, 3 both), id, vec."""
-    probes = min(probes, len(c))
+def _route(vectors: DataFrame, c: np.ndarray, parts: np.ndarray, probes: int, every: int, dim: int, slices: int) -> DataFrame:
+    """shard, part, slice, role (1 member, 2 query, 3 both), id, vec. Members are in every slice, a query in one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(at: np.ndarray, shard: np.ndarray, part: np.ndarray, cut: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(z.astype(np.int32)) for z in (shard, part, cut, role)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(ids[at]), _binary(x[at])], names=["shard", "part", "slice", "role", "id", "vec"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
             s = x @ c.T
-            top = np.argpartition(s, len(c) - probes, axis=1)[:, len(c) - probes :]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-            home = top[:, 0]
+            home = s.argmax(axis=1)
             own = np.minimum((unit_hash(ids, 3) * parts[home]).astype(int), parts[home] - 1)
-            asks = ids % every == 0
+            asks, mine = ids % every == 0, np.minimum((unit_hash(ids, 9) * slices).astype(int), slices - 1)
+            for cut in range(slices):
+                yield rows(np.arange(len(ids)), home, own, np.full(len(ids), cut), np.where(asks & (mine == cut), 3, 1))
             # A query for each part of each probed shard; the member's row doubles as the query of its own part.
-            row, column = np.nonzero(np.broadcast_to(asks[:, None], top.shape))
-            shard = top[row, column]
-            row, shard = np.repeat(row, parts[shard]), np.repeat(shard, parts[shard])
-            part = _within(row, shard)
-            other = (shard != home[row]) | (part != own[row])
-            row, shard, part = row[other], shard[other], part[other]
-            at = np.concatenate([np.arange(len(ids)), row])
-            role = np.concatenate([np.where(asks, 3, 1), np.full(len(row), 2)]).astype(np.int32)
-            where = [np.concatenate(z).astype(np.int32) for z in ((home, shard), (own, part))]
-            yield pa.RecordBatch.from_arrays([pa.array(where[0]), pa.array(where[1]), pa.array(role), pa.array(ids[at]), _binary(x[at])], names=["shard", "part", "role", "id", "vec"])
+            asking = np.flatnonzero(asks)
+            step = max(1, ROUTED // (probes * int(parts.max())))
+            for a in range(0, len(asking), step):
+                at = asking[a : a + step]
+                shard = np.argpartition(s[at], len(c) - probes, axis=1)[:, len(c) - probes :].ravel()
+                row = np.repeat(at, probes)
+                row, shard = np.repeat(row, parts[shard]), np.repeat(shard, parts[shard])
+                part = _within(row, shard)
+                other = (shard != home[row]) | (part != own[row])
+                row, shard, part = row[other], shard[other], part[other]
+                yield rows(row, shard, part, mine[row], np.full(len(row), 2))
 
-    return vectors.select("id", "vec").mapInArrow(run, "shard int, part int, role int, id long, vec binary")
+    return vectors.select("id", "vec").mapInArrow(run, "shard int, part int, slice int, role int, id long, vec binary")
 
 
 def _within(row: np.ndarray, shard: np.ndarray) -> np.ndarray:
@@ -160,15 +167,17 @@ def _search(k: int, ef: int, links: int, least: float, dim: int):
     return run
 
 
-def most_similar(spark: SparkSession, vectors: DataFrame, dim: int, k: int, least: float = -1.0, probes: int = 3, every: int = 1, ef: int = 16, links: int = 12) -> DataFrame:
+def most_similar(spark: SparkSession, vectors: DataFrame, dim: int, k: int, least: float = -1.0, probes: int | None = 3, every: int = 1, ef: int = 16, links: int = 12) -> DataFrame:
     """vectors: id, vec as of ``usable``, an id once. The k most similar others of every id divisible by ``every``:
-    id, other, similarity (at least ``least``), rank."""
-    n = vectors.count()
+    id, other, similarity (at least ``least``), rank. Without ``probes`` a query visits every shard."""
+    n, asked = vectors.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     c, share = centroids(vectors, n, dim)
+    probes = min(probes or len(c), len(c))
     parts = np.maximum(1, np.ceil(n * share / LARGEST)).astype(int)
-    routed = _route(vectors, c, parts, probes, every, dim)
+    slices = max(1, math.ceil(asked * probes / len(c) / SLICE))
+    routed = _route(vectors, c, parts, probes, every, dim, slices)
     # As many partitions as parts: a task holds a part or a few, however many vectors there are.
-    hits = routed.repartition(int(parts.sum()), "shard", "part").groupBy("shard", "part").applyInArrow(_search(k, ef, links, least, dim), "id long, other long, similarity double")
+    hits = routed.repartition(int(parts.sum()) * slices, "shard", "part", "slice").groupBy("shard", "part", "slice").applyInArrow(_search(k, ef, links, least, dim), "id long, other long, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -215,8 +224,10 @@ def record_and_anchor_pairs(spark: SparkSession, records: DataFrame, anchors: Da
     return record.unionByName(anchor)
 
 
-def ranked_similar(spark: SparkSession, records: DataFrame, id_column: str, dim: int, k: int, every: int, probes: int) -> DataFrame:
-    """The k most similar records of every id divisible by ``every``, against all: id, other, rank, similarity."""
+def ranked_similar(spark: SparkSession, records: DataFrame, id_column: str, dim: int, k: int, every: int, probes: int | None = None) -> DataFrame:
+    """The k most similar records of every id divisible by ``every``, against all: id, other, rank, similarity.
+
+    Without a least similarity the nearest may lie in any shard, so every shard is visited unless ``probes`` is given."""
     st = Stages(spark, "similar")
     used = st.write(usable(records, id_column, "vector", dim, np.zeros((0, dim), np.float32), np.zeros(0, np.int32), 2.0))
     # Every id asks for itself here, copies included, so classes of copies are not reduced.
