@@ -39,11 +39,13 @@ def modal_labels(entities: DataFrame, records: DataFrame, group: str, kind: str
     return best.join(names, group, "left").select(group, F.substring(F.array_join(parts, " · "), 1, 120).alias("label"))
 
 
-def geometry(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean centre, greatest distance from it and number of the points x, y, z of each group."""
+def geometry(df: DataFrame, keys: Sequence[str], point: str | None = None) -> DataFrame:
+    """Mean centre, greatest distance from it and number of the points x, y, z of each group; with ``point`` also the
+    anchor, the point nearest the centre. Squares that agree to nine digits tie, for the smaller point."""
     m = df.groupBy(*keys).agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
     away = F.sqrt(sum((F.pow(F.col(a) - F.col(f"c{a}"), 2) for a in "xyz"), F.lit(0.0)))
-    return df.join(m, list(keys)).groupBy(*keys, "cx", "cy", "cz").agg(F.max(away).alias("radius"), F.count("*").alias("n"))
+    anchor = [F.min_by(point, F.struct(F.round(away * away, 9).alias("s"), F.col(point).alias("p"))).alias("anchor")] if point else []
+    return df.join(m, list(keys)).groupBy(*keys, "cx", "cy", "cz").agg(F.max(away).alias("radius"), F.count("*").alias("n"), *anchor)
 
 
 def diverse_cards(df: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 METHOD = "pca3"
 NEIGHBOURS = 8
+#: The most anchors of a snapshot and the grid cells on each axis of its bounds.
+ANCHORS, CELLS = 4096, 16
 
 
 def _stack(rows: pd.Series) -> np.ndarray:
@@ -125,3 +127,27 @@ def anchored(df: DataFrame, anchors: DataFrame) -> DataFrame:
 def incremental_layout(changed: int, total: int, same_versions: bool) -> bool:
     """Whether a new layout may keep the old one's places: few changes and the same versions."""
     return same_versions and changed <= max(1000, int(total * 0.02))
+
+
+def anchors(df: DataFrame, key: str, point: str, most: int = ANCHORS) -> DataFrame:
+    """The points key, point, x, y, z that stand for the layout of each key: all of up to ``most`` points, else the one
+    nearest the centre of each cell of a grid over the key's own bounds, filled up in even steps by ``point``.
+
+    Cells come from doubles and distances from floats, as layouts are stored; ties go to the smaller point."""
+    near, all_ = [F.col(point), *[F.col(a) for a in "xyz"]], Window.partitionBy(key)
+    p = df.select(key, point, *[F.col(a).cast("float").alias(a) for a in "xyz"]).withColumn("n", F.count("*").over(all_))
+    for a in "xyz":
+        least, span = F.min(a).over(all_).cast("double"), F.greatest(F.max(a).over(all_).cast("double") - F.min(a).over(all_).cast("double"), F.lit(1e-6))
+        p = p.withColumns({f"min_{a}": least, f"span_{a}": span})
+    cell = {f"c{a}": F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((F.col(a) - F.col(f"min_{a}")) / F.col(f"span_{a}") * CELLS))) for a in "xyz"}
+    off = {f"off_{a}": F.col(a) - (F.col(f"min_{a}") + (F.col(f"c{a}") + 0.5) / CELLS * F.col(f"span_{a}")).cast("float") for a in "xyz"}
+    away = F.col("off_x") * F.col("off_x") + F.col("off_y") * F.col("off_y") + F.col("off_z") * F.col("off_z")
+    grid = p.where(F.col("n") > most).withColumns(cell).withColumns(off)
+    grid = grid.withColumn("chosen", F.row_number().over(Window.partitionBy(key, *cell).orderBy(away, *near)) == 1)
+    room = grid.withColumn("room", F.lit(most) - F.count_if("chosen").over(all_))
+    step = F.greatest(F.lit(1), F.floor((F.col("n") - most + F.col("room")) / F.greatest(F.lit(1), F.col("room"))))
+    place = F.row_number().over(Window.partitionBy(key, "chosen").orderBy(*near)) - 1
+    fill = (F.col("place") % F.col("step") == 0) & (F.col("place") < F.col("step") * F.col("room"))
+    kept = room.withColumns({"step": step, "place": place}).where(F.col("chosen") | fill)
+    columns = [key, point, *"xyz"]
+    return p.where(F.col("n") <= most).select(columns).unionByName(kept.select(columns))

@@ -301,6 +301,16 @@ def ag35_topic_geometry(s: SparkSession, d: str) -> DataFrame:
     return g.select("snapshot_id", "event_type", F.round("cx", 4).alias("cx"), F.round("radius", 4).alias("radius"), "n")
 
 
+@query("""WITH c AS (SELECT DISTINCT snapshot_id, event_type, canonical_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM event_map_canonical WHERE event_type IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+m AS (SELECT snapshot_id, event_type, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM c GROUP BY ALL)
+SELECT snapshot_id, event_type, arg_min(canonical_id, (round((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2, 9), canonical_id)) AS anchor FROM c JOIN m USING (snapshot_id, event_type) GROUP BY ALL""")
+def ag35_topic_anchor(s: SparkSession, d: str) -> DataFrame:
+    from tidemark.operators.groups import geometry
+
+    c = table(s, d, "event_map_canonical").dropna(subset=["event_type", "x", "y", "z"]).select("snapshot_id", "event_type", "canonical_id", "x", "y", "z").distinct()
+    return geometry(c, ["snapshot_id", "event_type"], "canonical_id").select("snapshot_id", "event_type", "anchor")
+
+
 @query("""WITH m AS (SELECT DISTINCT c.canonical_id, r.event_id, r.start_day, r.end_day FROM event_to_canonical c JOIN event_record r USING (event_id) WHERE c.canonical_id IS NOT NULL AND r.start_day IS NOT NULL AND r.end_day IS NOT NULL),
 g AS (SELECT canonical_id, max(start_day) AS a, min(end_day) AS b, arg_min(start_day, event_id) AS fa, arg_min(end_day, event_id) AS fb FROM m GROUP BY 1)
 SELECT canonical_id, CASE WHEN a > b THEN fa ELSE a END AS start_day, CASE WHEN a > b THEN fb ELSE b END AS end_day, a > b AS disagree FROM g""")
@@ -536,10 +546,10 @@ def sl09_retention(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT DISTINCT snapshot_id, canonical_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM event_map_canonical WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL), g AS (SELECT *, floor(x * 2) AS a, floor(y * 2) AS b, floor(z * 2) AS e FROM c)
 SELECT snapshot_id, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, a, b, e ORDER BY round((x - (a + 0.5) / 2) ** 2 + (y - (b + 0.5) / 2) ** 2 + (z - (e + 0.5) / 2) ** 2, 9), canonical_id) AS k FROM g) WHERE k = 1""")
 def sl10_spatial_grid(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "event_map_canonical").dropna(subset=["x", "y", "z"]).select("snapshot_id", "canonical_id", *[F.col(a).cast("double").alias(a) for a in "xyz"]).distinct()
-    cell = {f"c{a}": F.floor(F.col(a) * 2) for a in "xyz"}
-    off = sum((F.pow(F.col(a) - (F.col(f"c{a}") + 0.5) / 2, 2) for a in "xyz"), F.lit(0.0))
-    return R.first_per_key(c.withColumns(cell), ["snapshot_id", *cell], [F.round(off, 9), F.col("canonical_id")]).select("snapshot_id", "canonical_id")
+    from tidemark.operators.projection import anchors
+
+    c = table(s, d, "event_map_canonical").dropna(subset=["x", "y", "z"]).select("snapshot_id", "canonical_id", "x", "y", "z").distinct()
+    return anchors(c, "snapshot_id", "canonical_id").select("snapshot_id", "canonical_id")
 
 
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O') WHERE k > 1")
