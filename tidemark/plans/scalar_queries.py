@@ -151,7 +151,7 @@ def tx23_brief_errors(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, replace(replace('# {{date}}' || chr(10) || '{{blocks}}', '{{date}}', coalesce(lang, '')), '{{blocks}}', left(coalesce(text, ''), 80)) AS prompt FROM documents WHERE doc_kind = 'summary'")
 def tx24_composed_prompt(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("doc_kind = 'summary'")
-    return t.select("doc_id", X.compose(F.lit("# {{date}}\n{{blocks}}"), date=F.coalesce("lang", F.lit("")), blocks=F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("prompt"))
+    return t.select("doc_id", X.compose(F.lit("# {{date}}\n{{blocks}}"), date=F.coalesce("lang", F.lit("")), blocks=F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
 @query(r"""SELECT doc_id, trim(array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda y: NOT regexp_full_match(y, '[\t-\r ]*-{3,}[\t-\r ]*') AND NOT regexp_full_match(y, '[\t-\r ]*日期[\t-\r ]*[:：][\t-\r ]*\d{4}[/-]\d{1,2}[/-]\d{1,2}[\t-\r ]*')), chr(10)), chr(32) || chr(9) || chr(10)) AS body FROM documents WHERE doc_kind = 'brief'""")
