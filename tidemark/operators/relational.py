@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import Stages
+
 
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """The next rows by a unique key, after the last one seen."""
@@ -120,18 +122,20 @@ def retained(df: DataFrame, keys: Sequence[str], order: Sequence[Column], curren
     return df.withColumn("retained", current | (ready & (rank <= keep)))
 
 
-def closure(edges: DataFrame, roots: DataFrame, child: str, parent: str, most: int = 16) -> DataFrame:
-    """(root, node, depth) of all descendants. One job a level until a level is empty, at most ``most`` levels; a
-    node that is reached again ends its branch, so cycles end too."""
-    level = roots.select(F.col(child).alias("root"), F.col(child).alias("node"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most + 1):
-        step = level.join(edges.select(F.col(parent).alias("node"), F.col(child).alias("next")), "node").select("root", F.col("next").alias("node"), F.lit(depth).alias("depth"))
-        level = step.join(out.select("root", "node"), ["root", "node"], "left_anti")
+def closure(edges: DataFrame, roots: DataFrame, child: str, parent: str) -> DataFrame:
+    """(root, node, depth) of all descendants. One job a level until a level is empty, however deep; a node that is
+    reached again ends its branch, so cycles end too. Levels are written tables, so plans do not grow with depth."""
+    st = Stages(edges.sparkSession, "closure")
+    links = edges.select(F.col(parent).alias("node"), F.col(child).alias("next"))
+    level = st.write(roots.select(F.col(child).alias("root"), F.col(child).alias("node"), F.lit(0).alias("depth")))
+    paths = []
+    while True:
+        paths.append(level._tidemark_path)
+        out = edges.sparkSession.read.schema(level.schema).parquet(*paths)
+        step = level.join(links, "node").select("root", F.col("next").alias("node"), F.lit(len(paths)).alias("depth"))
+        level = st.write(step.join(out.select("root", "node"), ["root", "node"], "left_anti"))
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out
 
 
 def page_total(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> tuple[DataFrame, int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import Catalog
@@ -15,10 +15,15 @@ QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
 
 
 def _cues(s: SparkSession, d: str, vtt: bool) -> DataFrame:
-    """Titles of a domain's records as subtitle files, a file a video."""
+    """Titles of a domain's records as subtitle files, a file a video, with all titles of the video."""
     t = table(s, d, "event_record").where("source_video_id IS NOT NULL AND title IS NOT NULL").select("source_video_id", F.regexp_replace("title", r"[\r\n]+", " ").alias("title")).where("trim(title) <> ''").distinct()
-    stamp = (lambda n: F.concat(F.lit("00:"), F.lpad((n * 2).cast("string"), 2, "0"), F.lit(".500"))) if vtt else (lambda n: F.concat(F.lit("00:00:"), F.lpad((n * 2).cast("string"), 2, "0"), F.lit(",500")))
-    titles = t.groupBy("source_video_id").agg(F.slice(F.array_sort(F.collect_list("title")), 1, 20).alias("titles"))
+
+    def stamp(n: Column) -> Column:
+        h, m, sec = F.floor(n / 1800), F.floor(n % 1800 / 30), n % 30 * 2
+        long = F.format_string("%02d:%02d:%02d" + (".500" if vtt else ",500"), h, m, sec)
+        return F.when(h == 0, F.format_string("%02d:%02d.500", m, sec)).otherwise(long) if vtt else long
+
+    titles = t.groupBy("source_video_id").agg(F.array_sort(F.collect_list("title")).alias("titles"))
     blocks = F.transform("titles", lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), stamp(i), F.lit(" --> "), stamp(i + 1), F.lit("\n"), x))
     return titles.select("source_video_id", F.concat(F.lit("WEBVTT\n\n" if vtt else ""), F.array_join(blocks, "\n\n")).alias("file"))
 
