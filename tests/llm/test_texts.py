@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import chunks as C
 from tidemark.llm import mixing as M
@@ -124,6 +125,18 @@ def test_mix(spark, monkeypatch):
     assert M.mix(spark, df.limit(0), targets)[0].count() == 0
 
 
+def test_small_sources_land_with_all_their_documents_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 40)
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(8)]
+    docs = [(i, s, " ".join("word" for _ in range(rng.randint(1, 60)))) for i, s in enumerate(["big"] * 400 + [n for n in names for _ in range(30)])]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = [("big", 0.6, 1), *((n, 0.05, 1) for n in names)]
+    drawn, _ = M.mix(spark, df, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), 2500)
+    got = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).collect()}
+    assert all(abs(got[n] - 125) <= 1 for n in names) and abs(got["big"] - 1500) <= 15, got
+
+
 REAL = "The board of the company said that it will publish the numbers for the third quarter in the coming week. "
 STUFFED = {
     "tags": "#Steel #SteelToday #Copper99 " * 12, "links": "https://a-news.example/p/1\n" * 12, "handles": "@mara12 #Copper cheap " * 15, "keywords": "copper price cheap copper broker login copper price best " * 6,

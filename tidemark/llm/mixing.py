@@ -97,8 +97,8 @@ def land(pi: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mover(last: bool, level: int):
-    """Flight of a block, and landing on the last level; the seed follows from the block, so a rerun draws the same."""
+def _mover(single: set[str], level: int):
+    """Flight of a block, and landing of the sources that have a single block; the seed follows from the block, so a rerun draws the same."""
 
     def move(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("doc_id", ignore_index=True)
@@ -106,7 +106,7 @@ def _mover(last: bool, level: int):
         size = f["n_tokens"].to_numpy()
         first = f["pi"].to_numpy()
         pi = flight(first, size, np.random.default_rng(seed))
-        return f[["doc_id", "source", "n_tokens", "base"]].assign(pi=land(pi, size, first) if last else pi)
+        return f[["doc_id", "source", "n_tokens", "base"]].assign(pi=land(pi, size, first) if key[0] in single else pi)
 
     return move
 
@@ -148,10 +148,12 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: i
     parts, level = [], 0
     fields = "doc_id long, source string, n_tokens long, base int, pi double"
     while True:
-        last = all(b <= 1 for b in blocks.values())
+        # A source lands once it has a single block, with all that this block left open; later levels hold none of it.
+        single = {s for s, b in blocks.items() if b <= 1}
+        last = len(single) == len(blocks)
         count = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("source")) if blocks else F.lit(1)
         block = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.greatest(count, F.lit(1)))
-        moved = st.write(now.withColumn("block", block).groupBy("source", "block").applyInPandas(_mover(last, level), fields))
+        moved = st.write(now.withColumn("block", block).groupBy("source", "block").applyInPandas(_mover(single, level), fields))
         parts.append(moved if last else moved.where((F.col("pi") <= 0) | (F.col("pi") >= 1)))
         if last:
             break
