@@ -46,3 +46,11 @@ def test_a_reference_of_no_type_is_missing(spark, tmp_path):
         spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {(r["src"].split(".")[1], r["rec_id"], r["month_key"], r["ref_state"]) for r in p4_found(spark, str(tmp_path)).collect()}
     assert got == {("object_id", "1", "2025-01", "missing"), ("object_id", "3", "2025-01", "missing"), ("snapshot_id", "4", "2025-01", "missing")}
+
+
+def test_references_are_matched_to_runs_of_parents_alone(spark, rows):
+    parents, refs = [(1, False, 10), (2, True, 20), (3, False, 30), (6, False, 60)], [1, 2, 3, 4, 5, 6, 7]
+    df = spark.createDataFrame([(0, i, True, g, c) for i, g, c in parents] + [(0, i, False, None, None) for i in refs] + [(1, 1, False, None, None)], "bucket int, ik int, is_parent boolean, gone boolean, came_us long")
+    got = rows(O.match_runs(df).where("NOT is_parent"), "bucket", "ik", "run_start", "run_end", "gone", "came_us")
+    want = [(0, 1, 1, 1, False, 10), (0, 2, 1, 2, True, 20), (0, 3, 1, 3, False, 30), (0, 4, 1, 3, False, 30), (0, 5, 1, 3, False, 30), (0, 6, 6, 6, False, 60), (0, 7, 6, 6, False, 60), (1, 1, None, None, None, None)]
+    assert got == sorted(want, key=repr)

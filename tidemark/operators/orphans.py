@@ -39,17 +39,19 @@ def key_runs(parents: DataFrame) -> DataFrame:
 
 
 def match_runs(numbered: DataFrame) -> DataFrame:
-    """numbered: bucket, ik, is_parent and what else is known of the key. Adds run_start and run_end, the last run
-    that starts at or before ik (null where there is none).
+    """numbered: bucket, ik, is_parent, gone, came_us and what else is known; parents and references are rows of their
+    own, and an integer may have one of each. Adds run_start and run_end, the last run of parents that starts at or
+    before ik (null where there is none), as far as it goes up to ik; gone and came_us become those of its last parent.
 
-    Parents and references lie in the same sorted range, so runs form and are matched in that one pass: a run starts
-    where the previous integer is no parent, and its end so far is the last parent seen."""
-    w = Window.partitionBy("bucket").orderBy("ik")
-    prev = F.lag("is_parent", 1, False).over(w)
-    start = F.when(F.col("is_parent") & ~prev, F.col("ik"))
-    seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = numbered.withColumn("start_here", start)
-    return marked.withColumns({"run_start": F.max("start_here").over(seen), "run_end": F.max(F.when(F.col("is_parent"), F.col("ik"))).over(seen)}).drop("start_here")
+    Parents and references lie in the same sorted range, so runs form from the parents and references are matched to
+    them in that one pass: a run starts where no parent has the integer before."""
+    w = Window.partitionBy("bucket").orderBy("ik", F.desc("is_parent"))
+    seen, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    held = F.when(F.col("is_parent"), F.col("ik"))
+    marked = numbered.withColumn("start_here", F.when(F.col("is_parent") & (F.coalesce(F.max(held).over(before), F.lit(-1)) < F.col("ik") - 1), F.col("ik")))
+    last = F.last(F.when(F.col("is_parent"), F.struct("gone", "came_us")), ignorenulls=True).over(seen)
+    matched = marked.withColumns({"run_start": F.max("start_here").over(seen), "run_end": F.max(held).over(seen), "parent": last})
+    return matched.withColumns({"gone": F.col("parent.gone"), "came_us": F.col("parent.came_us")}).drop("start_here", "parent")
 
 
 def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -60,13 +62,10 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     asked = refs.groupBy("kind", "key").agg(F.min("made_us").alias("first_us"))
     held = parents.where("key IS NOT NULL").groupBy("kind", "key").agg(F.max("gone").alias("gone"), F.min("came_us").alias("came_us"))
     none = lambda t: F.lit(None).cast(t)
-    both = (
-        held.select("kind", "key", F.lit(True).alias("is_parent"), "gone", "came_us", none("long").alias("first_us"))
-        .unionByName(asked.select("kind", "key", F.lit(False).alias("is_parent"), none("boolean").alias("gone"), none("long").alias("came_us"), "first_us"))
-        .groupBy("kind", "key")
-        .agg(F.max("is_parent").alias("is_parent"), F.max("gone").alias("gone"), F.min("came_us").alias("came_us"), F.min("first_us").alias("first_us"), F.count_if(~F.col("is_parent")).alias("asked"))
+    both = held.select("kind", "key", F.lit(True).alias("is_parent"), "gone", "came_us", none("long").alias("first_us")).unionByName(
+        asked.select("kind", "key", F.lit(False).alias("is_parent"), none("boolean").alias("gone"), none("long").alias("came_us"), "first_us")
     )
-    matched = match_runs(dense_keys(both)).where("asked > 0")
+    matched = match_runs(dense_keys(both)).where(~F.col("is_parent"))
     beyond = F.col("run_end").isNull() | (F.col("ik") > F.col("run_end"))
     state = F.when(beyond, "missing").when(F.col("gone"), "deleted").when(F.col("came_us") > F.col("first_us"), "later")
     bad = matched.select("kind", "key", state.alias("ref_state"), "came_us").where("ref_state IS NOT NULL")
