@@ -50,10 +50,11 @@ class Stages:
         self.spark, self.n = spark, 0
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """The table as written, in folders by the values of a column if one is named."""
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out
