@@ -138,40 +138,107 @@ def test_small_sources_land_with_all_their_documents_beside_a_large_one(spark, m
 
 
 REAL = "The board of the company said that it will publish the numbers for the third quarter in the coming week. "
-STUFFED = {
-    "tags": "#Steel #SteelToday #Copper99 " * 12, "links": "https://a-news.example/p/1\n" * 12, "handles": "@mara12 #Copper cheap " * 15, "keywords": "copper price cheap copper broker login copper price best " * 6,
-    "markdown": "- [copper cheap](https://a.example/x)\n" * 9, "cjk": "低价 阴极铜 返佣 加群. " * 12, "names": "halbra holdings, limwynzan vip, tolka 2026, queost near me, " * 5,
+MARKED = {"tags": "#Steel #SteelToday #Copper99 " * 12, "links": "https://a-news.example/p/1\n" * 12, "handles": "@mara12 #Copper " * 15, "prices": "steel Ref 41856 $656 / steel SKU 5512 €40 / " * 9}
+NOUNS = "board company market report plant bank supply demand port harbour price week quarter number analyst house".split()
+VERBS = "said published closed opened moved raised cut sold bought reported".split()
+PLACES = [a + b for a in "mor tal vel sen kar".split() for b in "din ga nor lix".split()]
+KEYWORDS, OFFERS = "copper steel palladium freight wafer jetfuel".split(), "cheap buy login broker free online discount".split()
+PLAIN = {
+    "ru": "Совет директоров сообщил, что опубликует данные за третий квартал на следующей неделе. Завод в городе закрыли ещё весной, и никто не объяснил причину.",
+    "pl": "Zarząd spółki poinformował, że opublikuje wyniki za trzeci kwartał w przyszłym tygodniu. Fabryka w mieście stoi od wiosny i nikt nie podał powodu.",
+    "ko": "이사회는 다음 주에 삼분기 실적을 발표할 것이라고 밝혔다. 그 도시의 공장은 봄부터 멈춰 있으며 아무도 이유를 설명하지 않았다.",
+    "ja": "取締役会は来週に第三四半期の業績を発表すると述べた。その町の工場は春から止まっており、誰も理由を説明していない。",
 }
 
 
-@pytest.mark.parametrize("kind", STUFFED)
-def test_stuffed_share(kind):
-    share = lambda t: float(S.Slice([t]).stuffed[0])
-    assert share(STUFFED[kind]) > 0.9
-    assert share(STUFFED[kind] + "\n" + REAL * (3 * len(STUFFED[kind]) // len(REAL))) < 0.5
+def speech(rng, n):
+    noun, verb, place = (lambda: rng.choice(NOUNS)), (lambda: rng.choice(VERBS)), (lambda: rng.choice(PLACES).title())
+    one = lambda: rng.choice([f"The {noun()} of {place()} {verb()} the {noun()} of {rng.choice(KEYWORDS)} in the last {noun()}.", f"After the {noun()} was {verb()} by {place()}, the {noun()} in {place()} will not be {verb()} again.", f"Nobody at the {noun()} {verb()} why the {noun()} of {rng.choice(KEYWORDS)} is still so low."])
+    return " ".join(one() for _ in range(n))
 
 
-def test_sentences_are_no_stuffing():
-    lots = "".join(f"Lot {i} of copper from the port was sold by the house at {i * 7} per tonne. " for i in range(30))
-    zh = "分析师认为逆变器的供应在云柏市扩产之前会一直偏紧。" * 8
-    assert all(s < 0.1 for s in S.Slice([REAL * 5, lots, zh]).stuffed)
+def salad(rng, n):
+    return " ".join(rng.choice(KEYWORDS if rng.random() < 0.5 else OFFERS) for _ in range(n))
 
 
-def test_pages(spark):
-    rng = random.Random(0)
-    words = "board company numbers quarter week port house price market report analyst supply demand plant bank".split()
-    docs = [(i, " ".join(f"The {rng.choice(words)} of the {rng.choice(words)} is in the {rng.choice(words)} for a week." for _ in range(8)), None) for i in range(150)]
-    docs += [(1000 + i, t, None) for i, t in enumerate(STUFFED.values())] + [(2000, None, None), (2001, "", None), (2002, " \n\t", None), (None, STUFFED["tags"], None)]
+@pytest.fixture(scope="module")
+def crawl():
+    rng = random.Random(3)
+    good = [speech(rng, rng.randint(4, 14)) for _ in range(500)]
+    lots = ["".join(f"Lot {i} of copper from {p} was sold by the bank of {rng.choice(PLACES)} at {i * 7} per tonne. " for i in range(20)) for p in PLACES]
+    bad = [salad(rng, rng.randint(40, 120)) for _ in range(60)]
+    for k in KEYWORDS:
+        bad += ["\n".join(f"{k} {offer} {p}" for p in rng.sample(PLACES, 15)) for offer in OFFERS[:4]]
+    bad += [speech(rng, 2) + "\n" + salad(rng, 150) for _ in range(10)]
+    good += [speech(rng, 12) + "\n" + salad(rng, 30) for _ in range(10)]
+    return good + lots, bad
+
+
+def test_marked_share():
+    none = np.zeros(0, np.uint64), np.zeros(0), 0.25
+    for text in MARKED.values():
+        share = lambda t: float(S.Slice([t]).stuffed(*none)[0])
+        assert share(text) > 0.5 or "Ref" in text
+        assert share(text + "\n" + REAL * (3 * len(text) // len(REAL))) < 0.5
+    assert S.Slice([MARKED["prices"]]).linked[0] > 0.4
+
+
+def test_pages(spark, crawl):
+    """Stuffed pages of any template come out, plain pages of languages that the corpus does not know do not."""
+    good, bad = crawl
+    docs = [(i, t, None) for i, t in enumerate(good)] + [(10_000 + i, t, None) for i, t in enumerate(bad + list(MARKED.values())[:3])]
+    docs += [(20_000 + i, t, None) for i, t in enumerate(PLAIN.values())] + [(30_000, None, None), (30_001, "", None), (30_002, " \n\t", None), (None, MARKED["tags"], None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, stuffed string")
-    assert {r["doc_id"] for r in S.stuffed_pages(spark, df).collect()} == {1000 + i for i in range(len(STUFFED))}
+    got = {r["doc_id"] for r in S.stuffed_pages(spark, df).collect()}
+    want = {d[0] for d in docs if d[0] and 10_000 <= d[0] < 20_000}
+    assert not got - want and len(want - got) <= len(want) // 50, (got - want, want - got)
     assert S.stuffed_pages(spark, df.limit(0)).count() == 0
 
 
-def test_long_texts_and_short_titles():
+def test_plain_pages_of_many_languages_beside_known_ones(spark, crawl):
+    """A language that makes half of the corpus is no stuffing either."""
+    good, bad = crawl
+    rng = random.Random(5)
+    ru = [s.strip() for t in (PLAIN["ru"], "Банк снизил ставку. Цены на медь выросли после забастовки. Порт открыли вчера, но груз пока не пришёл.") for s in t.split(".") if s.strip()]
+    pages = [". ".join(rng.choice(ru) for _ in range(6)) + "." for _ in range(300)]
+    docs = [(i, t) for i, t in enumerate(good[:300] + bad)] + [(50_000 + i, t) for i, t in enumerate(pages)]
+    got = {r["doc_id"] for r in S.stuffed_pages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got and max(got) < 50_000 and min(got) >= 300
+
+
+def test_coherence_is_that_of_a_plain_count(spark):
+    """The mean of log ratios of a pair and its reverse on other pages, and the share of excessive pairs."""
+    rng = random.Random(1)
+    texts = {i: " ".join(rng.choice("a b c d e".split()) for _ in range(rng.randint(20, 60))) for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("fit", F.lit(True))
+    seen = df.mapInArrow(S._scan, S.SCHEMA).persist()
+    kind = lambda k: seen.where(F.col("kind") == k)
+    pairs = kind(S.PAIR_ROW).groupBy("key").agg(F.sum("n").alias("all_n"))
+    got = {r["doc_id"]: r for r in S.page_coherence(kind(S.OWN_PAIR).select("doc_id", "key", "back", "n", "n_back"), pairs, kind(S.PAGE_ROW).select("doc_id", "size", "linked")).collect()}
+    from collections import Counter
+
+    own = {i: Counter(zip(t.split(), t.split()[1:])) for i, t in texts.items()}
+    every = sum(own.values(), Counter())
+    for i, c in own.items():
+        gaps, told = 0.0, 0
+        for (a, b), n in c.items():
+            ahead, behind = every[a, b] - n, every[b, a] - c[b, a]
+            if a != b and ahead + behind >= S.EVIDENCE:
+                gaps, told = gaps + n * np.log((ahead + 0.5) / (behind + 0.5)), told + n
+        if 2 * told >= sum(c.values()):
+            assert abs(got[i]["coherence"] - gaps / told) < 1e-9
+        much = sum(n for (a, b), n in c.items() if n >= 2 and n > S.EXCESS * sum(c.values()) * (every[a, b] - n + 0.5) / sum(every.values()))
+        assert abs(got[i]["excess"] - much / sum(c.values())) < 1e-9
+
+
+def test_long_texts_and_far_characters():
     long = REAL * (S.SLICE // len(REAL) + 200)
-    both = S.Slice([long, STUFFED["keywords"] * 4000])
-    assert both.stuffed[0] < 0.1 < 0.9 < both.stuffed[1]
+    both = S.Slice([long, MARKED["links"]])
+    assert both.linked[0] == 0.0 < 0.9 < both.linked[1]
     assert S.Slice([long]).word.tolist() == both.word[both.doc == 0].tolist()
+    # Letters above U+FFFF are words: two signs of an extension block, and one run of Gothic letters.
+    far = S.Slice(["\U00020000\U00020001 \U00010330\U00010331"])
+    assert far.kind.tolist() == [S.CJK, S.CJK, S.LETTER] and len(set(far.word.tolist())) == 3
 
 
 def test_a_short_title_is_no_page(spark):
