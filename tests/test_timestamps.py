@@ -26,6 +26,9 @@ CASES = [
     ("2024-11-03 00:03:13 America/New_York", None, us(2024, 11, 3, 4, 3, 13)), ("1 November 2025, 23:18", None, us(2025, 11, 1, 23, 18)), ("Mar 15, 2024", None, us(2024, 3, 15)), ("Jan ３１, ２０２４", None, us(2024, 1, 31)),
     ("Fri, 23 Jan 2026 17:58:42 +0100", None, us(2026, 1, 23, 16, 58, 42)), ("24 Mar 2024 20:37:25 GMT", None, us(2024, 3, 24, 20, 37, 25)), ("\t2024-08-18T16:14:33Z  ", None, us(2024, 8, 18, 16, 14, 33)),
     ("2025-01-31t00:13:27z", None, us(2025, 1, 31, 0, 13, 27)), ("２０２４-０８-２１T０２:５０:３１Z", None, us(2024, 8, 21, 2, 50, 31)),
+    ("1965-07-01 12:00", "America/New_York", us(1965, 7, 1, 16)), ("2060-07-01 12:00", "America/New_York", us(2060, 7, 1, 16)), ("1850-01-01 00:00:00", "Europe/Berlin", us(1849, 12, 31, 23, 6, 32)),
+    (" " * 90 + "2024-01-01 00:00:00Z" + "\t" * 500, None, us(2024, 1, 1)), ("1736010108." + "9" * 400, None, 1736010108999999), ("Wednesday, 25 September 2024,  12:00:00.123456789 PM [America/Argentina/ComodRivadavia]", None, us(2024, 9, 25, 15, plus=123456)),
+    ("9999-12-31 23:59:59", "Asia/Tokyo", us(9999, 12, 31, 14, 59, 59)), ("0001-01-01 12:00", "UTC", us(1, 1, 1, 12)),
     ("2024-03-10 02:30:00", "America/New_York", us(2024, 3, 10, 7, 30)), ("2024-11-03 01:30:00", "America/New_York", us(2024, 11, 3, 5, 30)), ("2025-10-26T02:30", "Europe/Berlin", us(2025, 10, 26, 0, 30)),
     ("2025-03-30T02:30", "Europe/Berlin", us(2025, 3, 30, 1, 30)), ("2024-10-06 02:10:00", "Australia/Sydney", us(2024, 10, 5, 16, 10)),
     *[(x, None, None) for x in (None, "", "  ", "null", "2026-02-29", "2026-13-05 13:36:30", "2025-03-23 40:43:00", "13/05/2026 11:26 PM", "00.07.2025 05:22", "2026", "2025-04", "Q1 2025", "August 2025", "3 days ago", "12345", "2025-01-01 00:00:60", "x" * 100_000, "2025-01-01 10:00 XYZ", "2025-01-01 13:00 PM", "2025-01-01 10:00:00[Mars/Olympus]")],
@@ -34,7 +37,8 @@ CASES = [
 
 def resolve(spark, pairs):
     df = spark.createDataFrame([(i, t, z) for i, (t, z) in enumerate(pairs)], "i int, text string, zone string")
-    out = T.resolve(T.parse(df, "text"), "zone", T.zone_intervals(spark)).collect()
+    parsed = T.parse(df, "text")
+    out = T.resolve(parsed, "zone", T.zone_intervals(T.asked_zones(parsed, "zone"))).collect()
     return {r["i"]: r for r in out}
 
 
@@ -70,5 +74,22 @@ def test_date_parts(spark):
 
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "text string, zone string, year int, i string")
-    out = T.resolve(T.parse(df, "text"), "zone", T.zone_intervals(spark))
+    parsed = T.parse(df, "text")
+    out = T.resolve(parsed, "zone", T.zone_intervals(T.asked_zones(parsed, "zone")))
     assert out.count() == 0 and {"year", "i"} <= set(out.columns)
+
+
+def test_every_zone_of_the_database_at_any_time():
+    """The offsets that intervals give equal those of the zone database, also centuries away."""
+    from tidemark.functions import zones as Z
+
+    rng = random.Random(4)
+    for zone in sorted(Z.zone_names()):
+        info = ZoneInfo(zone)
+        for _ in range(12):
+            wall = datetime(rng.choice([1, 1850, 1900, 1940, 1965, 2000, 2024, 2037, 2060, 2399, 9990]) + rng.randrange(9), 1, 1) + timedelta(seconds=rng.randrange(365 * 86400))
+            s = int((wall - datetime(1970, 1, 1)).total_seconds())
+            spans = Z.offset_intervals(zone, wall.year)
+            hit = [o for lo, hi, o in spans if (lo is None or lo <= s) and (hi is None or s < hi)]
+            offset = max(hit) if hit else [o for _, hi, o in spans if hi is not None and hi <= s][-1]
+            assert offset == wall.replace(tzinfo=info, fold=0).utcoffset().total_seconds(), (zone, wall)

@@ -2,32 +2,37 @@
 
 A text is rewritten to ``year|month|day|rest`` by anchored patterns, the rest is split into clock and zone, and the
 parts are validated; all of it stays in JVM expressions. A wall time without an offset meets its zone by an as-of
-join against exploded zone-offset intervals (``zone_intervals``): a local interval that two offsets cover is
-ambiguous, one that none covers is nonexistent, else the one offset holds.
+join against exploded zone-offset intervals (``zone_intervals``), made for the zones and years that occur: two
+intervals that cover it make it ambiguous, none makes it nonexistent, one gives the offset. The intervals are those of
+the zone database for any year from 1 to 9999.
 
 Rules: an ambiguous wall time is its earlier instant, a nonexistent one moves on by the length of the gap; a date
 without time of day is 00:00 UTC; with dots the day comes first, with slashes and the year last the month; bare
 digits are, by their count, a date or seconds, milliseconds or microseconds of the epoch; a zone of null is UTC.
 
 Cases: null, blank, unknown words, partial or impossible dates, impossible clocks, unknown zones and unknown
-abbreviations give null; digits of full width count as digits; very long texts fail the anchored patterns at once;
+abbreviations give null; digits of full width count as digits; blanks around a text do not matter, a text that is
+longer without them than any timestamp gives null;
 an empty table stays empty; extra columns pass through.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
-from functools import cache
+from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.zones import offset_intervals, zone_names
 from tidemark.sources.tables import DAY_US
 
-#: Years whose zone rules are exploded; before and after, the first and last offset of a zone hold.
-FIRST_YEAR, LAST_YEAR = 1970, 2050
-#: A longer text is no timestamp.
-LONGEST = 80
+if TYPE_CHECKING:
+    import pandas as pd
+
+#: Characters of the longest text that the patterns accept, with outer and repeated blanks and digits of a second beyond
+#: the sixth taken off: no zone has a name of 64, and the longest date, clock and offset together have fewer than 128.
+LONGEST = 192
 
 # Full-width forms of ASCII, other blanks and minus signs, and what they stand for.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + " 　   −‐‑–\t\r\n"
@@ -84,7 +89,8 @@ def parse(df: DataFrame, text: str) -> DataFrame:
     """Adds ts_us (the instant, or the wall time as if in UTC), ts_kind (``instant``, ``wall`` or null for no time)
     and ts_zone (the zone a wall time names itself)."""
     clean = F.regexp_replace(F.translate(F.col(text), _WIDE, _PLAIN), r"[​﻿‎‏]", "")
-    clean = F.trim(F.regexp_replace(F.when(F.length(text) <= LONGEST, clean), " {2,}", " "))
+    clean = F.regexp_replace(F.trim(F.regexp_replace(clean, " {2,}", " ")), r"^(\d{9,10}[.,]\d{6})\d+$", "$1")
+    clean = F.when(F.length(clean) <= LONGEST, clean)
     bracket, named = r" ?\[([A-Za-z0-9_+/-]+)\]$", r" ([A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)$"
     df = df.withColumn("_s", clean)
     own = F.coalesce(*[F.when(F.length(x) > 0, x) for x in (F.regexp_extract("_s", bracket, 1), F.regexp_extract("_s", named, 1))])
@@ -146,78 +152,56 @@ def parse(df: DataFrame, text: str) -> DataFrame:
     return df.drop("_s", "_own", "_b", "_epoch", "_p", "_r", "_days", "_c", "_clock", "_min", "_zone")
 
 
-@cache
-def _transitions(zone: str) -> tuple[tuple[int, int], ...]:
-    """(UTC second, offset in seconds from then on) of a zone, the first from the start of FIRST_YEAR."""
-    from zoneinfo import ZoneInfo
-
-    info, epoch = ZoneInfo(zone), datetime(1970, 1, 1, tzinfo=timezone.utc)
-    offset = lambda s: int((epoch + timedelta(seconds=s)).astimezone(info).utcoffset().total_seconds())
-    at, end = ((int((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())) for y in (FIRST_YEAR, LAST_YEAR + 1))
-    out, step = [(at, offset(at))], 14 * 86400
-    while at < end:
-        after = offset(at + step)
-        if after != out[-1][1]:
-            lo, hi = at, at + step
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if offset(mid) == out[-1][1] else (lo, mid)
-            out.append((hi, offset(hi)))
-            at = hi
-        else:
-            at += step
-    return tuple(out)
+def asked_zones(parsed: DataFrame, zone: str) -> DataFrame:
+    """The zones and years of the wall times of ``parsed``: zone, year, each once."""
+    wall = parsed.where(F.col("ts_kind") == "wall")
+    return wall.select(_zone(zone).alias("zone"), _year().alias("year")).where("year IS NOT NULL").distinct()
 
 
-def _segments(zone: str) -> list[tuple[str, int, int, int, int]]:
-    """Disjoint local intervals of a zone: (zone, local start, local end, offset, intervals that cover it), seconds.
+def zone_intervals(asked: DataFrame) -> DataFrame:
+    """The local intervals of the zones and years in ``asked`` (zone, year): zone, year, spans (an array of lo_us, hi_us,
+    offset_us in order, null at the open ends). Unknown zones have no row. At most 600 zones by 9,999 years."""
 
-    The offset of an ambiguous interval is that of the earlier instant, of a nonexistent one that before the gap."""
-    t = _transitions(zone)
-    out, start = [], -(1 << 40)
-    for (_, before), (s, after) in zip(t, t[1:]):
-        a, b = s + min(before, after), s + max(before, after)
-        out += [(zone, start, a, before, 1), (zone, a, b, before, 2 if after < before else 0)]
-        start = b
-    return [*out, (zone, start, 1 << 40, t[-1][1], 1)]
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
 
+        us = lambda s: None if s is None else s * 1_000_000
+        for f in frames:
+            rows = [(z, y, [{"lo_us": us(lo), "hi_us": us(hi), "offset_us": us(o)} for lo, hi, o in offset_intervals(z, y)]) for z, y in zip(f["zone"], f["year"]) if z in zone_names()]
+            yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
-@cache
-def zone_names() -> tuple[str, ...]:
-    from zoneinfo import available_timezones
+    return asked.select("zone", "year").mapInPandas(run, "zone string, year int, spans array<struct<lo_us:long,hi_us:long,offset_us:long>>")
 
-    return tuple(sorted(z for z in available_timezones() if z != "localtime" and not z.startswith(("posix", "right"))))
 
+def _zone(zone: str) -> Column:
+    return F.coalesce(F.col("ts_zone"), F.col(zone), F.lit("UTC"))
 
-def zone_intervals(spark: SparkSession) -> DataFrame:
-    """All zones' local intervals, exploded to the years they touch: zone, year, lo_us, hi_us, offset_us, covers.
-
-    The table is fixed by the zone database and the span of years: about 600 zones of at most three intervals a year,
-    under 150,000 narrow rows, so it may be broadcast whatever the data."""
-    import pandas as pd
 
-    rows = pd.DataFrame([x for z in zone_names() for x in _segments(z)], columns=["zone", "lo", "hi", "offset", "covers"])
-    year = lambda c: F.greatest(F.least(F.floor((F.col(c) - 1) / F.lit(31_556_952)) + 1970, F.lit(LAST_YEAR + 1)), F.lit(FIRST_YEAR - 1)).cast("int")
-    df = spark.createDataFrame(rows, "zone string, lo long, hi long, offset int, covers int")
-    span = F.explode(F.sequence(year("lo") - 1, year("hi") + 1)).alias("year")
-    us = lambda c: (F.col(c).cast("long") * 1_000_000).alias(f"{c}_us")
-    return df.select("zone", span, us("lo"), us("hi"), us("offset"), "covers")
+def _year() -> Column:
+    return F.year(F.date_from_unix_date(F.floor(F.col("ts_us") / DAY_US).cast("int")))
 
 
 def resolve(parsed: DataFrame, zone: str, intervals: DataFrame) -> DataFrame:
-    """Adds utc_us to the result of ``parse``; ``zone`` names the column with the zone of wall times that name none.
-
-    The as-of join is an equi join on (zone, year) with the interval's bounds as residual, one match a row."""
-    z = F.when(F.col("ts_kind") == "wall", F.coalesce(F.col("ts_zone"), F.col(zone), F.lit("UTC")))
-    day = F.floor(F.col("ts_us") / DAY_US)
-    y = F.greatest(F.least(F.year(F.date_from_unix_date(day.cast("int"))), F.lit(LAST_YEAR + 1)), F.lit(FIRST_YEAR - 1))
-    left = parsed.withColumns({"_z": z, "_y": F.when(z.isNotNull(), y)})
-    i = intervals.select(*[F.col(c).alias(f"_i_{c}") for c in ("zone", "year", "lo_us", "hi_us", "offset_us", "covers")])
-    on = (F.col("_z") == F.col("_i_zone")) & (F.col("_y") == F.col("_i_year")) & (F.col("ts_us") >= F.col("_i_lo_us")) & (F.col("ts_us") < F.col("_i_hi_us"))
-    out = left.join(F.broadcast(i), on, "left")
-    utc = F.when(F.col("ts_kind") == "instant", F.col("ts_us")).when(F.col("ts_kind") == "wall", F.col("ts_us") - F.col("_i_offset_us"))
-    kind = F.when(F.col("ts_kind") == "wall", F.element_at(F.array(F.lit("nonexistent"), F.lit("plain"), F.lit("ambiguous")), F.col("_i_covers") + 1))
-    return out.select(*parsed.columns, utc.alias("utc_us"), kind.alias("wall_kind"))
+    """Adds utc_us and wall_kind to the result of ``parse``; ``zone`` names the column with the zone of wall times that
+    name none, ``intervals`` comes from ``zone_intervals`` and holds every zone and year that occurs.
+
+    The as-of join is an equi join on (zone, year), one row a wall time; the intervals of that year that cover the local
+    time are counted: one gives the offset, two make it ambiguous, none makes it nonexistent, and then the offset is that
+    of the last interval that ended before it."""
+    wall = F.col("ts_kind") == "wall"
+    left = parsed.withColumns({"_z": F.when(wall, _zone(zone)), "_y": F.when(wall, _year())})
+    i = intervals.select(*[F.col(c).alias(f"_i_{c}") for c in ("zone", "year", "spans")])
+    joined = left.join(i, (F.col("_z") == F.col("_i_zone")) & (F.col("_y") == F.col("_i_year")), "left")
+    ended = lambda x: F.coalesce(x["hi_us"] <= F.col("ts_us"), F.lit(False))
+    begun = lambda x: F.coalesce(x["lo_us"] <= F.col("ts_us"), F.lit(True))
+    cover = F.filter("_i_spans", lambda x: begun(x) & ~ended(x))
+    n, over = F.size("_cover"), F.filter("_i_spans", ended)
+    found = joined.withColumns({"_cover": cover, "_over": over})
+    # Of two instants the earlier has the larger offset.
+    offset = F.when(n > 0, F.array_max(F.transform("_cover", lambda x: x["offset_us"]))).otherwise(F.get(F.col("_over"), F.size("_over") - 1)["offset_us"])
+    utc = F.when(F.col("ts_kind") == "instant", F.col("ts_us")).when(wall, F.col("ts_us") - offset)
+    kind = F.when(wall & (n >= 0), F.when(n == 0, "nonexistent").when(n == 1, "plain").otherwise("ambiguous"))
+    return found.select(*parsed.columns, utc.alias("utc_us"), kind.alias("wall_kind"))
 
 
 def date_parts_us(year: Column, month: Column, day: Column) -> Column:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import late_events, orphans, snapshot_diff, timestamps
+from tidemark.session import Stages, small
 from tidemark.sources.tables import DAY_US, epoch_day, epoch_us, norm_id, table
 
+#: Rows up to which the sources, and the zones by years that occur, are sent to every task.
+MEDIA, INTERVALS = 100_000, 50_000
 COMPARED = ["revision_id", "title", "event_type", "event_start_day", "event_end_day", "time_precision", "member_count", "has_uncertainty"]
 
 
@@ -47,9 +50,12 @@ def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     needs = (F.col("ts_kind") == "wall") & F.col("ts_zone").isNull() & F.col("owner").isNotNull()
     asked = timed.withColumn("owner", F.when(needs, F.col("owner")).otherwise(F.concat(F.lit("~"), F.coalesce("rec_id", F.lit("")))))
     owned = asked.join(video.withColumnRenamed("video_id", "owner"), "owner", "left").withColumn("owner", F.col("media_id")).drop("media_id")
-    # media is a fixed table of a few hundred sources.
-    zoned = rows.unionByName(owned).join(F.broadcast(media), F.col("owner") == media.media_id, "left")
-    instants = timestamps.resolve(zoned, "time_zone", timestamps.zone_intervals(spark)).select("src", "rec_id", "field", "utc_us", "wall_kind")
+    st = Stages(spark, "timestamps")
+    zoned = rows.unionByName(owned).join(small(media, MEDIA), F.col("owner") == media.media_id, "left")
+    # Parsed once; the zones and years that occur make the table of intervals.
+    parsed = st.write(zoned.select("src", "rec_id", "field", "ts_us", "ts_kind", "ts_zone", "time_zone"))
+    intervals = st.write(timestamps.zone_intervals(timestamps.asked_zones(parsed, "time_zone")))
+    instants = timestamps.resolve(parsed, "time_zone", small(intervals, INTERVALS)).select("src", "rec_id", "field", "utc_us", "wall_kind")
     parts = evidence.select(F.lit("video_time_evidence").alias("src"), norm_id("id").alias("rec_id"), F.lit("date_day").alias("field"), timestamps.date_parts_us(F.col("date_year"), F.col("date_month"), F.col("date_day")).alias("utc_us"), F.lit(None).cast("string").alias("wall_kind"))
     return instants.unionByName(parts)
 

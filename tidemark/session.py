@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -43,6 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A table marked for sending to every task if it has at most ``most`` rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Stages:
     """Tables written once in the shared folder, so that a lost executor costs one read and no recomputation."""
 
