@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -62,11 +63,42 @@ def test_circuit_breaker():
         s = guards.breaker_step(s, t, job, False)
     assert s["state"] == "closed"  # one job alone opens nothing
     s = guards.breaker_step(s, 4, "b", False)
-    assert s["state"] == "open" and not guards.may_pass(s, 5) and guards.may_pass(s, 400)
+    assert s["state"] == "open" and not guards.may_pass(s, 303) and guards.may_pass(s, 304)
     probe = guards.breaker_step(s, 400, "p", True)
     assert probe["state"] == "closed" and guards.breaker_step(s, 400, "p", False)["state"] == "open"
     old = guards.breaker_step(dict(guards.CLOSED), 0, "a", False)
-    assert len(guards.breaker_step(old, 700, "b", False)["failures"]) == 1
+    assert len(guards.breaker_step(old, 700, "b", False)["failures"]) == 1 and len(guards.breaker_step(old, 600, "b", False)["failures"]) == 2
+
+
+def test_a_success_forgets_failures():
+    s = dict(guards.CLOSED)
+    for t, job, ok in ((0, "a", False), (1, "b", False), (2, "c", False), (3, "d", True), (4, "e", False)):
+        s = guards.breaker_step(s, t, job, ok)
+    assert s["state"] == "closed" and len(s["failures"]) == 1
+
+
+def test_pauses_grow_and_a_lost_probe_is_replaced():
+    s = {**guards.CLOSED, "state": "open", "opened": 0.0}
+    for turn, (at, pause) in enumerate(((300, 900), (1200, 1800), (3000, 1800)), 1):
+        s = guards.breaker_step(s, at, "p", False)
+        assert s["state"] == "open" and s["turn"] == min(turn, 2) and not guards.may_pass(s, at + pause - 1) and guards.may_pass(s, at + pause)
+    ok, s = guards.claim(s, 4800, "lost")
+    assert ok and s["state"] == "half_open" and not guards.claim(s, 5699, "next")[0]
+    assert guards.failed(s, 5000, "other") == s  # only the probe's outcome counts
+    ok, s = guards.claim(s, 5700, "next")
+    assert ok and guards.failed(s, 5701, "lost")["state"] == "half_open" and guards.failed(s, 5701, "next")["state"] == "open"
+
+
+def test_circuit_states_equal_a_walk(spark, rows):
+    rng = random.Random(2)
+    data = [(rng.choice("xxxxy"), i, i * 37.0 + rng.random(), rng.choice(["a", "b", "c", None]), rng.random() < 0.12) for i in range(900)]
+    state, want = {}, []
+    for service, n, at_s, job, ok in data:
+        state[service] = guards.breaker_step(state.get(service, dict(guards.CLOSED)), at_s, job or "", ok)
+        want.append((service, n, state[service]["state"]))
+    df = spark.createDataFrame(data, "service string, n long, at double, job string, ok boolean")
+    assert rows(guards.circuit_states(df), "service", "n", "state") == sorted(want, key=repr) and len({w[2] for w in want}) >= 2
+    assert guards.circuit_states(df.limit(0)).count() == 0
 
 
 def test_circuit_stream(spark, tmp_path):
@@ -79,15 +111,50 @@ def test_meter():
     s = dict(guards.EMPTY_METER)
     for day, window, reading in (("1", "w", 10.0), ("1", "w", 12.0), ("1", "w", 11.0), ("1", "w", 15.0), ("1", "v", 2.0), ("1", "v", 3.0)):
         s = guards.meter_step(s, day, window, reading)
-    assert s["spent"] == 6.0
+    assert s["spent"] == 5.0 + 2.0 + 1.0 and s["uncertain"] == "1"
     s = guards.meter_step(s, "2", "v", 4.0)
-    assert s["spent"] == 1.0 and [guards.budget_status(x, 5, 9, k) for x, k in ((1, True), (5, True), (9, True), (9, False))] == ["ok", "near", "exhausted", "unknown"]
+    assert s["spent"] == 1.0 and s["uncertain"] == ""
+    assert guards.meter_step(s, "3", "u", 9.0)["spent"] == 0.0
+    said = [guards.budget_status(*x) for x in ((1, 50, False, 9), (9, 50, False, 9), (1, 50, True, 9), (1, 100, True, 9), (1, None, False, 9), (1, 50, False, 9, True), (99, None, True, 0))]
+    assert said == ["ready", "daily_limit", "daily_limit", "weekly_limit", "quota_unavailable", "quota_unavailable", "ready"]
+
+
+def test_daily_meter_equals_a_walk(spark, rows):
+    rng, state, want, data = random.Random(9), {}, {}, []
+    for i in range(800):
+        account, hour = rng.choice("aab"), i // 3
+        day, window, reading = hour // 24, (hour + 12) // 72, float(rng.randrange(0, 90 if account == "a" else 130))
+        data.append((account, i, day, window, reading))
+        s = state[account] = guards.meter_step(state.get(account, dict(guards.EMPTY_METER)), str(day), str(window), reading)
+        want[account, day] = (s["spent"], s["uncertain"] == str(day), guards.budget_status(s["spent"], s["reading"], s["uncertain"] == str(day), 60))
+    df = spark.createDataFrame([*data, (None, 1, 1, 1, 1.0), ("a", 5, 1, 1, None)], "account string, n long, day int, window int, reading double")
+    got = {(r["account"], r["day"]): (r["spent"], r["uncertain"], r["status"]) for r in guards.daily_meter(df, 60).collect()}
+    assert got == want and {w[2] for w in want.values()} == {"ready", "daily_limit", "weekly_limit"}
+
+
+def test_sessions_equal_folded_signals(spark, rows):
+    rng, data, want = random.Random(4), [], []
+    for k in "xyz":
+        t, times = 0, []
+        for _ in range(500):
+            t += rng.choice([1, 20, 60, 119, 120, 121, 400, 90_000]) * 1_000_000 if rng.random() < 0.3 else rng.randrange(30) * 1_000_000
+            times.append(t)
+        data += [(k, x) for x in times]
+        fired, (_, first, last, _) = signals.fold_signals(0, None, None, [], [(x, "") for x in times])
+        want += [(k, at_us) for _, at_us, _ in fired] + [(k, signals.fire_at_us(first, last))]
+    df = spark.createDataFrame([*data, (None, 5), ("x", None)], "k string, t long")
+    out = signals.sessions(df, "k", "t")
+    assert rows(out, "k", "fire_us") == sorted(want, key=repr) and out.agg(F.sum("signals")).first()[0] == len(data)
 
 
 def test_weekly_layer_and_usage(spark, tmp_path):
-    log = write(spark, tmp_path, "log", [[("v", "a", at(0), at(5)), ("v", "b", at(7 * 86400), at(7 * 86400))]], "src string, rec_id string, event_ts timestamp, arrived_ts timestamp")
-    got = drain(feeds.weekly_fast_layer(log), "weekly", "update")
-    assert sorted((r["week"]["start"], r["provisional"]) for r in got) == [(T0, 1), (at(7 * 86400), 1)]
+    week, day = 19723, 86_400_000_000
+    end = (week + 7) * day
+    batches = [[("v", "a", week, end - 1), ("v", "far", 9_999_999, end)], [("v", "b", week + 6, end), ("v", "c", week, end + 14 * day)]]
+    log = write(spark, tmp_path, "log", batches, "src string, rec_id string, event_day int, arrived_us long")
+    feeds.weekly_fast_layer(log, str(tmp_path / "view"), str(tmp_path / "view-ck")).awaitTermination()
+    got = feeds.served_view(spark, str(tmp_path / "view")).where(f"week_day = {week}").collect()
+    assert [(r["provisional"], r["corrections"], r["dropped"], r["final"], r["state"]) for r in got] == [(1, 1, 1, 2, "open")]
     calls = write(spark, tmp_path, "calls", [[(at(1), "llm", "chat", 5, True), (at(2), "llm", "chat", 7, False)]], "ts timestamp, service string, operation string, tokens long, ok boolean")
     got = drain(feeds.usage_counters(calls), "usage", "update")
     assert [(r["calls"], r["succeeded"], r["tokens"]) for r in got] == [(2, 1, 12)]
@@ -125,9 +192,3 @@ def test_relational_blocks(spark, rows):
     assert R.closure(edges, edges.where("id = 'a'"), "id", "parent").count() == 3
     assert R.csv_values(" a, b,a ,", "c", None) == ["a", "b", "c"] and R.clamp_limit("900") == 200 and R.clamp_limit(None) == 50
     assert R.keyset_page(df, "i", 4, 10).count() == 2
-
-
-def test_folded_machine(spark):
-    df = spark.createDataFrame([("s", i, f"j{i}", False) for i in range(5)], "service string, at long, job string, ok boolean")
-    got = guards.folded(df, "service", "at", ["job", "ok"], guards.CLOSED, lambda st, r: guards.breaker_step(st, float(r.at), r.job, r.ok), lambda st: (st["state"],), "service string, at long, state string")
-    assert [r["state"] for r in got.orderBy("at").collect()] == ["closed"] * 3 + ["open"] * 2 and isinstance(pd.DataFrame(), pd.DataFrame)

@@ -27,9 +27,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_weekly(spark: SparkSession, d: str) -> DataFrame:
-    """The weekly view after the batch layer has seen the whole log."""
-    view = late_events.LambdaView()
-    return view.counts(view.arrivals(arrival_log(spark, d)))
+    """The weekly view after the layers have run over the whole log."""
+    return late_events.LambdaView().replay(arrival_log(spark, d))[0].select("src", "week_day", *late_events.COUNTS)
 
 
 def _parsed(df: DataFrame, src: str, rec: str, field: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import relational as R
@@ -21,15 +21,17 @@ def ss01_dirty_generations(s: SparkSession, d: str) -> DataFrame:
     return signals.dirty_generations(e).withColumnRenamed("domain", "user_id")
 
 
-@query("""WITH e AS (SELECT event_type, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts) > 120000000 THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-SELECT event_type, min(ts) AS first_at, max(ts) AS last_at, count(*) AS signals FROM g GROUP BY event_type, k""")
+@query("""WITH RECURSIVE e AS (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events),
+f AS (SELECT event_type, n, ts AS last_at, ts AS first_at FROM e WHERE n = 1
+  UNION ALL SELECT e.event_type, e.n, e.ts, CASE WHEN e.ts > least(f.last_at + INTERVAL 120 SECONDS, f.first_at + INTERVAL 900 SECONDS) THEN e.ts ELSE f.first_at END FROM f JOIN e ON e.event_type = f.event_type AND e.n = f.n + 1)
+SELECT event_type, first_at, max(last_at) AS last_at, count(*) AS signals, least(max(last_at) + INTERVAL 120 SECONDS, first_at + INTERVAL 900 SECONDS) AS fire_at FROM f GROUP BY event_type, first_at""")
 def ss02_debounce_sessions(s: SparkSession, d: str) -> DataFrame:
-    """Bursts of signals with less than the quiet time between them."""
-    w = Window.partitionBy("event_type").orderBy("ts")
-    gap = F.expr("timestampdiff(MICROSECOND, lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts)")
-    e = table(s, d, "events").select("event_type", "ts").withColumn("new", F.when(gap > 120_000_000, 1).otherwise(0))
-    g = e.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy("event_type", "k").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("signals")).drop("k")
+    """Bursts of signals, each fired after a quiet time or the longest wait."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    e = table(s, d, "events").select("event_type", us("ts").alias("at_us"))
+    at = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
+    out = signals.sessions(e, "event_type", "at_us")
+    return out.select("event_type", at("first_us").alias("first_at"), at("last_us").alias("last_at"), "signals", at("fire_us").alias("fire_at"))
 
 
 @query("SELECT user_id, list_slice(list(event_type ORDER BY ts DESC, event_id DESC), 1, 8) AS reasons FROM events GROUP BY 1")
@@ -65,19 +67,40 @@ def ss06_expired_leases(s: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("o_orderkey"), "reason")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 5 AS service, event_id AS n, epoch_us(ts) / 30000000.0 AS sec, coalesce(json_extract_string(props, '$.k'), '') AS job, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS i
+  FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+m AS (SELECT service, 0::BIGINT AS i, NULL::BIGINT AS n, 'closed' AS state, CAST([] AS STRUCT(sec DOUBLE, job VARCHAR)[]) AS f, 0 AS turn, 0.0::DOUBLE AS opened, '' AS probe, 0.0::DOUBLE AS probe_at FROM (SELECT DISTINCT service FROM e)
+  UNION ALL
+  SELECT service, i, n, CASE WHEN ok THEN 'closed' WHEN state = 'closed' THEN CASE WHEN full_up THEN 'open' ELSE 'closed' END WHEN state = 'half_open' AND probe = job THEN 'open' ELSE state END,
+    CASE WHEN ok THEN CAST([] AS STRUCT(sec DOUBLE, job VARCHAR)[]) WHEN state = 'closed' THEN seen ELSE f END,
+    CASE WHEN ok OR state = 'closed' THEN 0 WHEN state = 'half_open' AND probe = job THEN least(turn + 1, 2) ELSE turn END,
+    CASE WHEN (state = 'closed' AND full_up) OR (state = 'half_open' AND probe = job) THEN sec ELSE opened END, probe, probe_at
+  FROM (SELECT *, len(seen) >= 4 AND len(list_distinct(list_transform(seen, lambda x: x.job))) >= 2 AS full_up
+    FROM (SELECT e.service, e.i, e.n, e.sec, e.job, e.ok, m.f, m.turn, m.opened, list_append(list_filter(m.f, lambda x: x.sec >= e.sec - 600), {'sec': e.sec, 'job': e.job}) AS seen,
+        CASE WHEN m.state = 'open' AND e.sec - m.opened >= [300, 900, 1800][m.turn + 1] THEN 'half_open' ELSE m.state END AS state,
+        CASE WHEN (m.state = 'open' AND e.sec - m.opened >= [300, 900, 1800][m.turn + 1]) OR (m.state = 'half_open' AND e.sec - m.probe_at >= 900) THEN e.job ELSE m.probe END AS probe,
+        CASE WHEN (m.state = 'open' AND e.sec - m.opened >= [300, 900, 1800][m.turn + 1]) OR (m.state = 'half_open' AND e.sec - m.probe_at >= 900) THEN e.sec ELSE m.probe_at END AS probe_at
+      FROM m JOIN e ON e.service = m.service AND e.i = m.i + 1)))
+SELECT service, n AS event_id, state FROM m WHERE i > 0""")
 def ss07_circuit_states(s: SparkSession, d: str) -> DataFrame:
-    """A circuit for each user as a service; errors are failures of the job that props name."""
-    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").alias("job"), (F.col("event_type") != "error").alias("ok"), "event_id")
-    return guards.folded(e, "user_id", "event_id", ["ts", "job", "ok"], guards.CLOSED, lambda st, r: guards.breaker_step(st, r.ts.timestamp(), r.job, r.ok), lambda st: (st["state"],), "user_id long, event_id long, state string")
-
-
-@query("SELECT user_id, CAST(ts AS DATE) AS day, round(max(value) - arg_min(value, event_id), 4) AS spent FROM events GROUP BY ALL")
+    """Five services whose errors and views are failures of the job that props name and whose purchases are successes; the
+    clock runs thirty times slower than that of the events, so that circuits open."""
+    e = table(s, d, "events").where("event_type IN ('purchase', 'error', 'view')")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(30_000_000.0)
+    out = guards.circuit_states(e.select((F.col("user_id") % 5).alias("service"), F.col("event_id").alias("n"), at.alias("at"), F.get_json_object("props", "$.k").alias("job"), (F.col("event_type") == "purchase").alias("ok")))
+    return out.withColumnRenamed("n", "event_id")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day, floor((epoch(ts) + 43200) / 259200) AS w, value FROM events),
+h AS (SELECT *, max(value) OVER (PARTITION BY user_id, w ORDER BY event_id) AS high, max(value) OVER (PARTITION BY user_id, w ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base, lag(day) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM r),
+g AS (SELECT *, CASE WHEN base IS NOT NULL THEN high - base WHEN before = day THEN value ELSE 0 END AS added, base IS NULL AND coalesce(before = day, false) AS unsure FROM h),
+x AS (SELECT user_id, day, sum(added) AS spent, bool_or(unsure) AS uncertain, arg_max(high, event_id) AS last FROM g GROUP BY ALL)
+SELECT user_id, day, round(spent, 4) AS spent, uncertain, CASE WHEN last >= 100 THEN 'weekly_limit' WHEN uncertain OR spent >= 40 THEN 'daily_limit' ELSE 'ready' END AS status FROM x""")
 def ss08_daily_meter(s: SparkSession, d: str) -> DataFrame:
-    """Increases of a meter within a day: the running maximum less the first reading, as lower readings are stale."""
-    e = table(s, d, "events").withColumn("day", F.col("ts").cast("date"))
-    g = e.groupBy("user_id", "day").agg(F.max("value").alias("high"), F.min_by("value", "event_id").alias("first"))
-    return g.select("user_id", "day", F.round(F.col("high") - F.col("first"), 4).alias("spent"))
+    """A meter a user, over windows of three days that change at noon, with a limit of 40 a day."""
+    window = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) + 43_200) / 259_200)
+    r = table(s, d, "events").select(F.col("user_id").alias("account"), F.col("event_id").alias("n"), F.col("ts").cast("date").alias("day"), window.alias("window"), F.col("value").alias("reading"))
+    return guards.daily_meter(r, 40.0).select(F.col("account").alias("user_id"), "day", F.round("spent", 4).alias("spent"), "uncertain", "status")
 
 
 @query("SELECT id FROM (SELECT m.id, max(v.created_at) AS last_sync FROM media m LEFT JOIN video v ON v.media_id = m.id GROUP BY 1) WHERE last_sync IS NULL OR epoch(TIMESTAMP '2026-06-01') - floor(epoch(last_sync)) >= 43200 * 60")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUIET_S, LONGEST_S, REASONS = 120, 900, 8
@@ -62,6 +62,52 @@ def debounced(signals: DataFrame) -> DataFrame:
     )
 
 
+#: Width of the blocks of time in which bursts are sought, in seconds.
+BLOCK_S = 86_400
+
+
+def sessions(signals: DataFrame, key: str, at: str) -> DataFrame:
+    """The batch form of ``debounced``: ``key``, first_us, last_us, signals, fire_us for signals with a time in microseconds
+    in column ``at``; rows with a null key or time are no signals.
+
+    A gap longer than the quiet time ends a burst whatever came before, so bursts are found within blocks of time, and
+    what a block hands to the next is one row a block. A burst no longer than the longest wait is one session; a longer
+    one is cut in its order, burst by burst, with memory of one batch of rows."""
+    quiet, longest = QUIET_S * 1_000_000, LONGEST_S * 1_000_000
+    e = signals.select(F.col(key).alias("k"), F.col(at).alias("t")).dropna().withColumn("block", F.floor(F.col("t") / (BLOCK_S * 1_000_000)))
+    spans = e.groupBy("k", "block").agg(F.max("t").alias("block_last"))
+    before = F.lag("block_last").over(Window.partitionBy("k").orderBy("block"))
+    inside = Window.partitionBy("k", "block").orderBy("t")
+    gaps = e.join(spans.select("k", "block", before.alias("earlier")), ["k", "block"]).withColumn("prev", F.coalesce(F.lag("t").over(inside), "earlier"))
+    begins = gaps.withColumn("begin", F.when(F.col("prev").isNull() | (F.col("t") - F.col("prev") > quiet), F.col("t")))
+    started = begins.withColumn("begin", F.last("begin", ignorenulls=True).over(inside))
+    carried = started.groupBy("k", "block").agg(F.max("begin").alias("newest"))
+    hold = F.last("newest", ignorenulls=True).over(Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    burst = started.join(carried.select("k", "block", hold.alias("held")), ["k", "block"]).select("k", F.coalesce("begin", "held").alias("burst"), "t")
+    ends = burst.groupBy("k", "burst").agg(F.max("t").alias("end"), F.count("*").alias("n"))
+    short = ends.where(F.col("end") - F.col("burst") <= longest).select("k", F.col("burst").alias("first_us"), F.col("end").alias("last_us"), F.col("n").alias("signals"))
+    long = ends.where(F.col("end") - F.col("burst") > longest).select("k", "burst")
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, open_ = None, None
+        for f in batches:
+            done = []
+            for k, b, t in zip(f["k"], f["burst"], f["t"]):
+                if now != (k, b) or t > open_[0] + longest:
+                    if open_:
+                        done.append((now[0], *open_))
+                    now, open_ = (k, b), [t, t, 0]
+                open_[1], open_[2] = t, open_[2] + 1
+            yield pd.DataFrame(done, columns=["k", "first_us", "last_us", "signals"])
+        if open_:
+            yield pd.DataFrame([(now[0], *open_)], columns=["k", "first_us", "last_us", "signals"])
+
+    ordered = burst.join(long, ["k", "burst"]).repartition("k", "burst").sortWithinPartitions("k", "burst", "t")
+    parts = ordered.mapInPandas(cut, f"k {e.schema['k'].dataType.simpleString()}, first_us long, last_us long, signals long")
+    fire = F.least(F.col("last_us") + quiet, F.col("first_us") + longest).alias("fire_us")
+    return short.unionByName(parts).select(F.col("k").alias(key), "first_us", "last_us", "signals", fire)
+
+
 def dirty_generations(signals: DataFrame) -> DataFrame:
     """How many signals each domain has had, its first and its last: a running count in update mode."""
     return signals.groupBy("domain").agg(F.count("*").alias("generation"), F.min("ts").alias("first_dirty_at"), F.max("ts").alias("last_dirty_at"))
