@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,18 +89,14 @@ def estimate(text: str) -> int:
 
 def by_tokens(text: str, budget: int) -> Iterator[tuple[int, int]]:
     """Cut where the estimate reaches the budget, or behind the last break of the later half of what fits."""
-    at = 0
-    while at < len(text):
-        cost, end = 0, at
-        plain = wide = 0
-        while end < len(text):
-            plain, wide = (plain + 1, wide) if text[end] < "\x80" else (plain, wide + 1)
-            cost = wide + (plain + 3) // 4
-            if cost > budget:
-                break
-            end += 1
-        end = max(end, at + 1)
-        if end < len(text):
+    narrow = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) < 0x80
+    # Four times the estimate before rounding, up to each character; what fits from a place on is one search.
+    cost = np.concatenate([[0], np.cumsum(np.where(narrow, 1, 4))])
+    at, n = 0, len(text)
+    while at < n:
+        # wide + ceil(plain / 4) <= budget just if 4 * wide + plain <= 4 * budget.
+        end = max(int(np.searchsorted(cost, cost[at] + 4 * budget, "right")) - 1, at + 1)
+        if end < n:
             best = max(text.rfind(mark, at + (end - at) // 2, end) for mark in ("\n", "。"))
             end = best + 1 if best > at else end
         if (span := _trimmed(text, at, end)) is not None:

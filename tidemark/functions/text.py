@@ -40,15 +40,13 @@ def snake(c: Column | str) -> Column:
 
 
 def semantic_family(c: Column | str) -> Column:
-    of = {t: family for family, types in vocab.FAMILIES.items() for t in types.split()}
-    return F.coalesce(lookup(of, snake(c)), F.lit("other"))
+    return F.coalesce(lookup(vocab.EVENT_TYPE_FAMILY, snake(c)), F.lit("other"))
 
 
 def entity_key(kind: Column | str, name: Column | str, key: Column | str) -> Column:
     """``kind:key`` with aliases resolved; empty where nothing names the entity."""
     raw = F.coalesce(F.nullif(normalize_text(key), F.lit("")), normalize_text(name))
-    alias = {a: k for k, names in vocab.ALIASES.items() for a in names}
-    one = F.coalesce(lookup(alias, raw), raw)
+    one = F.coalesce(lookup(vocab.ENTITY_ALIASES, raw), raw)
     return F.when(one == "", "").otherwise(F.concat(F.coalesce(F.nullif(normalize_text(kind), F.lit("")), F.lit("other")), F.lit(":"), one))
 
 
@@ -103,8 +101,8 @@ def claim_terms(c: Column, names: Column | None = None) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(F.concat(words, grams(2), grams(3))), generic))
 
 
-def phases(c: Column) -> Column:
-    text = F.lower(c)
+def phases(text: Column) -> Column:
+    """The phases whose words occur in a folded text."""
     found = [F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)), F.lit(name)) for name, words in vocab.PHASES.items()]
     return F.array_compact(F.array(*found))
 
@@ -136,7 +134,7 @@ def clean_description(c: Column | str, most: int = 4000) -> Column:
     """Lines without links, tags and promotion."""
     bare = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"https?://\S+|www\.\S+", " ")
     lines = F.transform(F.split(bare, r"[\r\n]+"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"#\S+", " "), r"\s+", " ")))
-    kept = F.filter(lines, lambda x: (F.length(x) > 0) & ~x.rlike(vocab.PROMOTION))
+    kept = F.filter(lines, lambda x: (F.length(x) > 0) & ~x.rlike("(?i)" + "|".join(vocab.PROMOTION)))
     return F.trim(F.substring(F.array_join(kept, "\n"), 1, most))
 
 

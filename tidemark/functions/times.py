@@ -50,6 +50,13 @@ def partial_date(text: Column) -> Column:
     return F.coalesce(padded, iso).try_cast("timestamp")
 
 
+def civil_date(year: Column | str, month: Column | str, day: Column | str) -> Column:
+    """A date of its parts, null unless it exists."""
+    y, m, d = (F.col(c) if isinstance(c, str) else c for c in (year, month, day))
+    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
+    return F.when(y.between(1, 9999) & m.between(1, 12) & d.between(1, 31), text.try_cast("date"))
+
+
 def time_precision(stated: Column, start: Column, end: Column) -> Column:
     p = F.lower(F.trim(F.coalesce(stated, F.lit(""))))
     known = F.when(start.isNull() & end.isNull(), F.lit("unknown")).otherwise(p)

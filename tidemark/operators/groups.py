@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,10 @@ CARDS, PER_SOURCE, CANDIDATES = 10, 2, 200
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """The unit mean of unit vectors per group, by partial aggregates of each dimension: group, centroid."""
-    flat = df.where(F.col(vector).isNotNull()).select(group, F.posexplode(V.normalize(F.col(vector))).alias("i", "x"))
-    mean = flat.groupBy(group, "i").agg(F.avg("x").alias("x"))
-    row = mean.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
-    return row.withColumn("centroid", V.normalize(F.col("centroid")))
+    """The unit mean of unit vectors per group: group, centroid. A partial mean a group and task is all that is shuffled."""
+    unit = df.where(F.col(vector).isNotNull()).select(group, array_to_vector(V.normalize(F.col(vector))).alias("v"))
+    mean = unit.groupBy(group).agg(Summarizer.mean(F.col("v")).alias("m"))
+    return mean.select(group, V.normalize(vector_to_array("m")).alias("centroid"))
 
 
 def medoids(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:

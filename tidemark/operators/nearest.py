@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,3 +48,29 @@ def exact_nearest(queries: DataFrame, vectors: DataFrame, k: int, itself: bool =
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
+
+
+#: Rows that a fixed table of vectors has at most.
+FIXED = 100_000
+
+
+def nearest_fixed(queries: DataFrame, fixed: DataFrame, k: int) -> DataFrame:
+    """The k nearest of a small fixed table, such as anchors, for every query: id, other, place, similarity. The table is
+    read by the driver, at most ``FIXED`` rows (ValueError beyond), and goes to every task; nothing is shuffled."""
+    rows = fixed.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector").limit(FIXED + 1).toPandas()
+    if len(rows) > FIXED:
+        raise ValueError(f"more than {FIXED} vectors are no fixed table")
+    rows = rows.sort_values("id", ignore_index=True)
+    ids, x = rows["id"].to_numpy(), _unit(rows["vector"]) if len(rows) else np.zeros((0, 1))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f) or not len(ids):
+                continue
+            s = np.round(_unit(f["vector"]) @ x.T, 9)
+            # Rows are in the order of ids, so a stable sort gives ties to the smaller.
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            n, m = best.shape
+            yield pd.DataFrame({"id": np.repeat(f["id"].to_numpy(), m), "other": ids[best.ravel()], "place": np.tile(np.arange(1, m + 1), n), "similarity": np.take_along_axis(s, best, 1).ravel()})
+
+    return queries.where("vector IS NOT NULL").select("id", "vector").mapInPandas(run, "id long, other long, place int, similarity double")

@@ -151,3 +151,22 @@ def anchors(df: DataFrame, key: str, point: str, most: int = ANCHORS) -> DataFra
     kept = room.withColumns({"step": step, "place": place}).where(F.col("chosen") | fill)
     columns = [key, point, *"xyz"]
     return p.where(F.col("n") <= most).select(columns).unionByName(kept.select(columns))
+
+
+#: Codes of a byte that types may take, and the type that stands for all others beyond them.
+CODES, OTHER = 255, "other"
+
+
+def type_codes(df: DataFrame, column: str) -> DataFrame:
+    """event_type, type_code of every type that occurs, in lower case without outer blanks; null and blank read as other.
+
+    Types are coded in their order. More than ``CODES`` of them leave the first 254 a code of their own, and the last
+    code stands for ``other`` and the rest. Only the first 256 types are ever ordered together."""
+    types = df.select(F.coalesce(F.nullif(F.lower(F.trim(column)), F.lit("")), F.lit(OTHER)).alias("event_type")).distinct()
+    first = types.orderBy("event_type").limit(CODES + 1)
+    full = first.count() > CODES
+    coded = first.withColumn("code", F.row_number().over(Window.orderBy("event_type")) - 1).where(F.col("code") < (CODES - 1 if full else CODES))
+    own = types.join(coded, "event_type", "left")
+    rest = F.lit(CODES - 1)
+    code = F.when(F.col("event_type") == OTHER, rest).otherwise(F.coalesce("code", rest)) if full else F.col("code")
+    return own.select("event_type", code.cast("int").alias("type_code"))

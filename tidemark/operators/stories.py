@@ -62,7 +62,7 @@ def profiles(prepared: DataFrame, members: DataFrame, groups: DataFrame) -> Data
 
 
 def _has_transition(a: Column, b: Column) -> Column:
-    moves = [F.array_contains(a, x) & F.array_contains(b, y) for x, ys in vocab.FOLLOWS.items() for y in ys]
+    moves = [F.array_contains(a, x) & F.array_contains(b, y) for x, y in vocab.PHASE_TRANSITIONS]
     any_move = moves[0]
     for m in moves[1:]:
         any_move = any_move | m
@@ -141,10 +141,10 @@ def _grown(f: pd.DataFrame) -> pd.DataFrame:
     return out.assign(story=[first[root(x)] for x in out["source"]])[["domain", "anchor_key", "source", "target", "story"]]
 
 
-def build_stories(st: Stages, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """stories: domain, story_id, anchor_key, maturity, quality_score, counts; members: domain, story_id, node,
+def build_stories(st: Stages, nodes: DataFrame, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From nodes, and their ``scored_edges`` where those are made already. stories: domain, story_id, anchor_key, maturity, quality_score, counts; members: domain, story_id, node,
     position; edges with their story."""
-    edges = st.write(degree_capped(scored_edges(st, nodes), ["domain", "anchor_key"], "source", "target", "confidence"))
+    edges = st.write(degree_capped(scored_edges(st, nodes) if scored is None else scored, ["domain", "anchor_key"], "source", "target", "confidence"))
     key = lambda n: F.concat_ws("\u0001", "domain", "anchor_key", n)
     comp = labelled_components(st, edges.select(key("source").alias("u"), key("target").alias("v")), "u", "v")
     sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("node").alias("k"), "component", "n")

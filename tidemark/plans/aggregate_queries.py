@@ -543,8 +543,19 @@ def sl09_retention(s: SparkSession, d: str) -> DataFrame:
     return R.retained(x, ["playlist_id"], [F.desc("created_at"), F.col("id")], F.lit(False), F.col("status") == "ready", 3).select("id", "retained")
 
 
-@query("""WITH c AS (SELECT DISTINCT snapshot_id, canonical_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM event_map_canonical WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL), g AS (SELECT *, floor(x * 2) AS a, floor(y * 2) AS b, floor(z * 2) AS e FROM c)
-SELECT snapshot_id, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, a, b, e ORDER BY round((x - (a + 0.5) / 2) ** 2 + (y - (b + 0.5) / 2) ** 2 + (z - (e + 0.5) / 2) ** 2, 9), canonical_id) AS k FROM g) WHERE k = 1""")
+def _grid_sql() -> str:
+    cell = ", ".join(f"least(15, greatest(0, floor(({a}::DOUBLE - {a}0::DOUBLE) / greatest({a}1::DOUBLE - {a}0::DOUBLE, 1e-6) * 16))) AS c{a}" for a in "xyz")
+    away = " + ".join(f"({a} - ({a}0::DOUBLE + (c{a} + 0.5) / 16 * greatest({a}1::DOUBLE - {a}0::DOUBLE, 1e-6))::FLOAT) ** 2" for a in "xyz")
+    return f"""WITH p AS (SELECT DISTINCT snapshot_id, canonical_id, x, y, z FROM event_map_canonical WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+b AS (SELECT *, count(*) OVER w AS n, {', '.join(f'min({a}) OVER w AS {a}0, max({a}) OVER w AS {a}1' for a in 'xyz')} FROM p WINDOW w AS (PARTITION BY snapshot_id)),
+c AS (SELECT *, {cell} FROM b WHERE n > 4096),
+k AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, cx, cy, cz ORDER BY {away}, canonical_id, x, y, z) = 1 AS chosen FROM c),
+r AS (SELECT *, 4096 - count(*) FILTER (chosen) OVER (PARTITION BY snapshot_id) AS room FROM k),
+s AS (SELECT *, greatest(1, (n - 4096 + room) // greatest(1, room)) AS step, row_number() OVER (PARTITION BY snapshot_id, chosen ORDER BY canonical_id, x, y, z) - 1 AS place FROM r)
+SELECT snapshot_id, canonical_id FROM b WHERE n <= 4096 UNION ALL SELECT snapshot_id, canonical_id FROM s WHERE chosen OR (place % step = 0 AND place < step * room)"""
+
+
+@query(_grid_sql())
 def sl10_spatial_grid(s: SparkSession, d: str) -> DataFrame:
     from tidemark.operators.projection import anchors
 

@@ -391,15 +391,15 @@ def jn17_nearest_vectors(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT anchor_rank, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM anchor_vector), e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
 SELECT vec_id, anchor_rank FROM (SELECT vec_id, anchor_rank, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(e.v, a.v), 9) DESC, anchor_rank) AS k FROM e, a) WHERE k <= 8""")
 def jn18_nearest_anchors(s: SparkSession, d: str) -> DataFrame:
-    from tidemark.operators.nearest import exact_nearest
+    from tidemark.operators.nearest import nearest_fixed
 
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     a = table(s, d, "anchor_vector").select(F.col("anchor_rank").cast("long").alias("id"), "vector")
-    return exact_nearest(e, a, 8, itself=True).select(F.col("id").alias("vec_id"), F.col("other").cast("int").alias("anchor_rank"))
+    return nearest_fixed(e, a, 8).select(F.col("id").alias("vec_id"), F.col("other").cast("int").alias("anchor_rank"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT DISTINCT id, parent_snapshot_id AS parent FROM event_map_snapshot), t AS (SELECT id AS root, id AS node, 0 AS depth FROM s WHERE parent IS NULL
-UNION ALL SELECT t.root, s.id, t.depth + 1 FROM t JOIN s ON s.parent = t.node WHERE t.depth < 16) SELECT * FROM t""")
+UNION ALL SELECT t.root, s.id, t.depth + 1 FROM t JOIN s ON s.parent = t.node) SELECT * FROM t""")
 def jn19_descendants(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "event_map_snapshot").select("id", F.col("parent_snapshot_id").alias("parent")).distinct()
     return R.closure(e, e.where("parent IS NULL"), "id", "parent")

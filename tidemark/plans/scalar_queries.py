@@ -28,7 +28,7 @@ def tx01_normalized_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.sha2(X.normalize_text("text"), 256).alias("sha"))
 
 
-_FAMILY = " ".join(f"WHEN t IN ({', '.join(repr(x) for x in types.split())}) THEN '{family}'" for family, types in vocab.FAMILIES.items())
+_FAMILY = " ".join(f"WHEN t = '{kind}' THEN '{family}'" for kind, family in vocab.EVENT_TYPE_FAMILY.items())
 
 
 @query(f"SELECT family, count(*) AS n FROM (SELECT CASE {_FAMILY} ELSE 'other' END AS family FROM (SELECT trim(regexp_replace(lower(trim(coalesce(event_type, ''))), '[^0-9a-z]+', '_', 'g'), '_') AS t FROM event_record)) GROUP BY 1")
@@ -81,7 +81,8 @@ _PHASES = ", ".join("CASE WHEN " + " OR ".join(f"contains(x, '{w}')" for w in wo
 
 @query(f"SELECT event_id, list_filter([{_PHASES}], lambda p: p IS NOT NULL) AS phases FROM (SELECT DISTINCT event_id, lower(concat_ws(' ', title, summary)) AS x, event_type, start_day, end_day FROM event_record)")
 def tx10_phases(s: SparkSession, d: str) -> DataFrame:
-    return _records(s, d).select("event_id", X.phases(F.concat_ws(" ", "title", "summary")).alias("phases"))
+    r = _records(s, d).withColumn("folded", X.nfkc_fold(F.concat_ws(" ", "title", "summary")))
+    return r.select("event_id", X.phases(F.col("folded")).alias("phases"))
 
 
 @query(f"SELECT event_id, list_filter({[*dict.fromkeys(vocab.RESPONSE_CUES)]!r}, lambda x: contains(lower(concat_ws(' ', title, summary)), x))[1] AS cue FROM (SELECT DISTINCT event_id, title, summary FROM event_record)")
@@ -90,12 +91,15 @@ def tx11_first_cue(s: SparkSession, d: str) -> DataFrame:
     return r.select("event_id", X.first_cue(F.concat_ws(" ", "title", "summary"), list(dict.fromkeys(vocab.RESPONSE_CUES))).alias("cue"))
 
 
-@query(r"SELECT DISTINCT id, coalesce(nullif(regexp_replace(regexp_replace(title, '^[\s·:：,，;；—-]+', ''), '[\s·:：,，;；—-]+$', ''), ''), '事件') AS part FROM video WHERE title IS NOT NULL")
+@query(r"""SELECT DISTINCT event_id, coalesce(nullif(regexp_replace(regexp_replace(CASE WHEN length(name) > 0 THEN replace(title, name, '') ELSE title END, '^[\s·:：,，;；—-]+', ''), '[\s·:：,，;；—-]+$', ''), ''), nullif(trim(title), ''), '事件') AS part
+FROM (SELECT event_id, title, coalesce(entities[1].name, '') AS name FROM event_record WHERE title IS NOT NULL)""")
 def tx12_title_part(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "video").where("title IS NOT NULL").select("id", X.title_part(F.col("title"), F.lit("")).alias("part")).distinct()
+    """Titles without the name of their first entity."""
+    r = table(s, d, "event_record").where("title IS NOT NULL").select("event_id", "title", F.coalesce(F.get("entities", F.lit(0))["name"], F.lit("")).alias("name"))
+    return r.select("event_id", X.title_part(F.col("title"), F.col("name")).alias("part")).distinct()
 
 
-_PROMOTION = vocab.PROMOTION.replace("'", "''")
+_PROMOTION = "(?i)" + "|".join(vocab.PROMOTION)
 
 
 @query(rf"""WITH t AS (SELECT DISTINCT id, regexp_replace(coalesce(description, ''), 'https?://[^\t-\r ]+|www\.[^\t-\r ]+', ' ', 'g') AS x FROM video),
@@ -148,7 +152,7 @@ def tx23_brief_errors(s: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", X.brief_errors(F.col("text"), X.required_headings("text"), X.urls("text")).alias("errors"))
 
 
-@query("SELECT doc_id, replace(replace('# {{date}}' || chr(10) || '{{blocks}}', '{{date}}', coalesce(lang, '')), '{{blocks}}', left(coalesce(text, ''), 80)) AS prompt FROM documents WHERE doc_kind = 'summary'")
+@query("SELECT doc_id, replace(replace('# {{date}}' || chr(10) || '{{blocks}}', '{{date}}', coalesce(lang, '')), '{{blocks}}', coalesce(text, '')) AS prompt FROM documents WHERE doc_kind = 'summary'")
 def tx24_composed_prompt(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("doc_kind = 'summary'")
     return t.select("doc_id", X.compose(F.lit("# {{date}}\n{{blocks}}"), date=F.coalesce("lang", F.lit("")), blocks=F.coalesce("text", F.lit(""))).alias("prompt"))
@@ -166,10 +170,10 @@ def tx26_stripped_wrappers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_kind = 'extraction'").select("doc_id", X.strip_wrappers("text").alias("body"))
 
 
-@query("SELECT doc_id, coalesce(text, '') AS restored FROM documents WHERE doc_kind = 'summary'")
+@query(r"""SELECT doc_id, regexp_replace(coalesce(text, ''), '\d+(?:[.,]\d+)*[\t-\r ]?%?', '#', 'g') AS masked, len(regexp_extract_all(coalesce(text, ''), '\d+(?:[.,]\d+)*[\t-\r ]?%?')) AS numbers, coalesce(text, '') AS restored FROM documents WHERE doc_kind = 'summary'""")
 def tx27_masked_and_restored(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("doc_kind = 'summary'").withColumn("m", X.mask_numbers("text"))
-    return t.select("doc_id", X.unmask_numbers(F.col("m")).alias("restored"))
+    return t.select("doc_id", F.replace("m.masked", F.lit("\u0001"), F.lit("#")).alias("masked"), F.size("m.numbers").cast("long").alias("numbers"), X.unmask_numbers(F.col("m")).alias("restored"))
 
 
 @query(r"""WITH u AS (SELECT doc_id, regexp_extract(text, '(https?://[^\s）)\]}>，,]+)', 1) AS url FROM documents WHERE text IS NOT NULL)
@@ -195,10 +199,9 @@ def tx31_named_ids(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "video").select("id", X.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("video/"), "id")).alias("revision_id")).distinct()
 
 
-@query("SELECT DISTINCT id, '/watch?video=' || url_encode(id) || CASE WHEN title IS NOT NULL THEN '&title=' || replace(replace(url_encode(title), '%20', '+'), '~', '%7E') ELSE '' END AS link FROM video WHERE regexp_full_match(title, '[A-Za-z0-9 ]+')")
+@query("SELECT DISTINCT id, '/watch?video=' || url_encode(id) || CASE WHEN title IS NOT NULL THEN '&title=' || replace(replace(replace(url_encode(title), '%20', '+'), '~', '%7E'), '%2A', '*') ELSE '' END AS link FROM video")
 def tx32_deep_links(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "video").where(F.col("title").rlike("^[A-Za-z0-9 ]+$"))
-    return v.select("id", X.deep_link("/watch", video=F.col("id"), title=F.col("title")).alias("link")).distinct()
+    return table(s, d, "video").select("id", X.deep_link("/watch", video=F.col("id"), title=F.col("title")).alias("link")).distinct()
 
 
 @query("SELECT lang, string_split(lower(trim(replace(lang, '_', '-'))), '-')[1] AS code, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL")
@@ -244,11 +247,13 @@ def dt04_period_spine(s: SparkSession, d: str) -> DataFrame:
     return o.select(F.explode(D.spine(F.col("a"), F.col("z"), "month")).alias("period_start"))
 
 
-@query(r"""SELECT DISTINCT id, CASE WHEN regexp_full_match(t, '\d{4}') THEN TRY_CAST(t || '-01-01' AS TIMESTAMP) WHEN regexp_full_match(t, '\d{4}-\d{2}') THEN TRY_CAST(t || '-01' AS TIMESTAMP) WHEN regexp_full_match(t, '\d{4}-\d{2}-\d{2}') THEN TRY_CAST(t AS TIMESTAMP) END AS at
-FROM (SELECT id, trim(time_start) AS t FROM video_time_evidence) WHERE regexp_full_match(t, '\d{4}(-\d{2}){0,2}')""")
+@query(r"""SELECT DISTINCT id, CASE WHEN regexp_full_match(t, '\d{4}') THEN TRY_CAST(t || '-01-01' AS TIMESTAMP) WHEN regexp_full_match(t, '\d{4}-\d{2}') THEN TRY_CAST(t || '-01' AS TIMESTAMP)
+WHEN regexp_full_match(t, '\d{4}-\d{2}-\d{2}') THEN TRY_CAST(t AS TIMESTAMP) WHEN regexp_full_match(t, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?') THEN
+  CASE WHEN regexp_matches(t, '(Z|[+-]\d{2}:\d{2})$') THEN TRY_CAST(regexp_replace(regexp_replace(replace(t, ' ', 'T'), '(T\d{2}:\d{2})(Z|[+-])', '\1:00\2'), 'Z$', '+00:00') AS TIMESTAMPTZ) AT TIME ZONE 'UTC'
+  ELSE TRY_CAST(regexp_replace(replace(t, ' ', 'T'), '(T\d{2}:\d{2})$', '\1:00') AS TIMESTAMP) END END AS at
+FROM (SELECT id, trim(time_start) AS t FROM video_time_evidence)""")
 def dt05_partial_dates(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "video_time_evidence").withColumn("t", F.trim("time_start")).where(F.col("t").rlike(r"^[0-9]{4}(-[0-9]{2}){0,2}$") & ~F.col("t").contains("\n"))
-    return e.select("id", D.partial_date(F.col("t")).cast("timestamp_ntz").alias("at")).distinct()
+    return table(s, d, "video_time_evidence").select("id", D.partial_date(F.col("time_start")).cast("timestamp_ntz").alias("at")).distinct()
 
 
 @query("SELECT CASE WHEN date_year IS NULL AND time_start IS NULL THEN 'unknown' WHEN precision IN ('second', 'day', 'month', 'year', 'range', 'unknown') THEN precision WHEN date_year IS NULL THEN 'unknown' ELSE 'day' END AS p, count(*) AS n FROM video_time_evidence GROUP BY 1")
@@ -282,14 +287,14 @@ def dt09_published_from_json(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", D.published_at(info).cast("timestamp_ntz").alias("at"))
 
 
-@query("""WITH e AS (SELECT video_id, make_date(date_year, date_month, date_day) AS day, source, confidence, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, updated_at DESC, id DESC) AS k FROM video_time_evidence
-WHERE status = 'accepted' AND confidence >= 0.5 AND date_year IS NOT NULL AND date_month BETWEEN 1 AND 12 AND date_day BETWEEN 1 AND 28)
+@query("""WITH e AS (SELECT video_id, TRY_CAST(printf('%04d-%02d-%02d', date_year, date_month, date_day) AS DATE) AS day, source, confidence, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, updated_at DESC, id DESC) AS k FROM video_time_evidence
+WHERE status = 'accepted' AND confidence >= 0.5 AND date_year BETWEEN 1 AND 9999 AND date_month BETWEEN 1 AND 12 AND date_day BETWEEN 1 AND 31 AND TRY_CAST(printf('%04d-%02d-%02d', date_year, date_month, date_day) AS DATE) IS NOT NULL)
 SELECT DISTINCT v.id, coalesce(e.day, CAST(v.published_at AS DATE)) AS day, CASE WHEN e.day IS NOT NULL THEN e.source WHEN v.published_at IS NOT NULL THEN 'platform' END AS time_source FROM video v LEFT JOIN e ON e.video_id = v.id AND e.k = 1""")
 def dt10_timeline(s: SparkSession, d: str) -> DataFrame:
     from tidemark.operators import relational as R
 
-    e = table(s, d, "video_time_evidence").where("status = 'accepted' AND confidence >= 0.5 AND date_year IS NOT NULL AND date_month BETWEEN 1 AND 12 AND date_day BETWEEN 1 AND 28")
-    e = e.select(F.col("video_id").alias("vid"), F.make_date("date_year", "date_month", "date_day").alias("day"), "source", "confidence", "updated_at", F.col("id").alias("eid")).withColumnRenamed("vid", "id")
+    e = table(s, d, "video_time_evidence").where("status = 'accepted' AND confidence >= 0.5").withColumn("day", D.civil_date("date_year", "date_month", "date_day")).where("day IS NOT NULL")
+    e = e.select(F.col("video_id").alias("vid"), "day", "source", "confidence", "updated_at", F.col("id").alias("eid")).withColumnRenamed("vid", "id")
     v = R.with_selected(table(s, d, "video").select("id", "published_at").distinct(), "id", e, [F.desc("confidence"), F.desc("updated_at"), F.desc("eid")], ["day", "source"])
     return v.select("id", F.coalesce("day", F.col("published_at").cast("date")).alias("day"), F.when(F.col("day").isNotNull(), F.col("source")).when(F.col("published_at").isNotNull(), "platform").alias("time_source"))
 
@@ -478,9 +483,9 @@ def js06_brief_bounds(s: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", F.size(lines).alias("points"), F.forall(lines, lambda x: F.length(x) <= 400).alias("within"), F.exists(lines, lambda x: x.rlike(r"\[\d+\]\z")).alias("cited"))
 
 
-@query("SELECT event_id, CAST(json_object('value', value) AS VARCHAR) AS wrapped FROM events WHERE value = floor(value)")
+@query("SELECT event_id, CAST(json_object('value', value) AS VARCHAR) AS wrapped FROM events")
 def js07_scalar_as_object(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").where("value = floor(value)").select("event_id", F.to_json(F.struct("value")).alias("wrapped"))
+    return table(s, d, "events").select("event_id", F.to_json(F.struct("value")).alias("wrapped"))
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS calls, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")

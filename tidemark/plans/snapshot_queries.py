@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import canonical as K
 from tidemark.operators import relational as R
 from tidemark.operators import stories as S
+from tidemark.operators.projection import type_codes
+from tidemark.operators.publish import Publisher, fingerprints, input_key, staged_inputs
 from tidemark.plans.registry import Catalog
-from tidemark.session import Stages
+from tidemark.session import Stages, shared_dir
 from tidemark.sources.tables import norm_id, table
 
 CATALOG = Catalog()
@@ -32,25 +36,77 @@ def neighbours(s: SparkSession, d: str, r: DataFrame) -> DataFrame:
     return j.where("ld = rd").select(F.col("ld").alias("domain"), "left", "right", "similarity")
 
 
-def _canonical(s: SparkSession, d: str) -> tuple[Stages, DataFrame, DataFrame, DataFrame]:
-    st = Stages(s, "canonical")
-    r = st.write(records(s, d))
-    members, groups = K.canonicalize(st, r, neighbours(s, d, r))
-    return st, r, members, groups
+#: Part of the build key: a change of the rules makes new versions.
+RULES = "2"
 
 
-@query()
+def _published(s: SparkSession, d: str, stage: str, make: Callable[[], dict[str, DataFrame]]) -> Callable[[str], DataFrame]:
+    """The tables of a stage of the build over a folder: made once, then read by every query over the same inputs."""
+    pub = Publisher(s, f"{shared_dir(s)}/published/{stage}")
+    key = input_key(s, [f"{d}/{t}.parquet" for t in ("event_record", "event_match")], {"stage": stage, "rules": RULES})
+    version = pub.find(key) or pub.publish(key, make())[0]
+    return lambda name: pub.read(name, version)
+
+
+def _canonical(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
+    """The tables records, prepared, members and groups."""
+
+    def make() -> dict[str, DataFrame]:
+        st = Stages(s, "canonical")
+        r = st.write(records(s, d))
+        members, groups = K.canonicalize(st, r, neighbours(s, d, r))
+        return {"records": r, "prepared": K.prepare(r), "members": members, "groups": groups}
+
+    return _published(s, d, "canonical", make)
+
+
+def _nodes(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
+    """The table nodes: what the reports of each canonical event say together."""
+    c = _canonical(s, d)
+    return _published(s, d, "nodes", lambda: {"nodes": S.profiles(c("prepared"), c("members"), c("groups"))})
+
+
+def _stories(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
+    """The tables scored, stories, members and edges."""
+    n = _nodes(s, d)
+
+    def make() -> dict[str, DataFrame]:
+        st = Stages(s, "stories")
+        scored = st.write(S.scored_edges(st, n("nodes")))
+        stories, members, edges = S.build_stories(st, n("nodes"), scored)
+        return {"scored": scored, "stories": stories, "members": members, "edges": edges}
+
+    return _published(s, d, "stories", make)
+
+
+_CONTENT = "concat_ws(chr(31), coalesce(title, ''), coalesce(summary, ''), coalesce(event_type, ''), coalesce(direction, ''), coalesce(start_day::VARCHAR, ''), coalesce(end_day::VARCHAR, ''), coalesce(time_precision, ''), coalesce(array_to_string(list_transform(entities, lambda e: concat_ws(chr(30), coalesce(e.entity_type, ''), coalesce(e.key, ''), coalesce(e.name, ''), coalesce(e.role, ''))), chr(29)), ''), coalesce(array_to_string(list_transform(relations, lambda r: concat_ws(chr(30), coalesce(r.relation_type, ''), coalesce(r.source_claim, ''), coalesce(r.target_claim, ''), coalesce(r.evidence_text, ''))), chr(29)), ''), coalesce(array_to_string(list_transform(evidence, lambda v: concat_ws(chr(30), coalesce(v.video_id, ''), coalesce(v.evidence_text, ''))), chr(29)), ''))"
+
+
+@query(f"""WITH r AS (SELECT * FROM (SELECT *, coalesce(playlist_id, '') AS domain, row_number() OVER (PARTITION BY event_id ORDER BY created_at, revision_id) AS k FROM event_record WHERE event_id IS NOT NULL) WHERE k = 1),
+c AS (SELECT domain, event_id, sha256({_CONTENT}) AS content_hash, sha256(coalesce(array_to_string(list_transform(vector, lambda x: coalesce(CASE WHEN x < 1e9 AND x > -1e9 THEN CAST(floor(x::DOUBLE * 1000000)::BIGINT AS VARCHAR) END, '')), ','), '')) AS embedding_hash FROM r),
+i AS (SELECT *, sha256(concat_ws('|', event_id, content_hash, embedding_hash)) AS input_hash FROM c)
+SELECT domain, count(*) AS records, sha256(string_agg(input_hash, ',' ORDER BY event_id)) AS fingerprint FROM i GROUP BY 1""")
+def dm01_input_fingerprints(s: SparkSession, d: str) -> DataFrame:
+    """Per domain, what a build would freeze: the number of its records and a fingerprint of their inputs."""
+    return fingerprints(staged_inputs(records(s, d)))
+
+
+@query(f"""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at, revision_id) AS k FROM event_record WHERE event_id IS NOT NULL) WHERE k = 1)
+SELECT event_id, sha256({_CONTENT}) AS content_hash FROM r""")
 def dm01_revision_hashes(s: SparkSession, d: str) -> DataFrame:
-    r = records(s, d)
-    body = F.to_json(F.struct("title", "summary", "event_type", "direction", "start_day", "end_day", "time_precision", "entities", "relations", "evidence"), {"ignoreNullFields": "false"})
-    return r.select("event_id", F.sha2(body, 256).alias("content_hash"))
+    return staged_inputs(records(s, d)).select("event_id", "content_hash")
+
 
+@query()
+def dm01_revision_ids(s: SparkSession, d: str) -> DataFrame:
+    """Staged inputs with the id of the revision that their content names."""
+    return staged_inputs(records(s, d)).select("event_id", "revision_id", "input_hash", "embedding_hash")
 
-@query("SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS type_code FROM (SELECT DISTINCT coalesce(event_type, 'other') AS event_type FROM event_record UNION SELECT 'other') ORDER BY event_type LIMIT 255")
+
+@query("""WITH t AS (SELECT DISTINCT coalesce(nullif(lower(trim(event_type)), ''), 'other') AS t FROM event_record), r AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k, count(*) OVER () AS n FROM t)
+SELECT t AS event_type, CAST(CASE WHEN n <= 255 THEN k WHEN t = 'other' OR k >= 254 THEN 254 ELSE k END AS INTEGER) AS type_code FROM r""")
 def dm02_type_codes(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "event_record").select(F.coalesce("event_type", F.lit("other")).alias("event_type")).unionByName(s.createDataFrame([("other",)], "event_type string")).distinct()
-    # A vocabulary of types, coded up to 255.
-    return t.withColumn("type_code", F.row_number().over(Window.orderBy("event_type")) - 1).where("type_code < 255")
+    return type_codes(table(s, d, "event_record"), "event_type")
 
 
 @query()
@@ -83,18 +139,17 @@ def dm05_mutual_best(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dm06_canonical_groups(s: SparkSession, d: str) -> DataFrame:
-    return _canonical(s, d)[3]
+    return _canonical(s, d)("groups")
 
 
 @query()
 def dm06_canonical_members(s: SparkSession, d: str) -> DataFrame:
-    return _canonical(s, d)[2]
-
-
+    return _canonical(s, d)("members")
 
 
 def _identities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    st, r, members, groups = _canonical(s, d)
+    c = _canonical(s, d)
+    r, members = c("records"), c("members")
     prior = table(s, d, "event_to_canonical").where("canonical_id IS NOT NULL").select("event_id", "canonical_id").distinct()
     prior = R.first_per_key(prior, ["event_id"], [F.col("canonical_id")]).join(r.select("event_id", "domain"), "event_id")
     sizes = prior.groupBy("domain", "canonical_id").agg(F.count("*").alias("size"))
@@ -111,20 +166,15 @@ def dm08_lineage(s: SparkSession, d: str) -> DataFrame:
     return _identities(s, d)[1].withColumn("confidence", F.round("confidence", 6))
 
 
-def _nodes(s: SparkSession, d: str) -> tuple[Stages, DataFrame]:
-    st, r, members, groups = _canonical(s, d)
-    return st, st.write(S.profiles(K.prepare(r), members, groups))
-
-
 @query()
 def dm09_story_profiles(s: SparkSession, d: str) -> DataFrame:
-    n = _nodes(s, d)[1]
+    n = _nodes(s, d)("nodes")
     return n.select("domain", "node", "start_day", "end_day", F.size("terms").alias("n_terms"), F.size("sources").alias("n_sources"), "phases", "family")
 
 
 @query()
 def dm10_story_edges(s: SparkSession, d: str) -> DataFrame:
-    return S.scored_edges(*_nodes(s, d)).select("domain", "source", "target", "anchor_key", "relation_type", "confidence", "gap_days")
+    return _stories(s, d)("scored").select("domain", "source", "target", "anchor_key", "relation_type", "confidence", "gap_days")
 
 
 @query(f"""WITH k AS (SELECT DISTINCT event_id, e.key AS key, e.entity_type AS t FROM (SELECT event_id, unnest(entities) AS e FROM event_record) WHERE e.key IS NOT NULL)
@@ -137,14 +187,12 @@ def dm11_anchor_choice(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dm12_story_members(s: SparkSession, d: str) -> DataFrame:
-    st, n = _nodes(s, d)
-    return S.build_stories(st, n)[1]
+    return _stories(s, d)("members")
 
 
 @query()
 def dm13_stories(s: SparkSession, d: str) -> DataFrame:
-    st, n = _nodes(s, d)
-    return S.build_stories(st, n)[0]
+    return _stories(s, d)("stories")
 
 
 @query()
@@ -170,16 +218,21 @@ def dm15_material_change(s: SparkSession, d: str) -> DataFrame:
     return j.select("snapshot_id", "event_type", (~F.col("f").eqNullSafe(F.col("was"))).alias("material"))
 
 
-@query("""WITH p AS (SELECT DISTINCT id, parent_snapshot_id AS parent FROM event_map_snapshot WHERE status = 'ready' AND parent_snapshot_id IN (SELECT id FROM event_map_snapshot)), c AS (SELECT DISTINCT snapshot_id, canonical_id FROM event_map_canonical)
-SELECT p.id AS snapshot_id, c.canonical_id, 'active' AS status FROM p JOIN c ON c.snapshot_id = p.id WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.snapshot_id = p.parent AND o.canonical_id = c.canonical_id)
-UNION ALL SELECT p.id, c.canonical_id, 'retired' FROM p JOIN c ON c.snapshot_id = p.parent WHERE NOT EXISTS (SELECT 1 FROM c n WHERE n.snapshot_id = p.id AND n.canonical_id = c.canonical_id)""")
+@query("""WITH p AS (SELECT DISTINCT id, parent_snapshot_id AS parent, created_at FROM event_map_snapshot WHERE status = 'ready' AND parent_snapshot_id IN (SELECT id FROM event_map_snapshot)), c AS (SELECT DISTINCT snapshot_id, canonical_id, revision_id, member_count FROM event_map_canonical),
+n AS (SELECT p.id, p.created_at, c.canonical_id, bool_and(EXISTS (SELECT 1 FROM c o WHERE o.snapshot_id = p.parent AND o.canonical_id = c.canonical_id AND o.revision_id IS NOT DISTINCT FROM c.revision_id AND o.member_count IS NOT DISTINCT FROM c.member_count)) AS same FROM p JOIN c ON c.snapshot_id = p.id GROUP BY ALL)
+SELECT id AS snapshot_id, canonical_id, 'active' AS status, created_at AS updated_at FROM n WHERE NOT same
+UNION ALL SELECT DISTINCT p.id, c.canonical_id, 'retired', p.created_at FROM p JOIN c ON c.snapshot_id = p.parent WHERE NOT EXISTS (SELECT 1 FROM c n WHERE n.snapshot_id = p.id AND n.canonical_id = c.canonical_id)""")
 def dm16_identity_status(s: SparkSession, d: str) -> DataFrame:
+    """Identities that a ready snapshot makes or changes become active, those that its parent had and it has not retire."""
     snap = table(s, d, "event_map_snapshot")
-    p = snap.where("status = 'ready'").select(F.col("id").alias("domain"), F.col("parent_snapshot_id").alias("parent")).distinct().join(snap.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
-    c = table(s, d, "event_map_canonical").select("snapshot_id", "canonical_id").distinct()
-    now = p.join(c, F.col("snapshot_id") == F.col("domain")).select("domain", "canonical_id")
-    old = p.join(c, F.col("snapshot_id") == F.col("parent")).select("domain", "canonical_id")
-    return K.identity_status(now, old, now.limit(0)).withColumnRenamed("domain", "snapshot_id")
+    p = snap.where("status = 'ready'").select(F.col("id").alias("domain"), F.col("parent_snapshot_id").alias("parent"), F.col("created_at").alias("updated_at")).distinct().join(snap.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+    c = table(s, d, "event_map_canonical").select("snapshot_id", "canonical_id", "revision_id", "member_count").distinct()
+    now, old = (p.join(c, F.col("snapshot_id") == F.col(side)).select("domain", "canonical_id", "revision_id", "member_count") for side in ("domain", "parent"))
+    form = F.struct("revision_id", "member_count")
+    was = old.select("domain", "canonical_id", F.to_json(form, {"ignoreNullFields": "false"}).alias("form"))
+    changed = now.withColumn("form", F.to_json(form, {"ignoreNullFields": "false"})).join(was, ["domain", "canonical_id", "form"], "left_anti")
+    out = K.identity_status(now, old, changed).join(p.select("domain", "updated_at"), "domain")
+    return out.withColumnRenamed("domain", "snapshot_id").select("snapshot_id", "canonical_id", "status", "updated_at")
 
 
 @query("SELECT id, input_generation, row_number() OVER (PARTITION BY playlist_id, input_generation ORDER BY status = 'ready' DESC, created_at, id) > 1 AS reused FROM (SELECT DISTINCT id, playlist_id, input_generation, status, created_at FROM event_map_snapshot)")
@@ -260,8 +313,8 @@ def dm23_topic_detail(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dm24_story_directory(s: SparkSession, d: str) -> DataFrame:
-    st, n = _nodes(s, d)
-    stories, members, _ = S.build_stories(st, n)
+    c = _stories(s, d)
+    stories, members = c("stories"), c("members")
     last = members.groupBy("story_id").agg(F.max_by("node", "position").alias("last_node"))
     return stories.join(last, "story_id").select("domain", "story_id", "label", "maturity", "n_members", "last_node")
 
@@ -312,12 +365,18 @@ def dm30_brief_inputs(s: SparkSession, d: str) -> DataFrame:
     return v.select(F.date_trunc("week", F.col("published_at").cast("timestamp")).cast("date").alias("week"), "id", state.alias("state"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT DISTINCT coalesce(media_id, '') AS media_id, id, CAST(length(description) AS BIGINT) AS chars FROM video WHERE status = 'ready' AND description IS NOT NULL AND id NOT IN (SELECT source_video_id FROM event_record WHERE source_video_id IS NOT NULL)),
+o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY id, chars) AS n FROM v),
+b AS (SELECT media_id, id, chars, n, 0 AS batch, chars AS used FROM o WHERE n = 1
+  UNION ALL SELECT o.media_id, o.id, o.chars, o.n, CASE WHEN b.used > 0 AND b.used + o.chars > 10000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.used > 0 AND b.used + o.chars > 10000 THEN o.chars ELSE b.used + o.chars END FROM b JOIN o ON o.media_id = b.media_id AND o.n = b.n + 1)
+SELECT media_id, id, chars, batch FROM b""")
 def dm31_extraction_batches(s: SparkSession, d: str) -> DataFrame:
+    """Batches of the videos of each source that have not been extracted yet."""
     from tidemark.functions.chunking import packed
 
+    done = table(s, d, "event_record").where("source_video_id IS NOT NULL").select(F.col("source_video_id").alias("id")).distinct()
     v = table(s, d, "video").where("status = 'ready' AND description IS NOT NULL").select(F.coalesce("media_id", F.lit("")).alias("media_id"), "id", F.length("description").alias("chars")).distinct()
-    return packed(v, "media_id", "id", "chars", 10_000)
+    return packed(v.join(done, "id", "left_anti"), "media_id", "id", "chars", 10_000)
 
 
 @query("SELECT CAST(unnest(generate_series(date_trunc('month', DATE '2024-01-15'), date_trunc('month', DATE '2026-06-10'), INTERVAL 1 MONTH)) AS DATE) AS month_start")

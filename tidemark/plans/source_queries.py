@@ -31,17 +31,17 @@ def _cues(s: SparkSession, d: str, vtt: bool) -> DataFrame:
 _TITLES = r"""WITH t AS (SELECT DISTINCT source_video_id, regexp_replace(title, '[\r\n]+', ' ', 'g') AS title FROM event_record WHERE source_video_id IS NOT NULL AND title IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY source_video_id ORDER BY title) - 1 AS i FROM t WHERE trim(title) <> '')"""
 
 
-@query(_TITLES + " SELECT source_video_id, i * 2000 + 500 AS start_ms, (i + 1) * 2000 + 500 AS end_ms, trim(title) AS text FROM r WHERE i < 20")
+@query(_TITLES + " SELECT source_video_id, i * 2000 + 500 AS start_ms, (i + 1) * 2000 + 500 AS end_ms, trim(title) AS text FROM r")
 def src07_srt_segments(s: SparkSession, d: str) -> DataFrame:
     return _cues(s, d, False).select("source_video_id", F.inline(subtitles.segments(F.col("file"))))
 
 
-@query(_TITLES + " SELECT source_video_id, i * 2000 + 500 AS start_ms, (i + 1) * 2000 + 500 AS end_ms, trim(title) AS text FROM r WHERE i < 20")
+@query(_TITLES + " SELECT source_video_id, i * 2000 + 500 AS start_ms, (i + 1) * 2000 + 500 AS end_ms, trim(title) AS text FROM r")
 def src08_vtt_segments(s: SparkSession, d: str) -> DataFrame:
     return _cues(s, d, True).select("source_video_id", F.inline(subtitles.segments(F.col("file"))))
 
 
-@query(_TITLES + " SELECT source_video_id, string_agg(trim(title), chr(10) ORDER BY i) AS plain, count(*) AS cues FROM r WHERE i < 20 GROUP BY 1")
+@query(_TITLES + " SELECT source_video_id, string_agg(trim(title), chr(10) ORDER BY i) AS plain, count(*) AS cues FROM r GROUP BY 1")
 def src09_normalized_subtitles(s: SparkSession, d: str) -> DataFrame:
     c = _cues(s, d, False).withColumn("seg", subtitles.segments(F.col("file")))
     return c.select("source_video_id", subtitles.plain_text(F.col("seg")).alias("plain"), F.size("seg").cast("long").alias("cues"))
