@@ -82,6 +82,7 @@ def test_cuts_equal_a_greedy_walk(seed):
             starts = [0, *(e - overlap for e in ends[:-1])]
             assert ends.tolist() == greedy(t, limit, overlap) and all(e - s <= limit for s, e in zip(starts, ends))
             assert all(k != 0 or C.longest_run(n, at) > limit - overlap - 1 for k in kinds)
+            assert bool((C.runs_cut(n, at, ends, kinds) > limit).any()) == (C.longest_run(n, at) > limit)
         assert C.longest_run(n, at) == max(len(x) for x in re.split(r"[\s.!?。！？]", t))
 
 

@@ -76,6 +76,17 @@ def longest_run(n: int, at: np.ndarray) -> int:
     return int(np.max(np.diff(np.concatenate([[0], at, [n + 1]])) - 1)) if n else 0
 
 
+def runs_cut(n: int, at: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The length of the run of other characters in which each forced cut of ``cut`` lies.
+
+    A run longer than the limit is always met by a forced cut: the piece that reaches its start ends inside it or at the
+    boundary before it, and then the next one cannot reach the boundary behind it."""
+    e = ends[kinds == 0]
+    i = np.searchsorted(at, e)
+    edges = np.concatenate([[0], at, [n + 1]])
+    return edges[i + 1] - edges[i] - 1
+
+
 def cut(n: int, at: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Ends of the pieces of a text of n characters, and the kind of boundary of each end (0: forced, 4: end)."""
     inner = at < n
@@ -124,8 +135,8 @@ PIECES = "array<struct<piece_no:int,start:int,end:int,cut:string{}>>"
 
 
 def pieces(df: DataFrame, id_column: str, text: str, specs: Sequence[Spec], with_text: bool = False) -> DataFrame:
-    """One row a long text and spec: spec, id, forced INT, pieces. ``forced`` is 1 where the text has a run longer
-    than the limit that offers no natural boundary."""
+    """One row a long text and spec: spec, id, forced INT, pieces. ``forced`` is 1 where a piece had to be cut
+    inside a run longer than the limit that offers no natural boundary."""
     least = min((s.limit for s in specs), default=0)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,14 +144,13 @@ def pieces(df: DataFrame, id_column: str, text: str, specs: Sequence[Spec], with
             rows = []
             for key, t in zip(f["id"], f["text"]):
                 n, at, kind = boundaries(t)
-                run_length = longest_run(n, at)
                 for s in specs:
                     if n <= s.limit:
                         continue
                     ends, kinds = cut(n, at, kind, s.limit, s.overlap)
                     starts = np.concatenate([[0], ends[:-1] - s.overlap])
                     made = [{"piece_no": i, "start": int(a), "end": int(e), "cut": KINDS[int(k)]} | ({"text": t[a:e]} if with_text else {}) for i, (a, e, k) in enumerate(zip(starts, ends, kinds))]
-                    rows.append((s.name, key, int(run_length > s.limit), made))
+                    rows.append((s.name, key, int((runs_cut(n, at, ends, kinds) > s.limit).any()), made))
             yield pd.DataFrame(rows, columns=["spec", "id", "forced", "pieces"])
 
     long = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(F.length("text") > least if specs else F.lit(False))
