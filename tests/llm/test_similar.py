@@ -100,3 +100,18 @@ def test_stated_queries_over_many_shards(spark, monkeypatch, tmp_path):
     np.fill_diagonal(s, -2)
     assert len(got) == 100 and all(len(r["o"]) == 5 for r in got)
     assert np.mean([len(set(r["o"]) & set(np.argsort(-s[r["id"]])[:5])) / 5 for r in got]) >= 0.98
+
+
+def test_centroids_in_two_levels(spark, monkeypatch):
+    """More shards than are fitted together: pairs are found as with one level, and every query has as many copies."""
+    monkeypatch.setattr(S, "SHARD", 25)
+    monkeypatch.setattr(S, "FIT", 8)
+    monkeypatch.setattr(S, "SAMPLE", 400)
+    x = clustered(1500, 4)
+    df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], SCHEMA)
+    used = S.usable(df, "vector_index", "vector", DIM, np.zeros((0, DIM), np.float32), np.zeros(0, np.int32), 2.0).persist()
+    c, share = S.centroids(used, 1500, DIM)
+    assert 30 <= len(c) <= 90 and abs(share.sum() - 1) < 1e-9 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5)
+    got = {(min(r["id"], r["other"]), max(r["id"], r["other"])) for r in S.most_similar(spark, used.select("id", "vec"), DIM, 5, 0.9).collect()}
+    want = exact_pairs(x, list(range(1500)), 5, 0.9)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)

@@ -4,7 +4,9 @@ Vectors are routed to the shards of their most similar centroids; each shard hol
 flat neighbour arrays (``hnsw``); queries visit ``probes`` shards, or all, and the shards' results are merged. Where
 queries are many, a shard answers them in slices. The centroids are
 fitted on a sample of at most ``SAMPLE`` vectors a shard, drawn by hash; every vector is indexed and none is capped.
-A shard that would outgrow ``LARGEST`` is split by hash, and its queries visit all its parts.
+There are as many shards as vectors ask for, so a query has the same number of copies at any size: up to ``FIT`` of them
+are fitted together, more in two levels, the second within each cell of the first as tasks of their own. A shard that
+would still outgrow ``LARGEST``, a hot cell, is split by hash, and its queries visit all its parts.
 
 Vectors that are equal bit by bit are one class: only a representative is indexed, and results return to the members by
 joins whose small side is at most k + 1 rows a class. A class with a third of all rows costs one vertex and k rows a
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.hnsw import Graph, unit_hash
 from tidemark.session import Stages
 
-#: Vectors a shard is planned for, the most a part of one is meant to hold, and the most shards.
-SHARD, LARGEST, MOST_SHARDS = 4000, 8192, 2048
+#: Vectors a shard is planned for, the most a part of one is meant to hold, and the shards that are fitted together.
+SHARD, LARGEST, FIT = 4000, 8192, 2048
+#: Centroids that every task holds at most: 64 MB of 64 dimensions, enough for a billion vectors; beyond, shards are
+#: planned larger and split by hash.
+MOST = 262_144
 #: Sampled vectors a shard, from which the centroids are fitted, and rounds of fitting.
 SAMPLE, ROUNDS = 32, 6
 #: The most queries that a part is meant to get at once, and rows of routed queries in a batch.
@@ -86,27 +91,69 @@ def usable(df: DataFrame, id_column: str, vector: str, dim: int, anchors: np.nda
     return df.select(id_column, vector).mapInArrow(run, "id long, c1 long, c2 long, vec binary, anchor_rank int")
 
 
-def centroids(vectors: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids fitted on a sample, and the share of the sample nearest to each."""
-    k = min(MOST_SHARDS, max(1, math.ceil(n / SHARD)))
-    if k == 1:
-        return np.zeros((1, dim), np.float32), np.ones(1)
-    rate = min(1.0, SAMPLE * k / n)
-    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("id", "vec").toArrow()
-    x = _matrix(rows["vec"], dim)[np.argsort(rows["id"].to_numpy(), kind="stable")]
+def _fit(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids of unit vectors by spherical k-means, and how many vectors are nearest to each."""
     distinct = np.unique(x, axis=0)
     rng = np.random.default_rng(5)
     c = distinct[rng.permutation(len(distinct))[:k]]
     for _ in range(ROUNDS):
-        near = (x @ c.T).argmax(axis=1)
-        mass = np.stack([np.bincount(near, x[:, d], minlength=len(c)) for d in range(dim)], axis=1)
+        near = _closest(x, c)
+        mass = np.stack([np.bincount(near, x[:, d], minlength=len(c)) for d in range(x.shape[1])], axis=1)
         length = np.linalg.norm(mass, axis=1)
         c = np.where(length[:, None] > 0, mass / np.maximum(length, 1e-12)[:, None], c).astype(np.float32)
-    return c, np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)) / len(x)
+    return c, np.bincount(_closest(x, c), minlength=len(c))
+
+
+def _blocks(n: int, k: int) -> Iterator[slice]:
+    """Rows whose products with k centroids fit into 64 MB."""
+    step = max(16, (1 << 24) // max(k, 1))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[(x[b] @ c.T).argmax(axis=1) for b in _blocks(len(x), len(c))]]).astype(np.int64)
+
+
+def _sampled(vectors: DataFrame, rate: float) -> DataFrame:
+    return vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < int(rate * 1_000_000_000)).select("id", "vec")
+
+
+def _fetched(rows: DataFrame, dim: int) -> np.ndarray:
+    t = rows.toArrow()
+    return _matrix(t["vec"], dim)[np.argsort(t["id"].to_numpy(), kind="stable")]
+
+
+def centroids(vectors: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids fitted on a sample, and the share of the sample nearest to each."""
+    k = min(MOST, max(1, math.ceil(n / SHARD)))
+    if k == 1:
+        return np.zeros((1, dim), np.float32), np.ones(1)
+    if k <= FIT:
+        c, held = _fit(_fetched(_sampled(vectors, min(1.0, SAMPLE * k / n)), dim), k)
+        return c, held / held.sum()
+    upper = min(FIT, math.isqrt(k))
+    top, _ = _fit(_fetched(_sampled(vectors, min(1.0, SAMPLE * FIT / n)), dim), upper)
+    rate = min(1.0, SAMPLE * k / n)
+
+    def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_closest(_matrix(b.column(1), dim), top).astype(np.int32)), b.column(0), b.column(1)], names=["cell", "id", "vec"])
+
+    def within(t: pa.Table) -> pa.Table:
+        x = _matrix(t["vec"], dim)[np.argsort(t["id"].to_numpy(), kind="stable")]
+        c, held = _fit(x, max(1, round(len(x) / (n * rate) * k)))
+        return pa.table({"cell": np.full(len(c), t["cell"][0].as_py(), np.int32), "held": held.astype(np.int64), "vec": _binary(c)})
+
+    # A cell's sample is ``SAMPLE`` vectors for each of its centroids.
+    made = _sampled(vectors, rate).mapInArrow(cells, "cell int, id long, vec binary").groupBy("cell").applyInArrow(within, "cell int, held long, vec binary").toArrow()
+    order = np.lexsort((made["held"].to_numpy(), made["cell"].to_numpy()))
+    held = made["held"].to_numpy()[order]
+    return _matrix(made["vec"], dim)[order], held / held.sum()
 
 
 def _route(vectors: DataFrame, c: np.ndarray, parts: np.ndarray, probes: int, every: int, dim: int, slices: int) -> DataFrame:
     """shard, part, slice, role (1 member, 2 query, 3 both), id, vec. Members are in every slice, a query in one."""
+    shared = vectors.sparkSession.sparkContext.broadcast(c)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(at: np.ndarray, shard: np.ndarray, part: np.ndarray, cut: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
@@ -117,8 +164,9 @@ def _route(vectors: DataFrame, c: np.ndarray, parts: np.ndarray, probes: int, ev
             if not b.num_rows:
                 continue
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-            s = x @ c.T
-            home = s.argmax(axis=1)
+            c = shared.value
+            near = np.concatenate([_nearest_shards(x[b] @ c.T, probes) for b in _blocks(len(x), len(c))])
+            home = near[:, 0]
             own = np.minimum((unit_hash(ids, 3) * parts[home]).astype(int), parts[home] - 1)
             asks, mine = ids % every == 0, np.minimum((unit_hash(ids, 9) * slices).astype(int), slices - 1)
             for cut in range(slices):
@@ -128,7 +176,7 @@ def _route(vectors: DataFrame, c: np.ndarray, parts: np.ndarray, probes: int, ev
             step = max(1, ROUTED // (probes * int(parts.max())))
             for a in range(0, len(asking), step):
                 at = asking[a : a + step]
-                shard = np.argpartition(s[at], len(c) - probes, axis=1)[:, len(c) - probes :].ravel()
+                shard = near[at].ravel()
                 row = np.repeat(at, probes)
                 row, shard = np.repeat(row, parts[shard]), np.repeat(shard, parts[shard])
                 part = _within(row, shard)
@@ -139,6 +187,13 @@ def _route(vectors: DataFrame, c: np.ndarray, parts: np.ndarray, probes: int, ev
     return vectors.select("id", "vec").mapInArrow(run, "shard int, part int, slice int, role int, id long, vec binary")
 
 
+def _nearest_shards(s: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` best columns of each row, the best first."""
+    top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+    order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
+    return np.take_along_axis(top, order, 1)
+
+
 def _within(row: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... within each run of equal (row, shard)."""
     if not len(row):
