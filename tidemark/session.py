@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -49,12 +49,26 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+_roots: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application's queries have written so far; call it once their results are read.
+    Returns how many queries' tables there were. Published versions stay."""
+    roots = _roots.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(roots)
+
+
 class Stages:
     """Tables written once in the shared folder, so that a lost executor costs one read and no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
         self.root = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def write(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """The table as written, in folders by the values of a column if one is named."""
@@ -65,6 +79,12 @@ class Stages:
         out._tidemark_path = path
         return out
 
+    def counted(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """The table as written, and aggregates of its rows that the write itself observes, without reading it again."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+        return out, seen.get
+
     def drop(self, df: DataFrame) -> None:
         """Free a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
