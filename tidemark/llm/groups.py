@@ -1,16 +1,18 @@
 """Connected groups of pairwise matches over billions of pairs.
 
-The graph is reduced until nothing is left, and every removed vertex keeps a pointer to one that stays longer:
+The graph is reduced until nothing is left, and every removed vertex keeps a pointer to one that stays longer. A round
+takes the vertices of degree two and one that it finds:
 
 1. chains of degree-two vertices shrink to one edge between their ends, found by list ranking (pointer doubling over
-   the directed arcs of the chain), so a chain of n vertices takes log n rounds;
+   the directed arcs of the chain), so a chain of n vertices takes log n steps;
 2. degree-one vertices are stripped, which also empties stars, whatever the size of the hub, in one step;
-3. the reduced core, in which every vertex has three neighbours or more, is solved by contraction: each vertex points
-   to its smallest neighbour, pointers are doubled to their roots, and edges between roots remain.
+3. a core without either, in which every vertex has three neighbours or more, is contracted: each vertex points to its
+   smallest neighbour, pointers are doubled to their roots, and edges between roots remain for the next round.
 
-Labels return to the removed vertices layer by layer in reverse. Every step is a join or a partial aggregate on a
-vertex; a hub with a third of all edges is a hot key only on the edge side of such joins, which adaptive execution
-splits. Each step is written to the shared folder, so neither lineage nor a lost executor reaches back further.
+Labels return to the removed vertices layer by layer in reverse. Vertices are numbered once, so that all rounds carry
+eight bytes a vertex. Every step is a join or a partial aggregate on a vertex; a hub with a third of all edges is a hot
+key only on the edge side of such joins, which adaptive execution splits. Each step is written to the shared folder, so
+neither lineage nor a lost executor reaches back further, and is counted as it is written.
 
 Cases: null ends, self pairs, repeats and both directions of a pair change nothing; vertices without a valid pair get
 no row; an empty edge table gives an empty result; extra columns of the edges are ignored.
@@ -25,9 +27,6 @@ from pyspark.sql import functions as F
 
 from tidemark.session import Stages
 
-#: A reduction by less than this share of the edges ends the stripping and hands the rest to contraction.
-LEAST_GAIN = 0.05
-
 
 def _canonical(edges: DataFrame) -> DataFrame:
     pair = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
@@ -57,18 +56,17 @@ def _double(st: Stages, arcs: DataFrame) -> DataFrame:
             F.least("a.low", "b.low").alias("low"),
             F.coalesce(F.col("b.low") < F.col("a.low"), F.lit(False)).alias("lower"),
         )
-        done = st.write(step)
+        done, now = st.counted(step, open=F.count_if(F.expr("nu IS NOT NULL")), lowered=F.count_if(F.expr("lower AND nu IS NOT NULL")))
         st.drop(arcs)
         arcs = done.drop("lower")
         arcs._tidemark_path = done._tidemark_path
-        now = done.agg(F.count_if(F.expr("nu IS NOT NULL")).alias("open"), F.count_if(F.expr("lower AND nu IS NOT NULL")).alias("lowered")).first()
         if now["open"] == 0 or (before == now["open"] and now["lowered"] == 0):
             return arcs
         before = now["open"]
 
 
-def _compress(st: Stages, edges: DataFrame, degree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Without degree-two vertices: the smaller edge table, and (v, parent) of the vertices taken out."""
+def _compress(st: Stages, edges: DataFrame, degree: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """Without degree-two vertices: the smaller edge table, its size, and (v, parent) of the vertices taken out."""
     two = degree.where("degree = 2").select(F.col("u").alias("x"), "a", "b")
     both = _both(edges)
     # The arc (u, v) continues as (v, w), w being the other neighbour of v, where v has degree two.
@@ -84,72 +82,76 @@ def _compress(st: Stages, edges: DataFrame, degree: DataFrame) -> tuple[DataFram
     layer = st.write(parents.where("u <> parent").select(F.col("u").alias("v"), "parent"))
     out = two.select("x")
     rest = edges.join(out.select(F.col("x").alias("u")), "u", "left_anti").join(out.select(F.col("x").alias("v")), "v", "left_anti").select("u", "v")
-    kept = st.write(_canonical(rest.union(chain.select("u", "v"))))
+    kept, n = st.counted(_canonical(rest.union(chain.select("u", "v"))), n=F.count(F.lit(1)))
     st.drop(arcs)
-    return kept, layer
+    return kept, n["n"], layer
 
 
-def _strip(st: Stages, edges: DataFrame, degree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Without degree-one vertices: the smaller edge table, and (v, parent) of the vertices taken out."""
-    one = degree.where("degree = 1").select("u", F.col("a").alias("parent"))
-    back = one.select(F.col("u").alias("p"), F.col("parent").alias("c"))
-    # Two such vertices that have only each other: the smaller stays as the root.
-    alone = one.join(back, (F.col("parent") == F.col("p")) & (F.col("u") == F.col("c")), "left")
-    layer = st.write(alone.where("p IS NULL OR parent < u").select(F.col("u").alias("v"), "parent"))
-    gone = one.select("u")
-    rest = edges.join(gone, "u", "left_anti").join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
-    return st.write(rest), layer
+def _strip(st: Stages, edges: DataFrame, degree: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """Without the vertices that had degree one, whose one edge may have become that of a chain: the smaller edge table,
+    its size, and (v, parent) of the vertices taken out."""
+    one = degree.where("degree = 1").select(F.col("u").alias("leaf"))
+    # Of two such vertices that have only each other, the smaller stays as the root.
+    ends = edges.join(one.select(F.col("leaf").alias("lu")), F.col("u") == F.col("lu"), "left").join(one.select(F.col("leaf").alias("lv")), F.col("v") == F.col("lv"), "left")
+    marked = st.write(ends.select("u", "v", F.col("lu").isNotNull().alias("a"), F.col("lv").isNotNull().alias("b")))
+    gone = F.when(F.col("b"), F.struct(F.col("v").alias("v"), F.col("u").alias("parent"))).when(F.col("a"), F.struct(F.col("u").alias("v"), F.col("v").alias("parent")))
+    layer = marked.where("a OR b").select(gone.alias("g")).select("g.v", "g.parent")
+    kept, n = st.counted(marked.where("NOT a AND NOT b").select("u", "v"), n=F.count(F.lit(1)))
+    return kept, n["n"], layer
 
 
-def _contract(st: Stages, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _contract(st: Stages, edges: DataFrame) -> tuple[DataFrame, int, DataFrame]:
     """One round on the core: every vertex goes to the root of its pointers to smaller neighbours."""
     point = _both(edges).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("parent"))
     parents = st.write(point)
     while True:
         p = parents.select(F.col("v").alias("q"), F.col("parent").alias("up"))
-        jumped = st.write(parents.join(p, F.col("parent") == F.col("q"), "left").select("v", F.coalesce("up", "parent").alias("parent"), (F.col("up") < F.col("parent")).alias("moved")))
+        jumped, now = st.counted(parents.join(p, F.col("parent") == F.col("q"), "left").select("v", F.coalesce("up", "parent").alias("parent"), (F.col("up") < F.col("parent")).alias("moved")), moved=F.count_if("moved"))
         st.drop(parents)
         parents = jumped.drop("moved")
         parents._tidemark_path = jumped._tidemark_path
-        if jumped.where("moved").isEmpty():
+        if not now["moved"]:
             break
     p = parents.select(F.col("v").alias("x"), "parent")
     half = edges.join(p, F.col("u") == F.col("x")).select(F.col("parent").alias("u"), "v")
     full = half.join(p, F.col("v") == F.col("x")).select("u", F.col("parent").alias("v"))
-    kept = st.write(_canonical(full))
-    return kept, parents.where("v <> parent")
+    kept, n = st.counted(_canonical(full), n=F.count(F.lit(1)))
+    return kept, n["n"], parents.where("v <> parent")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """edges: u, v of any ordered type. Result: v, root for every vertex of a valid edge; one root a group, which is
     some vertex of it."""
     st = Stages(spark, "components")
-    edges = st.write(_canonical(edges.select("u", "v")))
-    whole, layers = edges, []
-    left, solving = edges.count(), False
+    # Written with their numbers, so that these stay what they are.
+    names = st.write(_both(_canonical(edges.select("u", "v"))).select("u").distinct().withColumn("k", F.monotonically_increasing_id()))
+    number = lambda c: names.select(F.col("u").alias(c), F.col("k").alias(f"{c}_k"))
+    numbered = _canonical(edges.select("u", "v")).join(number("u"), "u").join(number("v"), "v").select(F.col("u_k").alias("u"), F.col("v_k").alias("v"))
+    work, size = st.counted(_canonical(numbered), n=F.count(F.lit(1)))
+    labels = _labels(st, work, size["n"])
+    named = names.join(labels.select(F.col("v").alias("k"), "root"), "k", "left").select("u", F.coalesce("root", "k").alias("root"))
+    return named.join(names.select(F.col("k").alias("root"), F.col("u").alias("name")), "root").select(F.col("u").alias("v"), F.col("name").alias("root"))
+
+
+def _labels(st: Stages, edges: DataFrame, left: int) -> DataFrame:
+    """v, root of every vertex that was taken out; the others are their own roots."""
+    layers: list[DataFrame] = []
+
+    def reduced(kept: DataFrame, n: int, layer: DataFrame) -> None:
+        nonlocal edges, left
+        layers.append(layer)
+        st.drop(edges)
+        edges, left = kept, n
+
     while left:
-        if solving:
-            kept, layer = _contract(st, edges)
-            layers.append(layer)
-        else:
-            stats = st.write(_both(edges).groupBy("u").agg(F.count("*").alias("degree"), F.min("v").alias("a"), F.max("v").alias("b")))
-            low = stats.agg(F.count_if(F.expr("degree = 2")).alias("two"), F.count_if(F.expr("degree = 1")).alias("one")).first()
-            kept = edges
-            # Leaves first where they are many: a star or a tree's rim goes without any ranking.
-            if low["one"] >= low["two"] or low["two"] == 0:
-                if low["one"]:
-                    kept, layer = _strip(st, kept, stats)
-                    layers.append(layer)
-            else:
-                kept, layer = _compress(st, kept, stats)
-                layers.append(layer)
-            st.drop(stats)
-        if edges is not whole and kept is not edges:
-            st.drop(edges)
-        now = kept.count() if kept is not edges else left
-        solving = solving or now > left * (1 - LEAST_GAIN)
-        edges, left = kept, now
-    vertices = _both(whole).select(F.col("u").alias("v")).distinct()
+        degree, low = st.counted(_both(edges).groupBy("u").agg(F.count("*").alias("degree"), F.min("v").alias("a"), F.max("v").alias("b")), two=F.count_if(F.col("degree") == 2), one=F.count_if(F.col("degree") == 1))
+        if low["two"]:
+            reduced(*_compress(st, edges, degree))
+        if low["one"] and left:
+            reduced(*_strip(st, edges, degree))
+        if not low["two"] and not low["one"]:
+            reduced(*_contract(st, edges))
+        st.drop(degree)
     parts: list[DataFrame] = []
     for layer in reversed(layers):
         mine = layer.select("v", F.col("parent").alias("root"))
@@ -157,9 +159,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             up = reduce(DataFrame.unionByName, parts).select(F.col("v").alias("p"), F.col("root").alias("r"))
             mine = st.write(mine.join(up, F.col("root") == F.col("p"), "left").select("v", F.coalesce("r", "root").alias("root")))
         parts.append(mine)
-    if not parts:
-        return vertices.select("v", F.col("v").alias("root"))
-    return vertices.join(reduce(DataFrame.unionByName, parts), "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+    return reduce(DataFrame.unionByName, parts) if parts else edges.select(F.col("u").alias("v"), F.col("v").alias("root")).limit(0)
 
 
 def groups(spark: SparkSession, pairs: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
