@@ -21,8 +21,16 @@ def test_empty_tables(spark):
 
 
 def test_runs_of_integers(spark, rows):
-    df = spark.createDataFrame([(0, i) for i in (1, 2, 3, 7, 8, 12)] + [(1, 5)], "bucket int, ik int")
-    assert rows(O.key_runs(df), "bucket", "run_start", "run_end") == [(0, 1, 3), (0, 12, 12), (0, 7, 8), (1, 5, 5)]
+    df = spark.createDataFrame([("v", "d", 0, i) for i in (1, 2, 3, 7, 8, 12)] + [("w", "d", 0, 5)], "kind string, prefix string, block long, ik long")
+    assert rows(O.key_runs(df), "kind", "run_start", "run_end") == [("v", 1, 3), ("v", 12, 12), ("v", 7, 8), ("w", 5, 5)]
+
+
+def test_keys_are_integers_behind_a_prefix(spark):
+    """No two keys share prefix and integer, and neighbours of one series are neighbours."""
+    keys = ["0", "12", "012", "000000000012", "65535", "65536", "999999999999999999", "1234567890123456789", "5f0c0f5e-8f2e-4d6b-9a53-0000000000ff", "5f0c0f5e-8f2e-4d6b-9a53-000000000100", "s/5f0c0f5e-8f2e-4d6b-9a53-0000000000ff", "k7", "", "line\n000000000012"]
+    got = {r["key"]: (r["prefix"], r["ik"], r["block"]) for r in O.integer_keys(spark.createDataFrame([("v", k) for k in keys], "kind string, key string")).collect()}
+    assert len({g[:2] for g in got.values()}) == len(keys)
+    assert got["12"] == ("d", 12, 0) and got["65536"][2] == 1 and got["5f0c0f5e-8f2e-4d6b-9a53-000000000100"][1] - got["5f0c0f5e-8f2e-4d6b-9a53-0000000000ff"][1] == 1
 
 
 def test_against_sets_with_a_hot_key(spark):
@@ -49,8 +57,16 @@ def test_a_reference_of_no_type_is_missing(spark, tmp_path):
 
 
 def test_references_are_matched_to_runs_of_parents_alone(spark, rows):
-    parents, refs = [(1, False, 10), (2, True, 20), (3, False, 30), (6, False, 60)], [1, 2, 3, 4, 5, 6, 7]
-    df = spark.createDataFrame([(0, i, True, g, c) for i, g, c in parents] + [(0, i, False, None, None) for i in refs] + [(1, 1, False, None, None)], "bucket int, ik int, is_parent boolean, gone boolean, came_us long")
-    got = rows(O.match_runs(df).where("NOT is_parent"), "bucket", "ik", "run_start", "run_end", "gone", "came_us")
-    want = [(0, 1, 1, 1, False, 10), (0, 2, 1, 2, True, 20), (0, 3, 1, 3, False, 30), (0, 4, 1, 3, False, 30), (0, 5, 1, 3, False, 30), (0, 6, 6, 6, False, 60), (0, 7, 6, 6, False, 60), (1, 1, None, None, None, None)]
-    assert got == sorted(want, key=repr)
+    at = lambda k, i: ("v", k, "d", 0, i)
+    runs = spark.createDataFrame([("v", "d", 0, 1, 3), ("v", "d", 0, 6, 6)], "kind string, prefix string, block long, run_start long, run_end long")
+    asked = spark.createDataFrame([at(str(i), i) for i in range(8)] + [("v", "x", "e", 0, 2)], "kind string, key string, prefix string, block long, ik long")
+    got = rows(O.match_runs(asked, runs), "key", "run_start", "run_end")
+    assert got == [("0", None, None), ("1", 1, 3), ("2", 1, 3), ("3", 1, 3), ("4", 1, 3), ("5", 1, 3), ("6", 6, 6), ("7", 6, 6), ("x", None, None)]
+
+
+def test_numbered_keys(spark, rows):
+    held = [k for k in range(65_000, 66_500) if k not in (65_100, 65_536)]
+    parents = spark.createDataFrame([("v", str(k), False, 0, 0) for k in held], PARENTS)
+    refs = spark.createDataFrame([("s", str(k), "v", str(k), 1, None) for k in (64_999, 65_000, 65_100, 65_535, 65_536, 65_537, 66_499, 66_500)], REFS)
+    assert rows(O.find_orphans(refs, parents), "rec_id") == [("64999",), ("65100",), ("65536",), ("66500",)]
+    assert O.key_runs(O.integer_keys(parents.select("kind", "key"))).count() == 3

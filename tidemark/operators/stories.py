@@ -173,6 +173,23 @@ def build_stories(st: Stages, nodes: DataFrame, scored: DataFrame | None = None)
     return s.select("domain", "story_id", "anchor_key", "label", "maturity", "quality_score", "n_members", "n_sources", "n_edges"), members, placed.join(s.select(*by, "story_id"), by)
 
 
+def detail(scored: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges of stories with what they rest on: domain, story_id, source, target, relation_type, confidence, support
+    (revisions of both ends, twelve at most) and strong."""
+    keys = ["domain", "anchor_key", "source", "target"]
+    said = scored.select(*keys, "relation_type", "confidence", F.size("revisions").alias("support"))
+    return edges.select(*keys, "story_id").join(said, keys).withColumn("strong", F.col("confidence") >= 0.9).drop("anchor_key")
+
+
+def directory(stories: DataFrame, members: DataFrame, nodes: DataFrame, read_until: Column, most: int) -> DataFrame:
+    """domain, story_id, last_day, place, unread: the stories of each domain that went on last, at most ``most``, and
+    whether an event of theirs is newer than the day up to which their reader has read."""
+    last = members.join(nodes.select("domain", "node", "start_day"), ["domain", "node"]).groupBy("domain", "story_id").agg(F.max("start_day").alias("last_day"))
+    w = Window.partitionBy("domain").orderBy(F.desc("last_day"), F.desc("quality_score"), "story_id")
+    placed = stories.select("domain", "story_id", "quality_score").join(last, ["domain", "story_id"]).withColumn("place", F.row_number().over(w))
+    return placed.where(F.col("place") <= most).select("domain", "story_id", "last_day", "place", (F.col("last_day") > read_until).alias("unread"))
+
+
 def story_identities(st: Stages, members: DataFrame, previous: DataFrame) -> DataFrame:
     """members and previous: anchor_key, story, canonical_id. Carries identities over between stories of one anchor
     whose overlap is at least one half, the best first: story, identity, state."""

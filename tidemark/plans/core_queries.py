@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,15 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("src", "month_key", "ref_state").agg(F.count("*").alias("n_refs"))
 
 
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    """How far runs compress numbered parent keys: per table its keys and the runs that they make."""
+    kinds = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    keys = [table(spark, d, t).select(F.lit(t).alias("kind"), F.col(c).cast("string").alias("key")).where("key IS NOT NULL").distinct() for t, c in kinds.items()]
+    numbered = orphans.integer_keys(reduce(DataFrame.unionByName, keys))
+    per = numbered.groupBy("kind").agg(F.count("*").alias("n_keys"))
+    return per.join(orphans.key_runs(numbered).groupBy("kind").agg(F.count("*").alias("n_runs")), "kind")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = snapshot_diff.snapshot_pairs(table(spark, d, "event_map_snapshot"))
     rows = table(spark, d, "event_map_canonical").select(norm_id("snapshot_id").alias("snapshot"), norm_id("canonical_id").alias("key"), *COMPARED)
@@ -113,7 +123,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("snapshot_id", "change_kind").agg(F.count("*").alias("n_canonicals"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weekly, p2_found, p4_found, p4_report, p6_found, p6_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weekly, p2_found, p4_found, p4_report, p4_runs, p6_found, p6_counts)}
 
 _ID = "lower(trim({}, ' \t\r\n'))"
 _ARRIVALS = f"""WITH log AS (
@@ -150,6 +160,7 @@ ORACLES: dict[str, str] = {
     "p1_weekly": _ARRIVALS + "SELECT src, week_day, count(*) FILTER (outcome = 'on_time') AS provisional, count(*) FILTER (outcome = 'corrects') AS corrections, count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome <> 'dropped') AS final FROM o GROUP BY ALL",
     "p4_found": _ORPHANS + "SELECT * FROM f WHERE ref_state IS NOT NULL",
     "p4_report": _ORPHANS + "SELECT src, month_key, ref_state, count(*) AS n_refs FROM f WHERE ref_state IS NOT NULL GROUP BY ALL",
+    "p4_runs": " UNION ALL ".join(f"SELECT '{t}' AS kind, count(*) AS n_keys, count(*) FILTER (k % 65536 = 0 OR p IS NULL OR p <> k - 1) AS n_runs FROM (SELECT k, lag(k) OVER (ORDER BY k) AS p FROM (SELECT DISTINCT {c} AS k FROM {t} WHERE {c} IS NOT NULL))" for t, c in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"))),
     "p6_found": _DIFF + "SELECT * FROM d",
     "p6_counts": _DIFF + "SELECT snapshot_id, change_kind, count(*) AS n_canonicals FROM d GROUP BY ALL",
 }

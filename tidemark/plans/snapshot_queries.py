@@ -40,10 +40,10 @@ def neighbours(s: SparkSession, d: str, r: DataFrame) -> DataFrame:
 RULES = "2"
 
 
-def _published(s: SparkSession, d: str, stage: str, make: Callable[[], dict[str, DataFrame]]) -> Callable[[str], DataFrame]:
+def _published(s: SparkSession, d: str, stage: str, make: Callable[[], dict[str, DataFrame]], inputs: tuple[str, ...] = ("event_record", "event_match")) -> Callable[[str], DataFrame]:
     """The tables of a stage of the build over a folder: made once, then read by every query over the same inputs."""
     pub = Publisher(s, f"{shared_dir(s)}/published/{stage}")
-    key = input_key(s, [f"{d}/{t}.parquet" for t in ("event_record", "event_match")], {"stage": stage, "rules": RULES})
+    key = input_key(s, [f"{d}/{t}.parquet" for t in inputs], {"stage": stage, "rules": RULES})
     version = pub.find(key) or pub.publish(key, make())[0]
     return lambda name: pub.read(name, version)
 
@@ -319,6 +319,92 @@ def dm24_story_directory(s: SparkSession, d: str) -> DataFrame:
     return stories.join(last, "story_id").select("domain", "story_id", "label", "maturity", "n_members", "last_node")
 
 
+def event_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Story nodes of the events table: a user's week is an entity, an event's type its phase and cue, and its property
+    the terms, numbers, vector and doubt that edges rest on. Its stories are not empty, unlike those of the records."""
+    e = table(s, d, "events").select("event_id", "user_id", "event_type", F.unix_date(F.col("ts").cast("date")).alias("day"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    phase = S.X.lookup(EVENT_PHASES, F.col("event_type"))
+    said = F.coalesce(S.X.lookup({"error": "correction issued", "signup": "response given"}, F.col("event_type")), F.lit(""))
+    k, u, n = F.col("k"), F.col("user_id"), F.col("event_id")
+    vector = F.when(k % 2 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.9), F.sqrt(F.lit(0.19))))
+    return e.where("k IS NOT NULL").select(
+        text("d", u % 3).alias("domain"), F.lpad(n.cast("string"), 8, "0").alias("node"), text("Title ", n).alias("title"), F.col("day").alias("start_day"), F.col("day").alias("end_day"), F.lit("day").alias("time_precision"),
+        F.array(text("r", n)).alias("revisions"), F.array(text("company:", u, "w", F.floor(F.col("day") / 7))).alias("core_keys"), F.array(text("w:t", k % 4), text("w:u", k % 3)).alias("terms"),
+        F.array().cast("array<struct<source:array<string>,target:array<string>,confidence:double>>").alias("claims"), F.array_compact(F.array(phase)).alias("phases"), said.alias("said"), F.array((k % 5).cast("string")).alias("numbers"),
+        F.lit("corporate").alias("family"), vector.alias("vector"), (k % 11 == 0).alias("uncertain"), F.array(text("v", u * 7 + n % 3)).alias("sources"),
+    )
+
+
+EVENT_PHASES = {"view": "proposal", "click": "approval", "signup": "implementation", "purchase": "completion", "error": "delay"}
+
+
+def _event_stories(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
+    def make() -> dict[str, DataFrame]:
+        st = Stages(s, "event-stories")
+        nodes = st.write(event_nodes(s, d))
+        scored = st.write(S.scored_edges(st, nodes))
+        stories, members, edges = S.build_stories(st, nodes, scored)
+        return {"scored": scored, "stories": stories, "members": members, "edges": edges}
+
+    return _published(s, d, "event-stories", make, ("events",))
+
+
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, b in S.vocab.PHASE_TRANSITIONS)
+_EVENT_EDGES = f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS u, event_type AS ty, CAST(ts AS DATE) - DATE '1970-01-01' AS day, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
+n AS (SELECT 'd' || (u % 3) AS domain, lpad(CAST(event_id AS VARCHAR), 8, '0') AS node, 'Title ' || event_id AS title, day, 'company:' || u || 'w' || (day // 7) AS key, k, ty, CASE ty {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in EVENT_PHASES.items())} END AS phase, 'v' || (u * 7 + event_id % 3) AS src FROM e WHERE k IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY day, node) AS pos FROM n),
+p AS (SELECT a.domain, a.key, a.node AS source, b.node AS target, b.day - a.day AS gap, ((a.k % 4 = b.k % 4)::INT + (a.k % 3 = b.k % 3)::INT) / 2.0 AS claim, a.k % 5 = b.k % 5 AS numeric, CASE WHEN (a.phase, b.phase) IN ({_MOVES}) THEN 1.0 ELSE 0.0 END AS move,
+  b.ty, CASE WHEN a.k % 2 = b.k % 2 THEN 1.0 ELSE 0.9 END AS cos, a.k % 11 = 0 OR b.k % 11 = 0 AS unsure, a.src <> b.src AS apart FROM o a JOIN o b ON a.domain = b.domain AND a.key = b.key AND b.pos > a.pos AND b.pos <= a.pos + 8),
+r AS (SELECT *, CASE WHEN ty = 'error' AND claim >= 0.06 THEN 'corrects' WHEN ty = 'signup' AND claim >= 0.06 THEN 'response' WHEN gap > 0 AND move > 0 AND (claim >= 0.08 OR numeric) THEN 'continuation' END AS relation FROM p WHERE gap BETWEEN 0 AND 365),
+c AS (SELECT *, round(CASE WHEN unsure THEN 0.85 ELSE 1.0 END * (0.24 * cos + 0.20 * least(1.0, claim / 0.25) + 0.15 + 0.12 + 0.12 * CASE relation WHEN 'continuation' THEN move ELSE 1.0 END + 0.10 + 0.07 * CASE WHEN apart THEN 1.0 ELSE 0.35 END)::DOUBLE, 6) AS confidence FROM r WHERE relation IS NOT NULL),
+g AS (SELECT * FROM c WHERE confidence >= CASE relation WHEN 'continuation' THEN 0.82 ELSE 0.80 END)
+"""
+_EVENT_STORIES = _EVENT_EDGES + """, w AS (SELECT *, row_number() OVER (PARTITION BY domain, key, source ORDER BY confidence DESC, target) AS ko, row_number() OVER (PARTITION BY domain, key, target ORDER BY confidence DESC, source) AS ki FROM g),
+h AS (SELECT * FROM w WHERE ko <= 3 AND ki <= 3),
+l AS (SELECT domain, key, source AS a, target AS b FROM h UNION SELECT domain, key, target, source FROM h),
+x AS (SELECT DISTINCT domain, key, a, a AS b FROM l UNION SELECT x.domain, x.key, x.a, l.b FROM x JOIN l ON l.domain = x.domain AND l.key = x.key AND l.a = x.b),
+m AS (SELECT domain, key, a AS node, min(b) AS story FROM x GROUP BY ALL),
+t AS (SELECT m.*, n.title, n.day, n.src FROM m JOIN n ON n.domain = m.domain AND n.node = m.node),
+q AS (SELECT domain, key, story, count(*) AS n_members, count(DISTINCT src) AS n_sources, arg_min(title, (day, node)) AS first_title, arg_max(title, (day, node)) AS last_title FROM t GROUP BY ALL),
+z AS (SELECT h.domain, h.key, m.story, avg(confidence) AS average, max(confidence) AS strongest, list_sort(list(DISTINCT relation)) AS types, count(*) AS n_edges FROM h JOIN m ON m.domain = h.domain AND m.key = h.key AND m.node = h.source GROUP BY ALL),
+y AS (SELECT *, round(least(1.0, 0.80 * average + 0.10 * least(1.0, n_sources / 3) + 0.10 * least(1.0, len(types) / 2)), 6) AS quality FROM q JOIN z USING (domain, key, story)),
+f AS (SELECT *, sha256(concat_ws('|', domain, key, story)) AS story_id, CASE WHEN n_members >= 4 AND n_sources >= 3 AND quality >= 0.82 THEN 'established' ELSE 'emerging' END AS maturity, substr(key, 9) AS name
+  FROM y WHERE n_sources >= 2 AND CASE WHEN n_members = 2 THEN CASE WHEN types = ['continuation'] THEN strongest >= 0.92 ELSE strongest >= 0.84 END ELSE quality >= 0.76 END)
+"""
+
+
+@query(_EVENT_EDGES + "SELECT domain, source, target, key AS anchor_key, relation AS relation_type, confidence, CAST(gap AS INTEGER) AS gap_days FROM g")
+def dm10_event_story_edges(s: SparkSession, d: str) -> DataFrame:
+    return _event_stories(s, d)("scored").select("domain", "source", "target", "anchor_key", "relation_type", "confidence", "gap_days")
+
+
+@query(_EVENT_STORIES + "SELECT t.domain, f.story_id, t.node, CAST(row_number() OVER (PARTITION BY f.story_id ORDER BY t.day, t.node) - 1 AS INTEGER) AS position FROM t JOIN f USING (domain, key, story)")
+def dm12_event_story_members(s: SparkSession, d: str) -> DataFrame:
+    return _event_stories(s, d)("members")
+
+
+@query(_EVENT_STORIES + "SELECT domain, story_id, key AS anchor_key, CASE WHEN first_title = last_title THEN name || '：' || first_title ELSE name || '：' || first_title || ' → ' || last_title END AS label, maturity, round(quality, 4) AS quality_score, n_members, CAST(n_sources AS INTEGER) AS n_sources, n_edges FROM f")
+def dm13_event_stories(s: SparkSession, d: str) -> DataFrame:
+    return _event_stories(s, d)("stories").withColumn("quality_score", F.round("quality_score", 4))
+
+
+@query(_EVENT_STORIES + """, k AS (SELECT f.story_id, f.domain, f.maturity, f.quality, h.source, h.target, h.relation, h.confidence FROM f JOIN m ON m.domain = f.domain AND m.key = f.key AND m.story = f.story JOIN h ON h.domain = m.domain AND h.key = m.key AND h.target = m.node)
+SELECT domain, story_id, target AS node, source AS from_node, relation AS relation_type, confidence, 2 AS support, confidence >= 0.9 AS strong FROM k""")
+def dm24_event_story_detail(s: SparkSession, d: str) -> DataFrame:
+    """The edges of each story with the revisions that support them, strong ones marked."""
+    c = _event_stories(s, d)
+    return S.detail(c("scored"), c("edges")).select("domain", "story_id", F.col("target").alias("node"), F.col("source").alias("from_node"), "relation_type", "confidence", "support", "strong")
+
+
+@query(_EVENT_STORIES + """, d AS (SELECT f.domain, f.story_id, f.quality, max(t.day) AS last_day FROM f JOIN t USING (domain, key, story) GROUP BY ALL), k AS (SELECT domain, story_id, last_day, row_number() OVER (PARTITION BY domain ORDER BY last_day DESC, quality DESC, story_id) AS place FROM d)
+SELECT domain, story_id, CAST(last_day AS INTEGER) AS last_day, CAST(place AS INTEGER) AS place, last_day > 19740 AS unread FROM k WHERE place <= 25""")
+def dm24_event_story_directory(s: SparkSession, d: str, read_until: int = 19_740) -> DataFrame:
+    """The newest stories of each domain, and whether they have gone on since they were read."""
+    c = _event_stories(s, d)
+    return S.directory(c("stories"), c("members"), event_nodes(s, d), F.lit(read_until), 25)
+
+
 @query("""SELECT DISTINCT b.id, b.object_id, r.event_id, v.status AS source_status FROM brief_reference b LEFT JOIN event_record r ON r.revision_id = lower(trim(b.object_id)) LEFT JOIN video v ON v.id = r.source_video_id WHERE b.object_type = 'evidence'""")
 def dm25_evidence_context(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "brief_reference").where("object_type = 'evidence'").withColumn("k", F.lower(F.trim("object_id"))).select("id", "object_id", "k")
