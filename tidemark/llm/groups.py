@@ -124,10 +124,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     some vertex of it."""
     st = Stages(spark, "components")
     # Written with their numbers, so that these stay what they are.
-    names = st.write(_both(_canonical(edges.select("u", "v"))).select("u").distinct().withColumn("k", F.monotonically_increasing_id()))
+    plain = st.write(_canonical(edges.select("u", "v")))
+    names = st.write(_both(plain).select("u").distinct().withColumn("k", F.monotonically_increasing_id()))
     number = lambda c: names.select(F.col("u").alias(c), F.col("k").alias(f"{c}_k"))
-    numbered = _canonical(edges.select("u", "v")).join(number("u"), "u").join(number("v"), "v").select(F.col("u_k").alias("u"), F.col("v_k").alias("v"))
-    work, size = st.counted(_canonical(numbered), n=F.count(F.lit(1)))
+    numbered = plain.join(number("u"), "u").join(number("v"), "v").select(F.col("u_k").alias("u"), F.col("v_k").alias("v"))
+    # Different pairs of names are different pairs of numbers; only the smaller goes first again.
+    work, size = st.counted(numbered.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), n=F.count(F.lit(1)))
+    st.drop(plain)
     labels = _labels(st, work, size["n"])
     named = names.join(labels.select(F.col("v").alias("k"), "root"), "k", "left").select("u", F.coalesce("root", "k").alias("root"))
     return named.join(names.select(F.col("k").alias("root"), F.col("u").alias("name")), "root").select(F.col("u").alias("v"), F.col("name").alias("root"))
