@@ -161,11 +161,14 @@ def csv_values(text: str | None, *more: str | None) -> list[str]:
 def ranked_lookahead(df: DataFrame, key: str, order: Sequence[Column], node: str, ahead: int) -> DataFrame:
     """Pairs of each row with the next ``ahead`` rows of its key, by order and before any other condition.
 
-    Rows take a position within their key; a target joins the sources of its own position block and of the one
-    before, so the join is by equality and a hot key spreads over its blocks."""
-    w = Window.partitionBy(key).orderBy(*order)
-    placed = df.withColumn("_place", F.row_number().over(w) - 1)
+    Rows are numbered over all keys by sorted ranges, so that the rows of a key follow one another and none of them
+    needs a task of its own; a target joins the sources of its own block of numbers and of the one before, so the join
+    is by equality and a hot key spreads over its blocks. Null keys have no pairs."""
+    from tidemark.sources.scene import numbered
+
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(node).alias("_node"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    placed = numbered(rows, ["_k", *[f"_o{i}" for i in range(len(order))]], "_place", "long").select("_k", "_node", "_place")
     a = placed.withColumn("_block", F.floor(F.col("_place") / ahead)).alias("a")
     b = placed.withColumn("_block", F.explode(F.array(F.floor(F.col("_place") / ahead), F.floor(F.col("_place") / ahead) - 1))).alias("b")
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._block") == F.col("b._block")) & (F.col("b._place") > F.col("a._place")) & (F.col("b._place") <= F.col("a._place") + ahead)
-    return a.join(b, on).select(F.col(f"a.{key}").alias(key), F.col(f"a.{node}").alias("source"), F.col(f"b.{node}").alias("target"), (F.col("b._place") - F.col("a._place")).alias("steps"))
+    on = (F.col("a._block") == F.col("b._block")) & (F.col("a._k") == F.col("b._k")) & (F.col("b._place") > F.col("a._place")) & (F.col("b._place") <= F.col("a._place") + ahead)
+    return a.join(b, on).select(F.col("a._k").alias(key), F.col("a._node").alias("source"), F.col("b._node").alias("target"), (F.col("b._place") - F.col("a._place")).alias("steps"))

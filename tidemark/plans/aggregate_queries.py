@@ -73,7 +73,7 @@ def ag08_four_ratio_coverage(s: SparkSession, d: str) -> DataFrame:
     f = v.join(mark(table(s, d, "asset").where("type = 'transcript'"), "video_id", "transcribed"), "id", "left").join(mark(table(s, d, "event_record"), "source_video_id", "extracted"), "id", "left").fillna(False)
     m = table(s, d, "media").select(F.col("id").alias("media_id"), "provider")
     n = lambda c: F.count_if(F.expr(c))
-    out = f.join(F.broadcast(m), "media_id").groupBy("provider").agg(F.count("*").alias("videos"), n("timed").alias("t"), n("transcribed").alias("x"), n("extracted").alias("e"), n("transcribed AND extracted").alias("b"))
+    out = f.join(m, "media_id").groupBy("provider").agg(F.count("*").alias("videos"), n("timed").alias("t"), n("transcribed").alias("x"), n("extracted").alias("e"), n("transcribed AND extracted").alias("b"))
     r = lambda a, b, c: F.round(R.ratio(F.col(a), F.col(b)), 6).alias(c)
     return out.select("provider", "videos", r("t", "videos", "timed_ratio"), r("x", "videos", "transcript_ratio"), r("e", "videos", "extracted_ratio"), r("b", "x", "yield_ratio"))
 
@@ -81,7 +81,7 @@ def ag08_four_ratio_coverage(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT m.provider, count(*) AS n, min(v.published_at) AS first_at, max(v.published_at) AS last_at FROM video v JOIN media m ON m.id = v.media_id GROUP BY 1")
 def ag09_time_stats(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "media").select(F.col("id").alias("media_id"), "provider")
-    return table(s, d, "video").join(F.broadcast(m), "media_id").groupBy("provider").agg(F.count("*").alias("n"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
+    return table(s, d, "video").join(m, "media_id").groupBy("provider").agg(F.count("*").alias("n"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
 
 
 @query("SELECT playlist_id, round(CASE WHEN count(DISTINCT event_id) > 0 THEN count(DISTINCT event_id) FILTER (len(vector) = 64) / count(DISTINCT event_id) ELSE 0.0 END, 6) AS coverage FROM event_record GROUP BY 1")
@@ -497,7 +497,9 @@ def sl03_evidence_ranking(s: SparkSession, d: str) -> DataFrame:
     return _highlights(s, d).orderBy(F.desc("sources"), F.desc("records"), F.desc_nulls_last("day"), "canonical_id").limit(30).select("canonical_id", "sources", "records")
 
 
-@query()
+@query("""WITH v AS (SELECT DISTINCT id AS source_video_id, media_id AS source FROM video), r AS (SELECT DISTINCT e.playlist_id, e.event_id, v.source, e.start_day FROM event_record e JOIN v USING (source_video_id) WHERE e.start_day IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY playlist_id, source ORDER BY start_day DESC, event_id) AS turn FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY turn, start_day DESC, event_id) AS place FROM k WHERE turn <= 2)
+SELECT playlist_id, event_id, source, CAST(place AS INTEGER) AS place FROM p WHERE place <= 10""")
 def sl04_diverse_cards(s: SparkSession, d: str) -> DataFrame:
     """At most ten cards a domain, two a source, the least used source first."""
     from tidemark.operators.groups import diverse_cards

@@ -258,7 +258,7 @@ def jn01_join_chain(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "media").select(F.col("id").alias("media_id"), "provider")
     r = table(s, d, "event_record").select("event_id", "source_video_id")
     # media is a fixed table.
-    return r.join(v, "source_video_id").join(F.broadcast(m), "media_id").groupBy("provider").agg(F.countDistinct("event_id").alias("n"))
+    return r.join(v, "source_video_id").join(m, "media_id").groupBy("provider").agg(F.countDistinct("event_id").alias("n"))
 
 
 @query("SELECT v.status, count(*) AS n, count(a.id) AS with_raw FROM (SELECT DISTINCT id, status FROM video) v LEFT JOIN (SELECT video_id, min(id) AS id FROM asset WHERE type = 'transcript' AND variant = 'raw' GROUP BY 1) a ON a.video_id = v.id GROUP BY 1")
@@ -364,7 +364,7 @@ def jn14_hash_join_hint(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT v.id, m.name, m.provider FROM video v LEFT JOIN media m ON m.id = v.media_id")
 def jn15_lookup_join(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "media").select(F.col("id").alias("media_id"), "name", "provider")
-    return table(s, d, "video").join(F.broadcast(m), "media_id", "left").select("id", "name", "provider").distinct()
+    return table(s, d, "video").join(m, "media_id", "left").select("id", "name", "provider").distinct()
 
 
 @query("""WITH p AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
@@ -466,5 +466,5 @@ def jn25_first_active(s: SparkSession, d: str) -> DataFrame:
 def jn26_resolve_provider(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "video").select(F.col("id").alias("video_id"), "media_id").distinct()
     m = table(s, d, "media").select(F.col("id").alias("media_id"), "provider")
-    j = table(s, d, "asset").join(v, "video_id", "left").join(F.broadcast(m), "media_id", "left")
+    j = table(s, d, "asset").join(v, "video_id", "left").join(m, "media_id", "left")
     return j.select("id", F.coalesce("provider", F.when(F.col("source") == "upload", F.lit("upload")), F.lit("unknown")).alias("provider")).distinct()

@@ -36,7 +36,12 @@ def tx02_semantic_family(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "event_record").groupBy(X.semantic_family("event_type").alias("family")).agg(F.count("*").alias("n"))
 
 
-@query()
+_PLAIN = "regexp_replace(lower(trim(coalesce({}, ''))), '[^0-9a-z㐀-鿿]+', '', 'g')"
+_ALIAS = " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in vocab.ENTITY_ALIASES.items())
+
+
+@query(f"""WITH e AS (SELECT DISTINCT e.entity_type, e.name, e.key FROM (SELECT unnest(entities) AS e FROM event_record)), r AS (SELECT *, coalesce(nullif({_PLAIN.format('key')}, ''), {_PLAIN.format('name')}) AS raw FROM e)
+SELECT entity_type, name, key, CASE WHEN raw = '' THEN '' ELSE coalesce(nullif({_PLAIN.format('entity_type')}, ''), 'other') || ':' || CASE raw {_ALIAS} ELSE raw END END AS entity_key FROM r""")
 def tx03_entity_keys(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "event_record").select(F.explode("entities").alias("e")).select("e.entity_type", "e.name", "e.key").distinct()
     return e.select("entity_type", "name", "key", X.entity_key("entity_type", "name", "key").alias("entity_key"))
@@ -70,7 +75,14 @@ def tx08_exact_fingerprint(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "event_record").groupBy(*key).agg(F.countDistinct("event_id").alias("n")).where("n > 1")
 
 
-@query()
+_GENERIC = ", ".join(f"'{p}{w}'" for w in vocab.GENERIC_WORDS for p in ("w:", "c:"))
+
+
+@query(f"""WITH r AS (SELECT event_id, lower(concat_ws(' ', any_value(title), any_value(summary))) AS t, any_value(list_transform(entities, lambda e: e.name)) AS names FROM event_record GROUP BY 1),
+n AS (SELECT event_id, t, list_transform(list_sort(list_transform(list_filter(coalesce(names, []), lambda x: length(x) > 0), lambda x, i: {{'n': -length(x), 'i': i, 'x': x}})), lambda s: s.x) AS names FROM r),
+c AS (SELECT event_id, list_reduce(names, lambda a, x: replace(a, lower(x), ' '), t) AS t FROM n),
+g AS (SELECT event_id, list_transform(regexp_extract_all(t, '[a-z][a-z0-9_-]{{2,}}'), lambda w: 'w:' || w) AS words, regexp_extract_all(t, '[㐀-鿿]{{2,}}') AS spans FROM c)
+SELECT event_id, list_sort(list_filter(list_distinct(words || flatten(list_transform(spans, lambda s: list_transform(range(1, length(s)), lambda i: 'c:' || substr(s, i, 2)))) || flatten(list_transform(spans, lambda s: list_transform(range(1, length(s) - 1), lambda i: 'c:' || substr(s, i, 3))))), lambda x: x NOT IN ({_GENERIC}))) AS terms FROM g""")
 def tx09_claim_terms(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "event_record").select("event_id", "title", "summary", F.col("entities.name").alias("names")).dropDuplicates(["event_id"])
     return r.select("event_id", X.claim_terms(F.concat_ws(" ", "title", "summary"), F.coalesce("names", F.array().cast("array<string>"))).alias("terms"))
@@ -116,10 +128,41 @@ def _cut(how, limit: int):
     return f
 
 
+_BLANK = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def _cut_sql(limit: int, lists: str, end: str, following: str, trim: bool = True, empty: bool = False) -> str:
+    """A chunker as a recursion over its cursor: ``lists`` are places of marks, ``end`` the end of the piece from ``p``
+    where the window reaches to ``q`` and the text goes on, ``following`` the next cursor."""
+    lead = f"length(w) - length(regexp_replace(w, '^{_BLANK}+', ''))"
+    bare = f"length(regexp_replace(regexp_replace(w, '^{_BLANK}+', ''), '{_BLANK}+$', ''))"
+    out = f"SELECT doc_id, p + {lead} AS s, p + {lead} + {bare} AS e FROM w WHERE {bare} > 0" if trim else "SELECT doc_id, p AS s, e FROM w"
+    return f"""WITH RECURSIVE c AS (SELECT doc_id, text AS t, CAST(length(text) AS BIGINT) AS n, regexp_split_to_array(text, '') AS ch FROM documents WHERE text IS NOT NULL AND length(text) > 0),
+d AS (SELECT doc_id, t, n, {lists} FROM c),
+g AS (SELECT doc_id, 0::BIGINT AS p, 0::BIGINT AS e, 0::BIGINT AS nxt, true AS first FROM d
+  UNION ALL SELECT doc_id, p, e, {following}, false FROM (SELECT doc_id, p, CASE WHEN q < n THEN {end} ELSE q END AS e FROM (SELECT d.*, g.nxt AS p, least(d.n, g.nxt + {limit}) AS q FROM g JOIN d ON d.doc_id = g.doc_id WHERE g.nxt < d.n))),
+w AS (SELECT g.doc_id, g.p, g.e, substr(d.t, g.p + 1, g.e - g.p) AS w FROM g JOIN d ON d.doc_id = g.doc_id WHERE NOT g.first),
+o AS ({out}{" UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE text = ''" if empty else ""})
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS piece_no, CAST(s AS INTEGER) AS start_char, CAST(e AS INTEGER) AS end_char FROM o"""
+
+
+def _marks_sql(name: str, test: str) -> str:
+    return f"list_filter(range(0, n), lambda i: {test}) AS {name}"
+
+
+_last = lambda name, low, high="q": f"list_max(list_filter({name}, lambda x: x >= {low} AND x < {high}))"
+_BREAKS = _marks_sql("l", "ch[i + 1] = chr(10)")
+_CUT_SQL = {
+    "tx14_chunks_at_lines": _cut_sql(700, _BREAKS, f"coalesce(nullif(greatest({_last('l', 'p + 350')}, p), p), q)", "greatest(e, p + 1)"),
+    "tx15_segments_at_sentences": _cut_sql(350, _marks_sql("l", "ch[i + 1] IN (chr(10), '。', '！', '？', ' ')") + ", " + _marks_sql("k", "ch[i + 1] = '.' AND ch[i + 2] = ' '"), f"coalesce(nullif(greatest({_last('l', 'p + 175')}, {_last('k', 'p + 175', 'q - 1')}, p), p) + 1, q)", "greatest(e, p + 1)"),
+    "tx16_pages": _cut_sql(1000, _BREAKS, f"coalesce(nullif(greatest({_last('l', 'p + 700')}, p), p) + 1, nullif(greatest({_last('l', 'p')}, p), p) + 1, q)", "e", False, True),
+}
+
+
 for _name, _how, _limit in (("tx14_chunks_at_lines", C.by_newline, 700), ("tx15_segments_at_sentences", C.by_sentence, 350), ("tx16_pages", C.pages, 1000), ("tx17_packed_lines", C.packed_lines, 600), ("tx21_token_pieces", C.by_tokens, 256)):
     _f = _cut(_how, _limit)
     _f.__name__ = _name
-    query()(_f)
+    query(_CUT_SQL.get(_name))(_f)
 
 
 @query("""SELECT id, kind, sha256(body) AS sha, CAST(length(body) AS INTEGER) AS n FROM (SELECT DISTINCT id, 'title' AS kind, title AS body FROM video WHERE title <> '' UNION SELECT DISTINCT id, 'description', description FROM video WHERE description <> '')""")
@@ -140,7 +183,10 @@ def tx20_urls(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.size(X.urls("text")).alias("n"))
 
 
-@query()
+@query(r"""WITH RECURSIVE o AS (SELECT video_id, doc_id, CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g')) + (length(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g')) + 3) // 4 AS BIGINT) AS tokens, row_number() OVER (PARTITION BY video_id ORDER BY doc_id) AS n FROM documents WHERE video_id IS NOT NULL),
+b AS (SELECT video_id, doc_id, tokens, n, 0 AS batch, tokens AS used FROM o WHERE n = 1
+  UNION ALL SELECT o.video_id, o.doc_id, o.tokens, o.n, CASE WHEN b.used > 0 AND b.used + o.tokens > 800 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.used > 0 AND b.used + o.tokens > 800 THEN o.tokens ELSE b.used + o.tokens END FROM b JOIN o ON o.video_id = b.video_id AND o.n = b.n + 1)
+SELECT video_id, doc_id, tokens, batch FROM b""")
 def tx22_packed_batches(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").where("video_id IS NOT NULL").select("video_id", "doc_id", X.token_estimate("text").alias("tokens"))
     return C.packed(docs, "video_id", "doc_id", "tokens", 800)
@@ -194,7 +240,8 @@ def tx30_sha256(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query()
+@query("""WITH h AS (SELECT DISTINCT id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('video/' || id)) AS h FROM video WHERE id IS NOT NULL)
+SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS revision_id FROM h""")
 def tx31_named_ids(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "video").select("id", X.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("video/"), "id")).alias("revision_id")).distinct()
 

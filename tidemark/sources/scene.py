@@ -64,7 +64,7 @@ def index_bytes(points: list[int]) -> bytes:
     return np.sort(np.asarray(points, "<u4")).tobytes()
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "point") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], out: str = "point", kind: str = "int") -> DataFrame:
     """Numbers from 0 in a stated order without sorting in one task: ranges are sorted apart, and each starts where
     the ranges before it end."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -75,4 +75,4 @@ def numbered(df: DataFrame, order: list[str], out: str = "point") -> DataFrame:
     # One row a partition.
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return joined.withColumn(out, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("_at", "_part", "_n", "_start")
+    return joined.withColumn(out, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast(kind)).drop("_at", "_part", "_n", "_start")
