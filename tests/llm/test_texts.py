@@ -110,6 +110,13 @@ def test_flight_keeps_sums():
     assert ((same > 1e-9) & (same < 1 - 1e-9)).sum() <= 2 and abs(same.sum() - 150) < 1e-6
 
 
+def test_landing_without_exchange_keeps_the_flight():
+    pi, size = np.array([1.0, 0.0, 0.4, 1.0]), np.array([5, 9, 3, 4])
+    first = np.full(4, 0.6)
+    assert M.land(pi, size, first, False).tolist() == [1.0, 0.0, 0.0, 1.0]
+    assert abs((M.land(pi, size, first) * size).sum() - (first * size).sum()) <= abs((M.land(pi, size, first, False) * size).sum() - (first * size).sum())
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 40)
     rng = random.Random(2)

@@ -74,10 +74,10 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.asarray(p)
 
 
-def land(pi: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The open probabilities, at most two, rounded for the smallest error in tokens, then in documents; what error
-    is left shrinks by the best single change: one document more or less, or one for another, among those that
-    ``first`` left open."""
+def land(pi: np.ndarray, size: np.ndarray, first: np.ndarray, exchange: bool = True) -> np.ndarray:
+    """The open probabilities, at most two, rounded for the smallest error in tokens, then in documents. With
+    ``exchange`` what error is left shrinks by the best single change: one document more or less, or one for another,
+    among those that ``first`` left open; that serves the share and leaves the exact probabilities of the flight."""
     open_at = np.flatnonzero((pi > FRACTION) & (pi < 1 - FRACTION))
     best, want = None, (float((pi[open_at] * size[open_at]).sum()), float(pi[open_at].sum()))
     for bits in range(1 << len(open_at)):
@@ -87,6 +87,8 @@ def land(pi: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
             best = (error, s)
     out = np.round(pi)
     out[open_at] = best[1]
+    if not exchange:
+        return out
     free = (first > FRACTION) & (first < 1 - FRACTION)
     into, from_ = np.flatnonzero(free & (out == 0)), np.flatnonzero(free & (out == 1))
     error = float((out * size).sum() - (first * size).sum())
@@ -97,7 +99,7 @@ def land(pi: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mover(single: set[str], level: int):
+def _mover(single: set[str], level: int, exchange: bool):
     """Flight of a block, and landing of the sources that have a single block; the seed follows from the block, so a rerun draws the same."""
 
     def move(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +108,7 @@ def _mover(single: set[str], level: int):
         size = f["n_tokens"].to_numpy()
         first = f["pi"].to_numpy()
         pi = flight(first, size, np.random.default_rng(seed))
-        return f[["doc_id", "source", "n_tokens", "base"]].assign(pi=land(pi, size, first) if key[0] in single else pi)
+        return f[["doc_id", "source", "n_tokens", "base"]].assign(pi=land(pi, size, first, exchange) if key[0] in single else pi)
 
     return move
 
@@ -128,9 +130,10 @@ def plan(totals: list[tuple[str, float, int, int, int]], budget: int | None = No
     return out
 
 
-def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: int | None = None, path: str = tokens.VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: int | None = None, path: str = tokens.VOCABULARY, exchange: bool = True) -> tuple[DataFrame, DataFrame]:
     """documents: doc_id, source, text. targets: source, target_share, max_repeats (a row a source).
 
+    Without ``exchange`` every document keeps exactly its probability; with it a source's landing may change one draw.
     Results: the documents drawn (doc_id, source, n_tokens, copies), and per named source the share aimed at and the
     share reached."""
     st = Stages(spark, "mixing")
@@ -144,7 +147,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: i
     rates = spark.createDataFrame(pd.DataFrame(made, columns=["source", "base", "pi", "docs"]).astype({"base": int, "pi": float, "docs": int}), "source string, base int, pi double, docs long")
     blocks = {m["source"]: math.ceil(m["docs"] / BLOCK) for m in made}
     # One row a named source, like the target table.
-    now = sized.join(F.broadcast(rates), "source").select("doc_id", "source", "n_tokens", "base", "pi")
+    now = sized.join(rates, "source").select("doc_id", "source", "n_tokens", "base", "pi")
     parts, level = [], 0
     fields = "doc_id long, source string, n_tokens long, base int, pi double"
     while True:
@@ -153,7 +156,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: i
         last = len(single) == len(blocks)
         count = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("source")) if blocks else F.lit(1)
         block = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.greatest(count, F.lit(1)))
-        moved = st.write(now.withColumn("block", block).groupBy("source", "block").applyInPandas(_mover(single, level), fields))
+        moved = st.write(now.withColumn("block", block).groupBy("source", "block").applyInPandas(_mover(single, level, exchange), fields))
         parts.append(moved if last else moved.where((F.col("pi") <= 0) | (F.col("pi") >= 1)))
         if last:
             break
@@ -166,7 +169,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, budget: i
     total = per.agg(F.sum("n_tokens")).scalar()
     # One row a named source.
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    held = wanted.join(F.broadcast(per), "source", "left")
+    held = wanted.join(per, "source", "left")
     actual = F.coalesce(F.col("n_tokens") / total, F.lit(0.0))
     shares = held.select("source", "target_share", actual.alias("actual_share"), "max_repeats", *[zero(c) for c in ("n_docs", "n_copies", "most_copies", "n_tokens")])
     return drawn, shares
