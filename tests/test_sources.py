@@ -74,3 +74,33 @@ def test_numbers_without_gaps(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     got = {r["k"]: r["point"] for r in scene.numbered(df, ["k"]).collect()}
     assert got == {k: k for k in range(1000)}
+
+
+def test_a_statement_ends_with_its_time(spark):
+    from tidemark.session import within
+
+    assert within(spark, 60, lambda: spark.range(5).count()) == 5
+    slow = spark.range(0, 1 << 40, 1, 4).selectExpr("sum(hash(id) % 7) AS s")
+    with pytest.raises(TimeoutError):
+        within(spark, 1.0, slow.collect)
+    assert spark.range(3).count() == 3
+
+
+def test_types_beyond_a_byte(spark):
+    from tidemark.operators.projection import type_codes
+
+    df = spark.createDataFrame([(f"t{i:03d}",) for i in range(300)] + [(None,), (" T001 ",)], "kind string")
+    got = {r["event_type"]: r["type_code"] for r in type_codes(df, "kind").collect()}
+    assert len(got) == 301 and got["other"] == got["t253"] == got["t299"] == 254 and got["t000"] == 1 and got["t252"] == 253
+    few = {r["event_type"]: r["type_code"] for r in type_codes(df.where("kind < 't003'"), "kind").collect()}
+    assert few == {"t000": 0, "t001": 1, "t002": 2}
+
+
+def test_tables_of_finished_queries_are_released(spark):
+    from tidemark.session import Stages, release
+
+    release(spark)
+    kept = Stages(spark, "kept").write(spark.range(3).toDF("x"))
+    assert kept.count() == 3 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(kept._tidemark_path)

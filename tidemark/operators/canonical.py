@@ -30,8 +30,9 @@ NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
 def prepare(records: DataFrame) -> DataFrame:
     """Adds what comparisons use: core entity keys, numbers, normal forms and the exact key."""
     core = F.filter(F.coalesce("entities", F.array()), lambda e: ~F.coalesce(e["role"], F.lit("")).isin(vocab.IGNORED_ROLES))
-    exploded = records.select("domain", "event_id", F.explode(core).alias("e")).select("domain", "event_id", X.entity_key("e.entity_type", "e.name", "e.key").alias("k")).where("k <> ''")
-    keys = exploded.groupBy("domain", "event_id").agg(F.array_sort(F.collect_set("k")).alias("core_keys"))
+    exploded = records.select("domain", "event_id", F.explode(core).alias("e")).select("domain", "event_id", X.entity_key("e.entity_type", "e.name", "e.key").alias("k"))
+    # Without a filter on the keys, which would fold every name once more for its test.
+    keys = exploded.groupBy("domain", "event_id").agg(F.array_sort(F.collect_set(F.nullif("k", F.lit("")))).alias("core_keys"))
     text = X.nfkc_fold(F.concat_ws(" ", "title", "summary"))
     out = records.join(keys, ["domain", "event_id"], "left").withColumns({
         "core_keys": F.coalesce("core_keys", F.array().cast("array<string>")), "folded": text, "n_type": F.coalesce(F.nullif(X.normalize_text("event_type"), F.lit("")), F.lit("other")),
@@ -72,10 +73,10 @@ def refusal(a: str, b: str) -> tuple:
 COMPARED = ["domain", "event_id", "n_type", "n_direction", "start_day", "end_day", "time_precision", "core_keys", "numbers"]
 
 
-def canonicalize(st: Stages, records: DataFrame, neighbours: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members: domain, event_id, group_id, rule, score, runner_up. groups: domain, group_id, representative, size,
+def canonicalize(st: Stages, records: DataFrame, neighbours: DataFrame, prepared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """From records, and their ``prepare``d form where that is written already. members: domain, event_id, group_id, rule, score, runner_up. groups: domain, group_id, representative, size,
     flags."""
-    p = st.write(prepare(records))
+    p = st.write(prepare(records)) if prepared is None else prepared
     exact = st.write(exact_groups(p))
     slim = p.select(*COMPARED).join(exact, ["domain", "event_id"])
     both = neighbours.select(F.col("domain").alias("d"), "left", "right", "similarity").where("left <> right")

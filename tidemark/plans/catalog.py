@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions import text as X
 from tidemark.plans import aggregate_queries, core_queries, filter_join_queries, scalar_queries, snapshot_queries, source_queries, stream_queries
 
 MODULES = [core_queries, filter_join_queries, aggregate_queries, scalar_queries, snapshot_queries, source_queries, stream_queries]
@@ -33,3 +34,11 @@ def register_views(spark: SparkSession, folder: str) -> None:
         name = f.getPath().getName()
         if name.endswith(".parquet"):
             spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(name[:-8])
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The scalar functions as temporary functions of the session, so that SQL can call them."""
+    spark.udf.register("normalize_fold", X.nfkc_fold)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION snake_key(t STRING) RETURNS STRING RETURN btrim(regexp_replace(lower(btrim(coalesce(t, ''))), '[^0-9a-z]+', '_'), '_')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ascii_part(t STRING) RETURNS STRING RETURN regexp_replace(coalesce(t, ''), '[^\\\\x00-\\\\x7F]', '')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION token_estimate(t STRING) RETURNS INT RETURN length(coalesce(t, '')) - length(ascii_part(t)) + CAST(floor((length(ascii_part(t)) + 3) / 4) AS INT)")

@@ -10,6 +10,7 @@ from tidemark.functions import times as D
 from tidemark.functions import vectors as V
 from tidemark.operators import relational as R
 from tidemark.plans.registry import Catalog
+from tidemark.session import within
 from tidemark.sources.tables import norm_id, table
 
 CATALOG = Catalog()
@@ -17,6 +18,13 @@ query = CATALOG.query
 QUERIES, ORACLES = CATALOG.queries, CATALOG.oracles
 
 
+@query("SELECT id, provider FROM media WHERE provider IN ('castnet', 'vidhub') ORDER BY id LIMIT 200")
+def flt19_clamped_page(s: SparkSession, d: str, limit: str = "5000", providers: str = " castnet, vidhub,,castnet") -> DataFrame:
+    """A page by parameters as they come in: a limit beyond bounds and a list with blanks and repeats."""
+    m = table(s, d, "media").where(F.col("provider").isin(R.csv_values(providers)))
+    return m.select("id", "provider").orderBy("id").limit(R.clamp_limit(limit))
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
 def src01_point_lookup(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").where("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -361,6 +369,13 @@ def jn14_hash_join_hint(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").join(c, "o_custkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY 1")
+def jn14_within_ten_seconds(s: SparkSession, d: str, seconds: float = 10.0) -> DataFrame:
+    """The same, run under the timeout of a ranking statement: its few rows come back, or TimeoutError."""
+    df = jn14_hash_join_hint(s, d)
+    return s.createDataFrame(within(s, seconds, df.collect), df.schema)
+
+
 @query("SELECT DISTINCT v.id, m.name, m.provider FROM video v LEFT JOIN media m ON m.id = v.media_id")
 def jn15_lookup_join(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "media").select(F.col("id").alias("media_id"), "name", "provider")

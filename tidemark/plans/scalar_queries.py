@@ -482,6 +482,30 @@ def ar04_version_status(s: SparkSession, d: str) -> DataFrame:
     return top.select("event_id", F.element_at(F.array(*[F.lit(x) for x in ("current", "unknown", "unavailable", "superseded")]), F.col("w") + 1).alias("version_status"))
 
 
+@query("SELECT DISTINCT id, trim(regexp_replace(lower(trim(coalesce(name, ''))), '[^0-9a-z]+', '_', 'g'), '_') AS k, length(coalesce(name, '')) - length(regexp_replace(coalesce(name, ''), '[^\\x00-\\x7F]', '', 'g')) + (length(regexp_replace(coalesce(name, ''), '[^\\x00-\\x7F]', '', 'g')) + 3) // 4 AS tokens FROM media")
+def ud01_registered_functions(s: SparkSession, d: str) -> DataFrame:
+    """Functions of this package called by name from SQL."""
+    from tidemark.plans.catalog import register_functions
+
+    register_functions(s)
+    table(s, d, "media").createOrReplaceTempView("ud01_media")
+    return s.sql("SELECT DISTINCT id, snake_key(name) AS k, CAST(token_estimate(name) AS BIGINT) AS tokens FROM ud01_media")
+
+
+@query("SELECT DISTINCT prompt_version, sha256(concat_ws('|', model, prompt_version, prompt_text, chunk_max_chars, overlap_chars)) AS version FROM extraction_spec")
+def ud02_spec_versions(s: SparkSession, d: str) -> DataFrame:
+    """The identity of a user's extraction spec, as it enters build and cache keys."""
+    e = table(s, d, "extraction_spec")
+    return e.select("prompt_version", F.sha2(F.concat_ws("|", "model", "prompt_version", "prompt_text", F.col("chunk_max_chars").cast("string"), F.col("overlap_chars").cast("string")), 256).alias("version")).distinct()
+
+
+@query("SELECT DISTINCT id, replace(replace(CASE provider WHEN 'castnet' THEN '# {{name}} ({{zone}})' ELSE '## {{name}}' END, '{{name}}', coalesce(name, '')), '{{zone}}', coalesce(time_zone, 'UTC')) AS brief FROM media")
+def ud03_domain_templates(s: SparkSession, d: str) -> DataFrame:
+    """A template of its own for each source."""
+    m = table(s, d, "media").withColumn("template", F.when(F.col("provider") == "castnet", "# {{name}} ({{zone}})").otherwise("## {{name}}"))
+    return m.select("id", X.compose(F.col("template"), name=F.coalesce("name", F.lit("")), zone=F.coalesce("time_zone", F.lit("UTC"))).alias("brief")).distinct()
+
+
 @query()
 def js01_parsed_answers(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("doc_kind = 'extraction'")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,26 +39,34 @@ def neighbours(s: SparkSession, d: str, r: DataFrame) -> DataFrame:
     return j.where("ld = rd").select(F.col("ld").alias("domain"), "left", "right", "similarity")
 
 
-#: Part of the build key: a change of the rules makes new versions.
-RULES = "2"
+@cache
+def _rules() -> str:
+    """Part of the build key: a change of the code that makes the tables makes new versions."""
+    package = Path(__file__).resolve().parent.parent
+    files = [Path(__file__).resolve(), *sorted(package.glob("operators/*.py")), *sorted(package.glob("functions/*.py"))]
+    return hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()
 
 
 def _published(s: SparkSession, d: str, stage: str, make: Callable[[], dict[str, DataFrame]], inputs: tuple[str, ...] = ("event_record", "event_match")) -> Callable[[str], DataFrame]:
     """The tables of a stage of the build over a folder: made once, then read by every query over the same inputs."""
     pub = Publisher(s, f"{shared_dir(s)}/published/{stage}")
-    key = input_key(s, [f"{d}/{t}.parquet" for t in inputs], {"stage": stage, "rules": RULES})
+    key = input_key(s, [f"{d}/{t}.parquet" for t in inputs], {"stage": stage, "rules": _rules()})
     version = pub.find(key) or pub.publish(key, make())[0]
     return lambda name: pub.read(name, version)
 
 
+def _prepared(s: SparkSession, d: str) -> DataFrame:
+    """Records with what comparisons use."""
+    return _published(s, d, "prepared", lambda: {"prepared": K.prepare(records(s, d))}, ("event_record",))("prepared")
+
+
 def _canonical(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
-    """The tables records, prepared, members and groups."""
+    """The tables members and groups."""
 
     def make() -> dict[str, DataFrame]:
-        st = Stages(s, "canonical")
-        r = st.write(records(s, d))
-        members, groups = K.canonicalize(st, r, neighbours(s, d, r))
-        return {"records": r, "prepared": K.prepare(r), "members": members, "groups": groups}
+        p = _prepared(s, d)
+        members, groups = K.canonicalize(Stages(s, "canonical"), p, neighbours(s, d, p), p)
+        return {"members": members, "groups": groups}
 
     return _published(s, d, "canonical", make)
 
@@ -63,7 +74,7 @@ def _canonical(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
 def _nodes(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
     """The table nodes: what the reports of each canonical event say together."""
     c = _canonical(s, d)
-    return _published(s, d, "nodes", lambda: {"nodes": S.profiles(c("prepared"), c("members"), c("groups"))})
+    return _published(s, d, "nodes", lambda: {"nodes": S.profiles(_prepared(s, d), c("members"), c("groups"))})
 
 
 def _stories(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
@@ -111,15 +122,15 @@ def dm02_type_codes(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dm03_exact_groups(s: SparkSession, d: str) -> DataFrame:
-    return K.exact_groups(K.prepare(records(s, d))).select("event_id", "exact_group", "exact_size")
+    return K.exact_groups(_prepared(s, d)).select("event_id", "exact_group", "exact_size")
 
 
 @query()
 def dm04_fuzzy_pairs(s: SparkSession, d: str) -> DataFrame:
-    r = records(s, d)
-    p = K.prepare(r).select(*K.COMPARED)
+    p = _prepared(s, d)
+    n = neighbours(s, d, p)
+    p = p.select(*K.COMPARED)
     reason, need = K.refusal("a", "b")
-    n = neighbours(s, d, r)
     j = n.join(p.alias("a"), F.col("left") == F.col("a.event_id")).join(p.alias("b"), F.col("right") == F.col("b.event_id"))
     return j.select("left", "right", F.coalesce(reason, F.when(F.col("similarity") < need, "cosine_too_low"), F.lit("allowed")).alias("decision"))
 
@@ -148,8 +159,7 @@ def dm06_canonical_members(s: SparkSession, d: str) -> DataFrame:
 
 
 def _identities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = _canonical(s, d)
-    r, members = c("records"), c("members")
+    r, members = _prepared(s, d), _canonical(s, d)("members")
     prior = table(s, d, "event_to_canonical").where("canonical_id IS NOT NULL").select("event_id", "canonical_id").distinct()
     prior = R.first_per_key(prior, ["event_id"], [F.col("canonical_id")]).join(r.select("event_id", "domain"), "event_id")
     sizes = prior.groupBy("domain", "canonical_id").agg(F.count("*").alias("size"))

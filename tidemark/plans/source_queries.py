@@ -64,6 +64,46 @@ def src15_scene_records(s: SparkSession, d: str) -> DataFrame:
     return per.select("snapshot_id", "n", (F.col("n") * size).cast("long").alias("bytes"))
 
 
+@query("""WITH c AS (SELECT row_number() OVER (ORDER BY snapshot_id, canonical_id) - 1 AS p FROM (SELECT DISTINCT snapshot_id, canonical_id FROM event_map_canonical WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND event_start_day IS NOT NULL AND event_end_day IS NOT NULL))
+SELECT p // 2048 AS chunk, CAST(min(p) AS INTEGER) AS first_point, count(*) AS n, count(*) * 56 AS bytes FROM c GROUP BY 1""")
+def src06_scene_chunks(s: SparkSession, d: str) -> DataFrame:
+    """All placed canonicals as one scene in chunks of 2,048 records, made where they lie."""
+    c = table(s, d, "event_map_canonical").dropna(subset=["x", "y", "z", "event_start_day", "event_end_day"]).dropDuplicates(["snapshot_id", "canonical_id"])
+    n = scene.numbered(c, ["snapshot_id", "canonical_id"])
+    none = F.lit(None).cast("int")
+    rows = n.select("point", "canonical_id", "x", "y", "z", F.col("event_start_day").alias("start_day"), F.col("event_end_day").alias("end_day"), F.lit(0).alias("type_code"), F.lit(3).alias("precision_code"), F.col("has_uncertainty").alias("uncertain"), F.lit(False).alias("disagrees"), F.col("member_count").alias("members"), none.alias("macro"), none.alias("local"))
+    return scene.chunks(scene.encode(rows)).select("chunk", "first_point", "n", F.length("data").cast("long").alias("bytes"))
+
+
+@query("SELECT status, count(*) AS n FROM event_map_snapshot WHERE status = 'ready' GROUP BY 1")
+def src04_repeatable_read(s: SparkSession, d: str) -> DataFrame:
+    """A reader of one version goes on seeing it after another has been published."""
+    import uuid
+
+    from tidemark.operators.publish import Publisher
+    from tidemark.session import shared_dir
+
+    pub, snap = Publisher(s, f"{shared_dir(s)}/versions-{uuid.uuid4().hex[:8]}"), table(s, d, "event_map_snapshot")
+    first, _ = pub.publish("one", {"snapshots": snap.where("status = 'ready'")})
+    pub.publish("two", {"snapshots": snap})
+    return pub.read("snapshots", first).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT id, sha256(coalesce(name, '')) AS sha FROM media")
+def src11_whole_objects(s: SparkSession, d: str) -> DataFrame:
+    """Each name written as an object of its own, and the objects read back whole."""
+    import uuid
+
+    from tidemark.session import shared_dir
+    from tidemark.sources.sinks import read_blobs
+
+    path = f"{shared_dir(s)}/objects-{uuid.uuid4().hex[:8]}"
+    m = table(s, d, "media").select("id", F.coalesce("name", F.lit("")).alias("name")).distinct()
+    m.write.option("lineSep", "\u0001").partitionBy("id").text(path)
+    name = F.url_decode(F.regexp_extract("path", r"/id=([^/]+)/", 1))
+    return read_blobs(s, path, "*.txt").select(name.alias("id"), F.sha2(F.regexp_replace(F.decode("content", "UTF-8"), "\u0001$", ""), 256).alias("sha"))
+
+
 @query("SELECT canonical_id, CAST(row_number() OVER (ORDER BY canonical_id) - 1 AS INTEGER) AS point FROM (SELECT DISTINCT canonical_id FROM event_map_canonical)")
 def src17_contiguous_numbers(s: SparkSession, d: str) -> DataFrame:
     return scene.numbered(table(s, d, "event_map_canonical").select("canonical_id").distinct(), ["canonical_id"]).select("canonical_id", "point")

@@ -6,12 +6,16 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _own: dict[str, str] = {}
 
 
@@ -91,6 +95,29 @@ class Stages:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def within(spark: SparkSession, seconds: float, action: Callable[[], T]) -> T:
+    """The result of an action whose jobs are cancelled, and TimeoutError raised, after a time: a statement's timeout."""
+    context, group, late = spark.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"cancelled after {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        for p in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(p, None)
+
+
 _shipped: set[str] = set()
 
 

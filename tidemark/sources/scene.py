@@ -50,6 +50,13 @@ def stream(encoded: DataFrame, rows: int = 2048) -> Iterator[bytes]:
         yield bytes(chunk)
 
 
+def chunks(encoded: DataFrame, rows: int = 2048) -> DataFrame:
+    """The scene as chunks that executors make: chunk, first_point, n, data. A chunk holds ``rows`` records."""
+    order = F.array_sort(F.collect_list(F.struct("point", "record")))
+    made = encoded.groupBy(F.floor(F.col("point") / rows).alias("chunk")).agg(F.min("point").alias("first_point"), F.count("*").alias("n"), order.alias("r"))
+    return made.select("chunk", "first_point", "n", F.aggregate("r", F.lit(b""), lambda a, x: F.concat(a, x["record"])).alias("data"))
+
+
 def decode(raw: bytes, count: int) -> np.ndarray:
     """The records of a scene, whose length and numbering must fit."""
     if len(raw) != count * RECORD.itemsize:
