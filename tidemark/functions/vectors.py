@@ -21,8 +21,9 @@ def normalize(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Zero for vectors that are null, zero, not finite or of different length."""
     n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
+    return F.coalesce(F.when((n > 0) & (n < float("inf")), dot(a, b) / n), F.lit(0.0))
 
 
 def valid(a: Column, dim: int) -> Column:

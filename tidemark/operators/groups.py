@@ -15,17 +15,29 @@ from tidemark.functions import vectors as V
 CARDS, PER_SOURCE, CANDIDATES = 10, 2, 200
 
 
+def _units(df: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector has a direction, with it and its length as columns _u and _d."""
+    known = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    length = V.norm(F.col(vector))
+    return known.where((length > 0) & (length < float("inf"))).withColumns({"_u": V.normalize(F.col(vector)), "_d": F.size(vector)})
+
+
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """The unit mean of unit vectors per group: group, centroid. A partial mean a group and task is all that is shuffled."""
-    unit = df.where(F.col(vector).isNotNull()).select(group, array_to_vector(V.normalize(F.col(vector))).alias("v"))
-    mean = unit.groupBy(group).agg(Summarizer.mean(F.col("v")).alias("m"))
-    return mean.select(group, V.normalize(vector_to_array("m")).alias("centroid"))
+    """The unit mean of unit vectors per group: group, centroid. A partial mean a group and task is all that is shuffled.
+
+    Vectors that are null, zero or not finite take no part; of vectors of several lengths those of the most frequent
+    length do, the longest among equals."""
+    per = _units(df, vector).groupBy(group, "_d").agg(Summarizer.mean(array_to_vector("_u")).alias("m"), F.count("*").alias("n"))
+    most = per.groupBy(group).agg(F.max_by("m", F.struct("n", "_d")).alias("m"))
+    return most.select(group, V.normalize(vector_to_array("m")).alias("centroid"))
 
 
 def medoids(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """The member closest to the centroid of its group; scores that agree to eight digits tie, for the smaller key."""
+    """The member closest to the centroid of its group; scores that agree to eight digits tie, for the smaller key. Members
+    that take no part in the centroid are none."""
     c = centroids(df, group, vector)
-    scored = df.where(F.col(vector).isNotNull()).join(c, group).withColumn("score", F.round(V.cosine(F.col(vector), F.col("centroid")), 8))
+    own = _units(df, vector).join(c, group).where(F.col("_d") == F.size("centroid"))
+    scored = own.withColumn("score", F.round(V.cosine(F.col("_u"), F.col("centroid")), 8))
     return scored.groupBy(group).agg(F.min_by(key, F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))).alias(key), F.max("score").alias("score"))
 
 

@@ -453,6 +453,19 @@ def jn22_membership_overlap(s: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("a.snapshot_id").alias("snapshot_a"), F.col("a.canonical_id").alias("group_a"), F.col("b.snapshot_id").alias("snapshot_b"), F.col("b.canonical_id").alias("group_b"), "common", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard"))
 
 
+@query("""WITH m AS (SELECT DISTINCT event_type, source_video_id FROM event_record WHERE event_type IS NOT NULL AND source_video_id IS NOT NULL), g AS (SELECT event_type, count(*) AS n FROM m GROUP BY 1)
+SELECT a.event_type AS type_a, b.event_type AS type_b, count(*) AS common, round(count(*) / (any_value(ga.n) + any_value(gb.n) - count(*)), 6) AS jaccard
+FROM m a JOIN m b ON a.source_video_id = b.source_video_id AND a.event_type < b.event_type JOIN g ga ON ga.event_type = a.event_type JOIN g gb ON gb.event_type = b.event_type GROUP BY ALL""")
+def jn22_type_overlap(s: SparkSession, d: str) -> DataFrame:
+    """The same over groups that share members on the test tables: types of events by the videos that report them."""
+    m = table(s, d, "event_record").where("event_type IS NOT NULL AND source_video_id IS NOT NULL").select("event_type", "source_video_id").distinct()
+    m = m.join(m.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
+    a, b = m.alias("a"), m.alias("b")
+    j = a.join(b, (F.col("a.source_video_id") == F.col("b.source_video_id")) & (F.col("a.event_type") < F.col("b.event_type")))
+    c = j.groupBy(F.col("a.event_type").alias("type_a"), F.col("b.event_type").alias("type_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("common"))
+    return c.select("type_a", "type_b", "common", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard"))
+
+
 @query("""WITH o AS (SELECT user_id AS k, ts, event_type FROM events), f AS (SELECT k, ts FROM o WHERE event_type = 'error')
 SELECT k AS user_id, ts, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.k = f.k AND o.event_type = 'purchase' AND o.ts > f.ts) THEN 'recovered' WHEN EXISTS (SELECT 1 FROM o WHERE o.k = f.k AND o.event_type = 'signup') THEN 'active' ELSE 'retry' END AS label FROM f""")
 def jn23_failed_then_recovered(s: SparkSession, d: str) -> DataFrame:

