@@ -250,8 +250,9 @@ def required_headings(template: Column | str, marker: str = "### ") -> Column:
 
 
 def brief_errors(body: Column, headings: Column, sources: Column, least: int = 200) -> Column:
-    """Codes of what a written brief violates, in a fixed order."""
+    """Codes of what a written brief violates, in a fixed order; null lists are empty."""
     text = F.trim(F.coalesce(body, F.lit("")))
+    headings, sources = (F.coalesce(x, F.array().cast("array<string>")) for x in (headings, sources))
     missing = F.transform(F.filter(headings, lambda h: ~F.exists(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^##\s+", "##")) == F.concat(F.lit("##"), h))), lambda h: F.concat(F.lit("missing_heading:"), h))
     own = urls(text)
     cited = F.exists(sources, lambda u: text.contains(u))

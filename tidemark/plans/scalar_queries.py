@@ -159,16 +159,17 @@ def _cut(how, limit: int):
 _BLANK = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
-def _cut_sql(limit: int, lists: str, end: str, following: str, trim: bool = True, empty: bool = False) -> str:
+def _cut_sql(limit: int, lists: str, end: str, following: str, trim: bool = True, empty: bool = False, reach: str = "", joined: str = "") -> str:
     """A chunker as a recursion over its cursor: ``lists`` are places of marks, ``end`` the end of the piece from ``p``
-    where the window reaches to ``q`` and the text goes on, ``following`` the next cursor."""
+    where the window reaches to ``q`` and the text goes on, ``following`` the next cursor; ``reach`` is how far a window
+    goes where that is not a number of characters, ``joined`` what else a text needs beside it."""
     lead = f"length(w) - length(regexp_replace(w, '^{_BLANK}+', ''))"
     bare = f"length(regexp_replace(regexp_replace(w, '^{_BLANK}+', ''), '{_BLANK}+$', ''))"
     out = f"SELECT doc_id, p + {lead} AS s, p + {lead} + {bare} AS e FROM w WHERE {bare} > 0" if trim else "SELECT doc_id, p AS s, e FROM w"
     return f"""WITH RECURSIVE c AS (SELECT doc_id, text AS t, CAST(length(text) AS BIGINT) AS n, regexp_split_to_array(text, '') AS ch FROM documents WHERE text IS NOT NULL AND length(text) > 0),
-d AS (SELECT doc_id, t, n, {lists} FROM c),
+d AS (SELECT doc_id, t, n, {lists} FROM c{joined}),
 g AS (SELECT doc_id, 0::BIGINT AS p, 0::BIGINT AS e, 0::BIGINT AS nxt, true AS first FROM d
-  UNION ALL SELECT doc_id, p, e, {following}, false FROM (SELECT doc_id, p, CASE WHEN q < n THEN {end} ELSE q END AS e FROM (SELECT d.*, g.nxt AS p, least(d.n, g.nxt + {limit}) AS q FROM g JOIN d ON d.doc_id = g.doc_id WHERE g.nxt < d.n))),
+  UNION ALL SELECT doc_id, p, e, {following}, false FROM (SELECT doc_id, p, CASE WHEN q < n THEN {end} ELSE q END AS e FROM (SELECT d.*, g.nxt AS p, least(d.n, {reach or f"g.nxt + {limit}"}) AS q FROM g JOIN d ON d.doc_id = g.doc_id WHERE g.nxt < d.n))),
 w AS (SELECT g.doc_id, g.p, g.e, substr(d.t, g.p + 1, g.e - g.p) AS w FROM g JOIN d ON d.doc_id = g.doc_id WHERE NOT g.first),
 o AS ({out}{" UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE text = ''" if empty else ""})
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS piece_no, CAST(s AS INTEGER) AS start_char, CAST(e AS INTEGER) AS end_char FROM o"""
@@ -184,6 +185,10 @@ _CUT_SQL = {
     "tx14_chunks_at_lines": _cut_sql(700, _BREAKS, f"coalesce(nullif(greatest({_last('l', 'p + 350')}, p), p), q)", "greatest(e, p + 1)"),
     "tx15_segments_at_sentences": _cut_sql(350, _marks_sql("l", "ch[i + 1] IN (chr(10), '。', '！', '？', ' ')") + ", " + _marks_sql("k", "ch[i + 1] = '.' AND ch[i + 2] = ' '"), f"coalesce(nullif(greatest({_last('l', 'p + 175')}, {_last('k', 'p + 175', 'q - 1')}, p), p) + 1, q)", "greatest(e, p + 1)"),
     "tx17_packed_lines": _cut_sql(600, "list_filter(range(1, n + 1), lambda i: ch[i] IN (chr(10), chr(11), chr(12), chr(28), chr(29), chr(30), chr(133), chr(8232), chr(8233)) OR (ch[i] = chr(13) AND (i = n OR ch[i + 1] <> chr(10)))) AS l", f"coalesce({_last('l', 'p + 1', 'q + 1')}, q)", "e"),
+    # Four times the estimate before rounding, up to each character; a window has at most 1,024.
+    "tx21_token_pieces": _cut_sql(256, _marks_sql("l", "ch[i + 1] IN (chr(10), '。')") + ", cost",
+        f"coalesce(nullif(greatest({_last('l', 'p + (q - p) // 2')}, p), p) + 1, q)", "e", reach="greatest(g.nxt + 1, g.nxt + len(list_filter(list_slice(d.cost, g.nxt + 1, g.nxt + 1024), lambda x: x <= coalesce(d.cost[g.nxt], 0) + 1024)))",
+        joined=" JOIN (SELECT doc_id, list(s ORDER BY i) AS cost FROM (SELECT doc_id, i, sum(CASE WHEN unicode(x) < 128 THEN 1 ELSE 4 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (SELECT doc_id, unnest(range(1, n + 1)) AS i, unnest(ch) AS x FROM c)) GROUP BY doc_id) USING (doc_id)"),
     "tx16_pages": _cut_sql(1000, _BREAKS, f"coalesce(nullif(greatest({_last('l', 'p + 700')}, p), p) + 1, nullif(greatest({_last('l', 'p')}, p), p) + 1, q)", "e", False, True),
 }
 
@@ -221,7 +226,14 @@ def tx22_packed_batches(s: SparkSession, d: str) -> DataFrame:
     return C.packed(docs, "video_id", "doc_id", "tokens", 800)
 
 
-@query()
+_URLS = r"list_distinct(regexp_extract_all({}, 'https?://[^\s）)\]}}>，,]+'))"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, coalesce(trim(text), '') AS t, coalesce(text, '') AS raw FROM documents WHERE doc_kind = 'brief'),
+c AS (SELECT *, regexp_extract_all(raw, '(?m)^##\s+(.+?)\s*$', 1) AS heads, {_URLS.format('raw')} AS src, {_URLS.format('t')} AS own FROM b)
+SELECT doc_id, list_filter([CASE WHEN length(t) < 200 THEN 'too_short' END, CASE WHEN NOT regexp_matches(t, '(?m)^##\s+') THEN 'no_heading' END, CASE WHEN len(src) > 0 AND NOT list_bool_or(list_transform(src, lambda u: contains(t, u))) THEN 'no_source' END,
+  CASE WHEN len(src) > 0 AND len(list_filter(own, lambda u: NOT list_contains(src, u))) > 0 THEN 'foreign_source' END], lambda x: x IS NOT NULL)
+  || list_transform(list_filter(heads, lambda h: NOT coalesce(list_bool_or(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '^##\s+', '##')) = '##' || h)), false)), lambda h: 'missing_heading:' || h) AS errors FROM c""")
 def tx23_brief_errors(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "documents").where("doc_kind = 'brief'")
     return b.select("doc_id", X.brief_errors(F.col("text"), X.required_headings("text"), X.urls("text")).alias("errors"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import canonical as K
 from tidemark.operators import relational as R
 from tidemark.operators import stories as S
+from tidemark.operators.neighbours import neighbours as nearest_in_domain
 from tidemark.operators.projection import type_codes
 from tidemark.operators.publish import Publisher, fingerprints, input_key, staged_inputs
 from tidemark.plans.registry import Catalog
@@ -94,10 +95,13 @@ def _stories(s: SparkSession, d: str) -> Callable[[str], DataFrame]:
 _CONTENT = "concat_ws(chr(31), coalesce(title, ''), coalesce(summary, ''), coalesce(event_type, ''), coalesce(direction, ''), coalesce(start_day::VARCHAR, ''), coalesce(end_day::VARCHAR, ''), coalesce(time_precision, ''), coalesce(array_to_string(list_transform(entities, lambda e: concat_ws(chr(30), coalesce(e.entity_type, ''), coalesce(e.key, ''), coalesce(e.name, ''), coalesce(e.role, ''))), chr(29)), ''), coalesce(array_to_string(list_transform(relations, lambda r: concat_ws(chr(30), coalesce(r.relation_type, ''), coalesce(r.source_claim, ''), coalesce(r.target_claim, ''), coalesce(r.evidence_text, ''))), chr(29)), ''), coalesce(array_to_string(list_transform(evidence, lambda v: concat_ws(chr(30), coalesce(v.video_id, ''), coalesce(v.evidence_text, ''))), chr(29)), ''))"
 
 
-@query(f"""WITH r AS (SELECT * FROM (SELECT *, coalesce(playlist_id, '') AS domain, row_number() OVER (PARTITION BY event_id ORDER BY created_at, revision_id) AS k FROM event_record WHERE event_id IS NOT NULL) WHERE k = 1),
+_STAGED = f"""WITH r AS (SELECT * FROM (SELECT *, coalesce(playlist_id, '') AS domain, row_number() OVER (PARTITION BY event_id ORDER BY created_at, revision_id) AS k FROM event_record WHERE event_id IS NOT NULL) WHERE k = 1),
 c AS (SELECT domain, event_id, sha256({_CONTENT}) AS content_hash, sha256(coalesce(array_to_string(list_transform(vector, lambda x: coalesce(CASE WHEN x < 1e9 AND x > -1e9 THEN CAST(floor(x::DOUBLE * 1000000)::BIGINT AS VARCHAR) END, '')), ','), '')) AS embedding_hash FROM r),
-i AS (SELECT *, sha256(concat_ws('|', event_id, content_hash, embedding_hash)) AS input_hash FROM c)
-SELECT domain, count(*) AS records, sha256(string_agg(input_hash, ',' ORDER BY event_id)) AS fingerprint FROM i GROUP BY 1""")
+i AS (SELECT *, sha256(concat_ws('|', event_id, content_hash, embedding_hash)) AS input_hash, sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode(domain || ':' || event_id || ':' || content_hash)) AS h FROM c)
+"""
+
+
+@query(_STAGED + "SELECT domain, count(*) AS records, sha256(string_agg(input_hash, ',' ORDER BY event_id)) AS fingerprint FROM i GROUP BY 1")
 def dm01_input_fingerprints(s: SparkSession, d: str) -> DataFrame:
     """Per domain, what a build would freeze: the number of its records and a fingerprint of their inputs."""
     return fingerprints(staged_inputs(records(s, d)))
@@ -109,7 +113,7 @@ def dm01_revision_hashes(s: SparkSession, d: str) -> DataFrame:
     return staged_inputs(records(s, d)).select("event_id", "content_hash")
 
 
-@query()
+@query(_STAGED + "SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS revision_id, input_hash, embedding_hash FROM i")
 def dm01_revision_ids(s: SparkSession, d: str) -> DataFrame:
     """Staged inputs with the id of the revision that their content names."""
     return staged_inputs(records(s, d)).select("event_id", "revision_id", "input_hash", "embedding_hash")
@@ -158,6 +162,33 @@ def dm04_fuzzy_pairs(s: SparkSession, d: str) -> DataFrame:
     return j.select("left", "right", F.coalesce(reason, F.when(F.col("similarity") < need, "cosine_too_low"), F.lit("allowed")).alias("decision"))
 
 
+def near_records(s: SparkSession, d: str, k: int = 32) -> DataFrame:
+    """The most similar records of every record within its domain, as a build's projection joins them."""
+    r = _prepared(s, d)
+    return nearest_in_domain(r.select("domain", F.col("event_id").alias("id"), "vector"), k)
+
+
+_NEAR = """v AS (SELECT domain, event_id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM r WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+nn AS (SELECT a.domain, a.event_id AS l, b.event_id AS o, round(list_cosine_similarity(a.v, b.v), 9) AS w FROM v a JOIN v b ON a.domain = b.domain AND a.event_id <> b.event_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY domain, l ORDER BY w DESC, o) AS place FROM nn)"""
+
+
+@query(_prepared_sql() + f", {_NEAR} SELECT domain, l AS event_id, o AS other_id, CAST(place AS INTEGER) AS place FROM n WHERE place <= 32")
+def jn17_record_neighbours(s: SparkSession, d: str) -> DataFrame:
+    """Every record's 32 nearest of its domain; exact where a domain is one cell, as all are up to sf0.1."""
+    return near_records(s, d).select("domain", F.col("id").alias("event_id"), F.col("other").alias("other_id"), "place")
+
+
+@query(_prepared_sql() + f", {_NEAR} SELECT m.l AS left, m.o AS right, {_DECISION} AS decision FROM n m JOIN p a ON a.event_id = m.l JOIN p b ON b.event_id = m.o WHERE m.place <= 32 AND m.w >= 0.8")
+def dm04_neighbour_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The merge decisions of all neighbours of cosine 0.8 or more, those a build finds by itself."""
+    p = _prepared(s, d).select(*K.COMPARED)
+    reason, need = K.refusal("a", "b")
+    n = near_records(s, d).where("similarity >= 0.8").select(F.col("id").alias("left"), F.col("other").alias("right"), "similarity")
+    j = n.join(p.alias("a"), F.col("left") == F.col("a.event_id")).join(p.alias("b"), F.col("right") == F.col("b.event_id"))
+    return j.select("left", "right", F.coalesce(reason, F.when(F.col("similarity") < need, "cosine_too_low"), F.lit("allowed")).alias("decision"))
+
+
 @query("""WITH m AS (SELECT lower(trim(event_id)) AS a, lower(trim(other_event_id)) AS b, similarity AS w FROM event_match WHERE event_id IS NOT NULL AND other_event_id IS NOT NULL AND similarity IS NOT NULL AND lower(trim(event_id)) <> lower(trim(other_event_id))),
 t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS k FROM (SELECT a, b, w FROM m UNION SELECT b, a, w FROM m)), o AS (SELECT a, max(b) FILTER (k = 1) AS b, max(w) FILTER (k = 1) AS w, max(w) FILTER (k = 2) AS w2 FROM t WHERE k <= 2 GROUP BY a),
 s AS (SELECT * FROM o WHERE w2 IS NULL OR w - w2 >= 0.05) SELECT x.a AS left_id, x.b AS right_id FROM s x JOIN s y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b""")
