@@ -526,6 +526,23 @@ def dm24_event_story_detail(s: SparkSession, d: str) -> DataFrame:
     return S.detail(c("scored"), c("edges")).select("domain", "story_id", F.col("target").alias("node"), F.col("source").alias("from_node"), "relation_type", "confidence", "support", "strong")
 
 
+@query(_EVENT_STORIES + """, k AS (SELECT f.story_id, h.confidence, h.relation FROM f JOIN m ON m.domain = f.domain AND m.key = f.key AND m.story = f.story JOIN h ON h.domain = m.domain AND h.key = m.key AND h.target = m.node)
+SELECT story_id, bool_or(confidence < 0.9) AS material, false AS reworded FROM k GROUP BY 1""")
+def dm15_event_story_change(s: SparkSession, d: str) -> DataFrame:
+    """Whether a story is news against a build that had only its strong edges, and against one that scored them otherwise:
+    edges and their evidence count, scores do not."""
+    c = _event_stories(s, d)
+    none = F.array().cast("array<string>")
+    e = S.detail(c("scored"), c("edges")).join(c("scored").select("domain", "source", "target", "revisions"), ["domain", "source", "target"])
+    edge = lambda score: F.struct("source", "target", "relation_type", F.lit("forward").alias("direction"), F.lit("active").alias("status"), "revisions", none.alias("claims"), score.alias("score"))
+    # A story has a few edges a node.
+    per = e.groupBy("story_id").agg(F.collect_list(edge(F.col("confidence"))).alias("now"), F.collect_list(F.when(F.col("strong"), edge(F.col("confidence")))).alias("strong"), F.collect_list(edge(F.col("confidence") / 2)).alias("rescored"))
+    members = c("members").groupBy("story_id").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    j = per.join(members, "story_id").join(c("stories").select("story_id", "maturity"), "story_id")
+    form = lambda edges: S.material_form(F.col("members"), F.col("maturity"), F.col(edges))
+    return j.select("story_id", (form("now") != form("strong")).alias("material"), (form("now") != form("rescored")).alias("reworded"))
+
+
 @query(_EVENT_STORIES + """, d AS (SELECT f.domain, f.story_id, f.quality, max(t.day) AS last_day FROM f JOIN t USING (domain, key, story) GROUP BY ALL), k AS (SELECT domain, story_id, last_day, row_number() OVER (PARTITION BY domain ORDER BY last_day DESC, quality DESC, story_id) AS place FROM d)
 SELECT domain, story_id, CAST(last_day AS INTEGER) AS last_day, CAST(place AS INTEGER) AS place, last_day > 19740 AS unread FROM k WHERE place <= 25""")
 def dm24_event_story_directory(s: SparkSession, d: str, read_until: int = 19_740) -> DataFrame:
