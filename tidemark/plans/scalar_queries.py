@@ -250,9 +250,13 @@ def tx25_sanitized_markdown(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_kind = 'brief'").select("doc_id", X.sanitize_markdown("text").alias("body"))
 
 
-@query(r"""WITH a AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '(?is)<think>.*?</think>', '', 'g')) AS x FROM documents WHERE doc_kind = 'extraction'),
-b AS (SELECT doc_id, trim(CASE WHEN regexp_extract(x, '(?is)```(?:json)?[\t-\r ]*(.*?)```', 1) <> '' THEN regexp_extract(x, '(?is)```(?:json)?[\t-\r ]*(.*?)```', 1) ELSE x END) AS x FROM a)
-SELECT doc_id, CASE WHEN regexp_extract(x, '(?s)(\{.*\})', 1) <> '' THEN regexp_extract(x, '(?s)(\{.*\})', 1) ELSE x END AS body FROM b""")
+_ANSWERS = r"""WITH a AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '(?is)<think>.*?</think>', '', 'g')) AS x FROM documents WHERE doc_kind = 'extraction'),
+b AS (SELECT doc_id, trim(CASE WHEN regexp_extract(x, '(?is)```(?:json)?[\t-\r ]*(.*?)```', 1) <> '' THEN regexp_extract(x, '(?is)```(?:json)?[\t-\r ]*(.*?)```', 1) ELSE x END) AS x FROM a),
+body AS (SELECT doc_id, CASE WHEN regexp_extract(x, '(?s)(\{.*\})', 1) <> '' THEN regexp_extract(x, '(?s)(\{.*\})', 1) ELSE x END AS body FROM b)
+"""
+
+
+@query(_ANSWERS + "SELECT doc_id, body FROM body")
 def tx26_stripped_wrappers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_kind = 'extraction'").select("doc_id", X.strip_wrappers("text").alias("body"))
 
@@ -547,14 +551,28 @@ def ud03_domain_templates(s: SparkSession, d: str) -> DataFrame:
     return m.select("id", X.compose(F.col("template"), name=F.coalesce("name", F.lit("")), zone=F.coalesce("time_zone", F.lit("UTC"))).alias("brief")).distinct()
 
 
-@query()
+_PARSED = _ANSWERS.rstrip() + """,
+env AS (SELECT doc_id, CASE WHEN json_valid(body) AND json_type(body, '$.videos') = 'ARRAY' THEN json_extract(body, '$.videos') END AS videos FROM body),
+vid AS (SELECT doc_id, json_extract(videos, '$[' || i || ']') AS v FROM (SELECT doc_id, videos, unnest(range(0, json_array_length(videos)::BIGINT)) AS i FROM env WHERE videos IS NOT NULL)),
+ids AS (SELECT doc_id, v->>'$.video_id' AS video_id, json_extract(v, '$.events') AS events FROM vid),
+ev AS (SELECT doc_id, video_id, i AS event_no, json_extract(events, '$[' || i || ']') AS e FROM (SELECT doc_id, video_id, events, unnest(range(0, json_array_length(events)::BIGINT)) AS i FROM ids WHERE video_id IS NOT NULL AND json_type(events) = 'ARRAY'))
+"""
+
+
+@query(_PARSED + r"""SELECT doc_id AS answer_id, video_id, CAST(event_no AS INTEGER) AS event_no, left(regexp_replace(regexp_replace(e->>'$.title', '[\t-\r\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), 300) AS title,
+coalesce(nullif(trim(regexp_replace(lower(trim(coalesce(e->>'$.event_type', ''))), '[^0-9a-z]+', '_', 'g'), '_'), ''), 'other') AS event_type, CASE WHEN isfinite(TRY_CAST(e->>'$.confidence' AS DOUBLE)) THEN greatest(0.0, least(1.0, TRY_CAST(e->>'$.confidence' AS DOUBLE))) END AS confidence
+FROM ev WHERE length(trim(coalesce(e->>'$.title', ''))) > 0""")
 def js01_parsed_answers(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("doc_kind = 'extraction'")
     events, _ = J.parse_answers(t, "doc_id", "text", F.array().cast("array<string>"))
     return events.select("answer_id", "video_id", "event_no", "title", "event_type", "confidence")
 
 
-@query()
+@query(_PARSED + """SELECT doc_id AS answer_id, 'no_envelope' AS problem, 'error' AS level FROM env WHERE videos IS NULL
+UNION ALL SELECT doc_id, 'missing:v1', 'error' FROM env WHERE doc_id NOT IN (SELECT doc_id FROM ids WHERE video_id = 'v1')
+UNION ALL SELECT DISTINCT doc_id, 'unknown:' || coalesce(video_id, ''), 'error' FROM ids WHERE video_id IS DISTINCT FROM 'v1'
+UNION ALL SELECT doc_id, 'repeated_id', 'error' FROM (SELECT doc_id, count(*) AS n, count(DISTINCT coalesce(video_id, chr(1))) AS k FROM ids GROUP BY 1) WHERE n > k
+UNION ALL SELECT doc_id, 'no_title:' || video_id || '/' || event_no, 'warning' FROM ev WHERE video_id = 'v1' AND length(trim(coalesce(e->>'$.title', ''))) = 0""")
 def js01_answer_problems(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents").where("doc_kind = 'extraction'")
     return J.parse_answers(t, "doc_id", "text", F.array(F.lit("v1")))[1]
