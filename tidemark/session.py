@@ -53,6 +53,16 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame, least: int = 500) -> DataFrame:
+    """A table for work in Python: as it is where it has as many partitions as the cluster runs tasks at once, as any
+    large table has, else dealt out evenly in parts of at least ``least`` rows. A file of one row group is one task
+    otherwise, however many cores there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(max(1, min(cores, -(-df.count() // least))))
+
+
 _roots: dict[str, list[str]] = {}
 
 
