@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import Stages
+from tidemark.session import Stages, spread
 
 #: Where the public vocabulary lies, unless a caller names another.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -183,7 +183,7 @@ def _with_column(df: DataFrame, text: str, keep: Sequence[str] | None, field: T.
             columns = [b.column(read.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, make(b.column(read.index(text)).to_pylist())], names=[*keep, field.name])
 
-    return df.select(*read).mapInArrow(run, out)
+    return spread(df.select(*read)).mapInArrow(run, out)
 
 
 def read_vocabulary(df: DataFrame, path: str):
@@ -282,7 +282,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str = VOCA
     read = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], F.col(f"`{text}`").alias("text"))
     carried = [T.StructField(k, df.schema[c].dataType) for c, k in zip(keep, kept)]
     shape = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("slice", T.LongType()), *carried, T.StructField("place", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("word", T.StringType())])
-    seen = st.write(read.mapInArrow(_cutter(kept), shape), by="kind")
+    seen = st.write(spread(read).mapInArrow(_cutter(kept), shape), by="kind")
     words = seen.where(F.col("kind") == WORD_ROW).select(F.col("slice").alias("of"), F.col("place").alias("at"), "word")
     vocabulary = st.write(words.select("word").distinct().mapInArrow(_replayer(shared), "word string, tokens array<int>"))
     dictionary = words.join(vocabulary, "word").select("of", "at", "tokens")
