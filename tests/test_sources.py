@@ -104,3 +104,14 @@ def test_tables_of_finished_queries_are_released(spark):
     assert kept.count() == 3 and release(spark) == 1 and release(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(kept._tidemark_path)
+
+
+def test_small_tables_are_dealt_out_and_counted_against_bounds(spark):
+    from tidemark.session import small, spread
+
+    one = spark.range(4000).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == 8 and spread(one, 2000).rdd.getNumPartitions() == 2 and spread(one).count() == 4000
+    wide = spark.range(100).repartition(20)
+    assert spread(wide).rdd.getNumPartitions() == 20 and spread(one.limit(0)).count() == 0
+    held = lambda most: "ResolvedHint" in small(spark.range(5), most)._jdf.queryExecution().analyzed().toString()
+    assert held(5) and not held(4)
