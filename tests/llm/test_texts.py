@@ -11,6 +11,7 @@ from tidemark.llm import chunks as C
 from tidemark.llm import mixing as M
 from tidemark.llm import stuffing as S
 from tidemark.llm import tokens as T
+from tidemark.session import Stages
 
 
 @pytest.fixture(scope="module")
@@ -252,3 +253,59 @@ def test_long_texts_and_far_characters():
 def test_a_short_title_is_no_page(spark):
     df = spark.createDataFrame([(1, "Velgra Steel output"), (2, "#Steel #Copper")], "doc_id long, text string")
     assert [r["doc_id"] for r in S.stuffed_pages(spark, df).collect()] == [2]
+
+
+def test_every_page_takes_part_in_the_fit(spark):
+    """Seeds are found and words get their odds from all pages: here the stuffed ones are 24 of 20,000, so a sample of
+    half the pages is another fit. Each template's words stand in four pages of salad and one that only they betray."""
+    rng = random.Random(11)
+    noun, verb, place = (lambda: rng.choice(NOUNS)), (lambda: rng.choice(VERBS)), (lambda: rng.choice(PLACES).title())
+    docs = [(i, f"The {noun()} of {place()} {verb()} the {noun()} in the last {noun()}. Nobody at the {noun()} {verb()} why.") for i in range(20_000)]
+    want = set()
+    for k in range(6):
+        words = [f"{a}{b}" for a in (f"zu{chr(97 + k)}", f"qe{chr(97 + k)}") for b in "bo ki ra nu".split()]
+        for j in range(4):
+            want.add(30_000 + 10 * k + j)
+            docs.append((30_000 + 10 * k + j, " ".join(rng.choice(words) for _ in range(60))))
+        want.add(30_000 + 10 * k + 9)
+        docs.append((30_000 + 10 * k + 9, " ".join(rng.sample(words, 5))))
+    rng.shuffle(docs)
+    assert {r["doc_id"] for r in S.stuffed_pages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_figures_of_blocks_are_those_of_plain_joins(spark, crawl):
+    """Pairs added up over blocks of any size give every page the figures that a join of all its pairs gives it."""
+    good, bad = crawl
+    texts = [*good[:120], *bad[:60], "a a a a b a", "7 8 9", "#Steel #Copper", "\n", *PLAIN.values()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen = df.withColumn("fit", F.lit(True)).mapInArrow(S._scan, S.SCHEMA).persist()
+    kind = lambda k: seen.where(F.col("kind") == k)
+    pairs = kind(S.PAIR_ROW).groupBy("key").agg(F.sum("n").alias("all_n"))
+    plain = {r["doc_id"]: r for r in S.page_coherence(kind(S.OWN_PAIR).select("doc_id", "key", "back", "n", "n_back"), pairs, kind(S.PAGE_ROW).select("doc_id", "size", "linked")).collect()}
+    for most in (1, 3_000, S.BLOCK):
+        blocks = S.page_blocks(Stages(spark, "test"), df, most)
+        assert blocks.count() == len(texts) or most > 1
+        got = {r["doc_id"]: r for r in S.page_figures(blocks).collect()}
+        assert set(got) == set(range(len(texts))) and {i for i, r in got.items() if r["size"]} == set(plain)
+        for i, r in plain.items():
+            assert got[i]["size"] == r["size"] and got[i]["linked"] == r["linked"] and abs(got[i]["excess"] - r["excess"]) < 1e-9
+            assert (got[i]["coherence"] is None) == (r["coherence"] is None) and abs((got[i]["coherence"] or 0) - (r["coherence"] or 0)) < 1e-9
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(0, 3, 5_001), np.array([-0.5, 1e300, -1e-300, 0.0, 2.0, 2.0, 2.0]), np.array([1.5])):
+        df = spark.createDataFrame([(float(v), int(r)) for v, r in zip(x, S._ranked(x))], "x double, rank long")
+        assert S.quantiles(df, [0.25, 0.75, 1.0]) == pytest.approx([float(v) for v in np.quantile(x, [0.25, 0.75, 1.0])], rel=1e-12)
+    assert S.quantiles(df.limit(0), [0.5]) == [0.0]
+
+
+def test_a_block_survives_packing():
+    """Narrow places and sizes, negative ids, pages without words, and numbers, which make no pairs."""
+    texts = [REAL, "1 2 3", "#Steel", "b a b a a " * 50]
+    block = S.Block.of([S.Block.part(np.array([-5, 2**40, 7, 8]), S.Slice(texts))])
+    back = S.Block.unpacked(*block.packed())
+    assert all(a.tolist() == b.tolist() for a, b in zip(block, back))
+    assert back.stuffed(np.zeros(0, np.uint64), np.zeros(0), 0.25).tolist() == S.Slice(texts).stuffed(np.zeros(0, np.uint64), np.zeros(0), 0.25).tolist()
+    p = back.pairs()
+    assert 1 not in p.doc and int(p.ahead.sum() + p.behind.sum()) == int(back.beside().sum()) == len(p.at)
